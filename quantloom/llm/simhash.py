@@ -31,7 +31,7 @@ from quantloom.llm.common import checkpoint, connected_components
 RADIUS = 3
 LEAF_CAP = 4096
 FANOUT = 8
-FRONTIER = 1 << 20
+FRONTIER = 1 << 17
 _U = np.uint64
 _xx = partial(xxhash.xxh64_intdigest, seed=42)
 
@@ -100,34 +100,33 @@ def linked_pairs(fp: np.ndarray, bucket: np.ndarray) -> Iterator[tuple[np.ndarra
         start = levels[lv][3]
         lasts.append(lasts[-1][np.r_[start[1:], len(lasts[-1])] - 1])
 
-    stack = []
-    for i in range(0, len(fp), FRONTIER // 64):
-        q = np.arange(i, min(len(fp), i + FRONTIER // 64))
-        node = at_root[q]
-        acc = np.bitwise_count((fp[q] ^ value[top][node]) & agree[top][node]).astype(np.int16)
-        stack.append((top, q, node, acc))
-    while stack:
-        lv, q, node, acc = stack.pop()
+    def descend(lv: int, q: np.ndarray, node: np.ndarray, acc: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Depth first, at most FRONTIER children (and one node's more) at a time."""
         keep = (acc <= RADIUS) & (lasts[lv][node] > q)
         q, node, acc = q[keep], node[keep], acc[keep]
         if not len(q):
-            continue
+            return
         if lv == 0:
             yield q, node
-            continue
+            return
         start = levels[lv][3]
         end = np.r_[start[1:], len(levels[lv - 1][2])]
         kids = (end - start)[node]
-        room = np.flatnonzero(np.diff(np.cumsum(kids) // FRONTIER, prepend=0))
-        for part in np.split(np.arange(len(q)), room):
-            if not len(part):
+        cuts = np.flatnonzero(np.diff(np.cumsum(kids) // FRONTIER, prepend=0))
+        for a, b in zip([0, *cuts], [*cuts, len(q)], strict=True):
+            if a == b:
                 continue
-            k = kids[part]
-            up = np.repeat(part, k)
+            k = kids[a:b]
+            up = np.repeat(np.arange(a, b), k)
             kid = start[node[up]] + np.arange(len(up)) - np.repeat(np.cumsum(k) - k, k)
             fresh = agree[lv - 1][kid] & ~agree[lv][node[up]]
             diff = np.bitwise_count((fp[q[up]] ^ value[lv - 1][kid]) & fresh)
-            stack.append((lv - 1, q[up], kid, acc[up] + diff.astype(np.int16)))
+            yield from descend(lv - 1, q[up], kid, acc[up] + diff.astype(np.int16))
+
+    for i in range(0, len(fp), FRONTIER // FANOUT):
+        q = np.arange(i, min(len(fp), i + FRONTIER // FANOUT))
+        node = at_root[q]
+        yield from descend(top, q, node, np.bitwise_count((fp[q] ^ value[top][node]) & agree[top][node]).astype(np.int16))
 
 
 def _forest(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
