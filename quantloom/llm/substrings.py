@@ -1,11 +1,10 @@
 """Exact-substring deduplication by prefix-free parsing.
 
-Triggers: a position is one where the rolling hash of its ``GRAM`` bytes is the least
-(leftmost on ties) among those of some ``LEAST``-byte string; the choice depends on that
-string alone, so equal strings choose alike and every string has a trigger. All strings
-with one trigger occurrence are consecutive: they span the trigger's phrase, at most
-2 * LEAST - GRAM bytes, which overlaps its neighbours so that no string is cut. A document's
-parse is its row of phrases; the dictionary is the set of distinct phrases.
+Triggers: a string of ``LEAST`` bytes is triggered by the least rolling hash of its ``GRAM``-byte
+windows; that depends on the string alone, so equal strings have equal triggers. Consecutive
+strings of one trigger span a phrase, which overlaps its neighbours so that no string is
+cut (in periodic text it is cut after ``LONGEST`` strings). A document's parse is its row
+of phrases; the dictionary is the set of distinct phrases.
 
 1. Shards of documents send their triggers' short hashes to hash buckets and learn which
    occur in several documents. (A collision only lets a phrase through.)
@@ -34,8 +33,10 @@ from pyspark.sql import functions as F
 
 LEAST = 50
 GRAM = 16
-SHARD_BYTES = 6 << 20
-MAX_BUCKET_BITS = 12
+LONGEST = 128
+SHARD_BYTES = 4 << 20
+MAX_BUCKET_BITS = 20
+SORT_STRINGS = 1 << 17
 _SPAN = LEAST - GRAM + 1
 _U = np.uint64
 
@@ -45,12 +46,11 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
     h, power, size = data.astype(_U), 0x9E3779B97F4A7C15, 1
     with np.errstate(over="ignore"):
         while size < GRAM:
-            h = h[:-size] * _U(power) + h[size:]
-            power = power * power % (1 << 64)
-            size *= 2
+            left = h[:-size] * _U(power)
+            left += h[size:]
+            h, power, size = left, power * power % (1 << 64), size * 2
         h ^= h >> _U(29)
         h *= _U(0xBF58476D1CE4E5B9)
-        h ^= h >> _U(32)
     return h
 
 
@@ -58,19 +58,22 @@ def phrases(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(first string start, number of strings, trigger hash) of each phrase of a document."""
     if len(data) < LEAST:
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, _U)
-    h = gram_hashes(data)
-    low, at, size = h, np.arange(len(h), dtype=np.int32), 1
+    low, size = gram_hashes(data), 1
     while size * 2 <= _SPAN:
-        low, at, size = *_lesser(low, at, size), size * 2
+        low, size = np.minimum(low[size:], low[:-size]), size * 2
     if size < _SPAN:
-        low, at = _lesser(low, at, _SPAN - size)
-    first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-    return first, np.diff(np.r_[first, len(at)]), low[first]
-
-
-def _lesser(low: np.ndarray, at: np.ndarray, by: int) -> tuple[np.ndarray, np.ndarray]:
-    right = low[by:] < low[:-by]
-    return np.where(right, low[by:], low[:-by]), np.where(right, at[by:], at[:-by])
+        low = np.minimum(low[_SPAN - size :], low[: size - _SPAN])
+    first = np.concatenate(([0], np.flatnonzero(low[1:] != low[:-1]) + 1))
+    count = np.empty_like(first)
+    count[:-1] = first[1:] - first[:-1]
+    count[-1] = len(low) - first[-1]
+    if count.max() > LONGEST:
+        cuts = -(-count // LONGEST)
+        nth = np.arange(cuts.sum()) - np.repeat(np.cumsum(cuts) - cuts, cuts)
+        end = np.repeat(first + count, cuts)
+        first = np.repeat(first, cuts) + nth * LONGEST
+        count = np.minimum(end - first, LONGEST)
+    return first, count, low[first]
 
 
 class Shard:
@@ -79,7 +82,7 @@ class Shard:
     def __init__(self, t: pa.Table, bits: int) -> None:
         t = t.sort_by([("doc_id", "ascending")])
         self.ids = t["doc_id"].to_pylist()
-        self.texts = [(x.as_py() or "").encode("utf-8", "surrogatepass") for x in t["text"]]
+        self.texts = [x or b"" for x in t["text"].to_pylist()]
         empty = np.empty(0, np.int64)
         self.doc, self.start, self.count, self.trigger = [], [], [], []
         for k, data in enumerate(self.texts):
@@ -93,37 +96,39 @@ class Shard:
         # bucket and the 32 bits behind it, as one number
         self.key = (self.trigger.view(_U) >> _U(32 - bits)).astype(np.int64)
 
-    def bucket(self, key: np.ndarray) -> np.ndarray:
-        return key >> 32
-
-    def own_repeats(self) -> tuple[np.ndarray, np.ndarray]:
+    def repeats(self) -> tuple[np.ndarray, np.ndarray]:
         """Sorted keys; which of them occur in two of the shard's documents."""
-        order = np.lexsort((self.doc, self.key))
+        order = np.argsort(self.key, kind="stable")  # rows are in document order
         key, doc = self.key[order], self.doc[order]
-        keys, first = np.unique(key, return_index=True)
-        if not len(keys):
-            return keys, np.zeros(0, dtype=bool)
-        low, high = np.minimum.reduceat(doc, first), np.maximum.reduceat(doc, first)
-        ids = np.array([-1 if i is None else i for i in self.ids], dtype=np.int64)
-        return keys, ids[low] != ids[high]
-
-    def dictionary(self, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray]:
-        """Of the shared keys: phrase rows, each row's entry, entries in (key, bytes) order, lowest doc_id."""
-        rows = np.flatnonzero(np.isin(self.key, shared))
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, np.int64)
+        ids = np.array([0 if i is None else i for i in self.ids], dtype=np.int64)
+        last = np.r_[first[1:], len(key)] - 1
+        return key[first], ids[doc[first]] != ids[doc[last]] if len(key) else np.zeros(0, dtype=bool)
+
+    def dictionary(self, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes], np.ndarray]:
+        """Of the shared keys: phrase rows, each row's entry, the entries' keys (by bucket), bytes and lowest doc_id."""
+        at = np.searchsorted(shared, self.key)
+        rows = np.flatnonzero(shared[np.minimum(at, len(shared) - 1)] == self.key) if len(shared) else np.empty(0, np.int64)
         entry: dict[tuple[int, bytes], int] = {}
-        of = np.empty(len(rows), dtype=np.int64)
-        texts, key = self.texts, self.key[rows].tolist()
-        for i, (k, d, a, n) in enumerate(zip(key, self.doc[rows].tolist(), self.start[rows].tolist(), self.count[rows].tolist(), strict=True)):
-            of[i] = entry.setdefault((k, texts[d][a : a + n + LEAST - 1]), len(entry))
-        order = sorted(entry)
+        texts = self.texts
+        found = [
+            entry.setdefault((k, texts[d][a:b]), len(entry))
+            for k, d, a, b in zip(
+                self.key[rows].tolist(), self.doc[rows].tolist(), self.start[rows].tolist(),
+                (self.start[rows] + self.count[rows] + (LEAST - 1)).tolist(), strict=True,
+            )
+        ]
+        of = np.array(found, dtype=np.int64)
+        key = np.fromiter((k for k, _ in entry), dtype=np.int64, count=len(entry))
+        order = np.argsort(key >> 32, kind="stable")
         rank = np.empty(len(entry), dtype=np.int64)
-        for new, e in enumerate(order):
-            rank[entry[e]] = new
-        of = rank[of] if len(of) else of
+        rank[order] = np.arange(len(entry))
+        of = rank[of]
+        own = [p for _, p in entry]
         ids = np.array([0 if i is None else i for i in self.ids], dtype=np.int64)
         low = np.full(len(entry), np.iinfo(np.int64).max)
         np.minimum.at(low, of, ids[self.doc[rows]])
-        return rows, of, order, low
+        return rows, of, key[order], [own[k] for k in order.tolist()], low
 
 
 def _by_bucket(bucket: np.ndarray) -> list[tuple[int, slice]]:
@@ -147,32 +152,32 @@ def _schema(text: str) -> pa.Schema:
 def _send_keys(bits: int) -> Callable[[pa.Table], pa.Table]:
     def run(t: pa.Table) -> pa.Table:
         shard = t["shard"][0].as_py()
-        keys, _ = Shard(t, bits).own_repeats()
+        keys, several = Shard(t, bits).repeats()
         low = (keys & 0xFFFFFFFF).astype(np.uint32)
         parts = _by_bucket(keys >> 32)
         n = len(parts)
-        return _table([[shard] * n, [b for b, _ in parts], [low[s].tobytes() for _, s in parts], [b""] * n, [b""] * n, [b""] * n], _schema(_SENT))
+        flags = [np.packbits(several[s]).tobytes() for _, s in parts]
+        return _table([[shard] * n, [b for b, _ in parts], [low[s].tobytes() for _, s in parts], flags, [b""] * n, [b""] * n], _schema(_SENT))
 
     return run
 
 
 def _shared_keys(t: pa.Table) -> pa.Table:
-    """A bucket's answer to each shard: which of its keys other shards have too."""
+    """A bucket's answer to each shard: its keys that two documents or more have."""
     sent = [np.frombuffer(x.as_py(), dtype=np.uint32) for x in t["keys"]]
+    flags = [np.unpackbits(np.frombuffer(x.as_py(), dtype=np.uint8), count=len(k)).astype(bool) for x, k in zip(t["lengths"], sent, strict=True)]
     values, counts = np.unique(np.concatenate(sent), return_counts=True)
     several = values[counts > 1]
-    body = [np.packbits(np.isin(k, several, kind="sort")).tobytes() for k in sent]
+    known = lambda k: several[np.minimum(np.searchsorted(several, k), len(several) - 1)] == k if len(several) else False
+    body = [k[f | known(k)].tobytes() for k, f in zip(sent, flags, strict=True)]
     n = len(sent)
     return _table([t["shard"].to_pylist(), [0] * n, t["bucket"].to_pylist(), body, [b""] * n, [b""] * n], _schema(_REPLY))
 
 
-def _shared(shard: Shard, replies: pa.Table) -> np.ndarray:
-    keys, flags = shard.own_repeats()
-    where = dict(_by_bucket(keys >> 32))
-    for r in replies.filter(pa.compute.equal(replies["kind"], 0)).select(["bucket", "body"]).to_pylist():
-        s = where[r["bucket"]]
-        flags[s] |= np.unpackbits(np.frombuffer(r["body"], dtype=np.uint8), count=s.stop - s.start).astype(bool)
-    return keys[flags]
+def _shared(replies: pa.Table) -> np.ndarray:
+    got = replies.filter(pa.compute.equal(replies["kind"], 0)).select(["bucket", "body"]).to_pylist()
+    keys = [np.frombuffer(r["body"], dtype=np.uint32).astype(np.int64) | r["bucket"] << 32 for r in sorted(got, key=lambda r: r["bucket"])]
+    return np.concatenate(keys) if keys else np.empty(0, np.int64)
 
 
 def _send_phrases(bits: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
@@ -181,12 +186,11 @@ def _send_phrases(bits: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
         if not t.num_rows:
             return schema.empty_table()
         own = Shard(t, bits)
-        _, _, order, low = own.dictionary(_shared(own, replies))
-        key = np.array([k for k, _ in order], dtype=np.int64)
+        _, _, key, entries, low = own.dictionary(_shared(replies))
         shard = t["shard"][0].as_py()
         out: list[list] = [[], [], [], [], [], []]
         for b, s in _by_bucket(key >> 32):
-            own_phrases = [p for _, p in order[s]]
+            own_phrases = entries[s]
             sizes = np.array([len(p) for p in own_phrases], dtype=np.uint8)
             row = (shard, b, (key[s] & 0xFFFFFFFF).astype(np.uint32).tobytes(), sizes.tobytes(), low[s].tobytes(), b"".join(own_phrases))
             for column, value in zip(out, row, strict=True):
@@ -196,20 +200,46 @@ def _send_phrases(bits: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     return run
 
 
+def string_hashes(text: np.ndarray) -> np.ndarray:
+    """Rolling hash of the LEAST bytes at each position, joined from powers of two."""
+    h, power, size = text.astype(_U), 0x9E3779B97F4A7C15, 1
+    out, covered = None, 0
+    with np.errstate(over="ignore"):
+        while size <= LEAST:
+            if LEAST & size:
+                part = h[covered:]
+                out = part.copy() if out is None else out[: len(part)] * _U(power) + part
+                covered += size
+            if size * 2 <= LEAST:
+                left = h[:-size] * _U(power)
+                left += h[size:]
+                h = left
+            power, size = power * power % (1 << 64), size * 2
+    return out[: len(text) - LEAST + 1]
+
+
 def string_classes(text: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Class number of the LEAST bytes at each start, by sorting the suffixes there."""
+    """Class number of the LEAST bytes at each start, by sorting the suffixes there.
+
+    A string whose hash no other has is alone in its class and need not be sorted.
+    """
+    _, out, count = np.unique(string_hashes(text)[starts], return_inverse=True, return_counts=True)
+    again = np.flatnonzero(count[out] > 1)
+    if not len(again):
+        return out
+    starts = starts[again]
     columns = []
     for i in range(0, LEAST, 8):
         part = np.zeros(len(starts), dtype=_U)
         for j in range(i, min(i + 8, LEAST)):
-            part = (part << _U(8)) | text[starts + j].astype(_U)
+            part = (part << _U(8)) | text[starts + j]
         columns.append(part)
     order = np.lexsort(columns[::-1])
     new = np.zeros(len(starts), dtype=bool)
     for c in columns:
-        new[1:] |= c[order][1:] != c[order][:-1]
-    out = np.empty(len(starts), dtype=np.int64)
-    out[order] = np.cumsum(new)
+        c = c[order]
+        new[1:] |= c[1:] != c[:-1]
+    out[again[order]] = len(count) + np.cumsum(new)
     return out
 
 
@@ -233,15 +263,23 @@ def _lowest_docs(t: pa.Table) -> pa.Table:
     count = sizes[sample] - LEAST + 1
     # strings of the phrases whose trigger has several: classes and their smallest doc_id
     pick = np.flatnonzero(several)
+    pick = pick[np.argsort(key[pick], kind="stable")]
     n = count[pick]
     offset = np.cumsum(n) - n
     lows = np.repeat(low[pick], n)
-    if len(pick):
-        starts = np.repeat(begin[sample[pick]] - offset, n) + np.arange(n.sum())
-        cls = string_classes(text, starts)
+    new = np.flatnonzero(np.r_[True, key[pick][1:] != key[pick][:-1]]) if len(pick) else pick
+    cuts = [0, *(int(k) for k in new[1:][np.diff(offset[new] // SORT_STRINGS) > 0]), len(pick)]  # whole triggers at a time
+    for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+        if x == y:
+            continue
+        m, own_bytes = n[x:y], n[x:y] + LEAST - 1
+        at = np.cumsum(own_bytes) - own_bytes
+        part = text[np.repeat(begin[sample[pick[x:y]]] - at, own_bytes) + np.arange(own_bytes.sum())]
+        cls = string_classes(part, np.repeat(at - (np.cumsum(m) - m), m) + np.arange(m.sum()))
         best = np.full(cls.max() + 1, np.iinfo(np.int64).max)
-        np.minimum.at(best, cls, lows)
-        lows = best[cls]
+        own = slice(offset[x], offset[x] + len(cls))
+        np.minimum.at(best, cls, lows[own])
+        lows[own] = best[cls]
     # runs of equal doc_id within a phrase
     head = np.zeros(len(lows), dtype=bool)
     head[offset] = True
@@ -280,10 +318,9 @@ def _mark(bits: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
         if not t.num_rows:
             return schema.empty_table()
         own = Shard(t, bits)
-        rows, of, order, low = own.dictionary(_shared(own, replies))
-        key = np.array([k for k, _ in order], dtype=np.int64)
-        count = np.array([len(p) - LEAST + 1 for _, p in order], dtype=np.int64)
-        runs = np.zeros(len(order), dtype=np.int64)
+        rows, of, key, entries, low = own.dictionary(_shared(replies))
+        count = np.array([len(p) - LEAST + 1 for p in entries], dtype=np.int64)
+        runs = np.zeros(len(entries), dtype=np.int64)
         lens, docs = {}, {}
         where = dict(_by_bucket(key >> 32))
         for r in replies.filter(pa.compute.equal(replies["kind"], 1)).to_pylist():
@@ -337,10 +374,10 @@ def repeated_spans(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame
     lose nothing and take nothing away, and neither do rows of one doc_id among
     themselves. Texts under 50 bytes stay. No rows give no rows; other columns are ignored.
     """
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
     size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = int(size // shard_bytes) + 1
-    bits = min(MAX_BUCKET_BITS, max(3, (shards - 1).bit_length()))
+    bits = min(MAX_BUCKET_BITS, max(3, (shards - 1).bit_length() + 1))
     dealt = own.select(F.pmod(F.xxhash64(F.coalesce("doc_id", F.xxhash64("text"))), F.lit(shards)).alias("shard"), "doc_id", "text")
     dealt = dealt.repartition(max(shards, 8), "shard")
     keys = dealt.groupBy("shard").applyInArrow(_send_keys(bits), _SENT)
