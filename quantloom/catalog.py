@@ -6,10 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quantloom.operators.signals import SIGNALS
+from quantloom.operators.stateful import donchian_atr_trail
+from quantloom.plans.engine import Query
+from quantloom.sources.bars import BARS
+
+
+def _declared() -> dict[str, Query]:
+    out = {"bars_ohlcv": Query(BARS, [], "SELECT symbol, ts, round(open, 6) open, round(high, 6) high, round(low, 6) low, round(close, 6) close, volume FROM {t}")}
+    out |= {f"sig_{name}": Query(BARS, make(), "SELECT symbol, ts, round(signal, 6) AS signal FROM {t}") for name, make in SIGNALS.items()}
+    return out
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {**_declared(), "sig_donchian_atr_trail": lambda spark, sf_dir: donchian_atr_trail(BARS.frame(spark, sf_dir))}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: q.sql() for name, q in _declared().items()}
