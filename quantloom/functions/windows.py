@@ -22,7 +22,7 @@ def prev(x: str, k: int = 1) -> str:
 
 
 def side(up: str, down: str) -> str:
-    return f"CASE WHEN {up} THEN 1.0D WHEN {down} THEN -1.0D ELSE 0.0D END".replace("0D", "0")
+    return f"CASE WHEN {up} THEN 1.0 WHEN {down} THEN -1.0 ELSE 0.0 END"
 
 
 def sign(x: str) -> str:

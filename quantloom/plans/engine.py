@@ -41,8 +41,9 @@ _SPARK = {
     "days": lambda a, b: f"datediff({a}, {b})",
     "weekday": lambda d: f"weekday({d})",
     "json": lambda c, k: f"get_json_object({c}, '$.{k}')",
-    "trunc_hour": lambda c: f"date_trunc('hour', {c})",
     "fits": lambda c, p: f"{c} RLIKE '{p}'",
+    "long": lambda x, n: "stack(" + n + ", " + ", ".join(f"{k}, {x}{k}" for k in range(int(n))) + f") AS (config, {x})",
+    "bit": lambda m, k: f"(shiftright({m}, {k}) & 1)",
 }
 _DUCK = {
     "ffill": lambda x: f"last_value({x} IGNORE NULLS) OVER ({UPTO})",
@@ -50,12 +51,16 @@ _DUCK = {
     "days": lambda a, b: f"date_diff('day', {b}, {a})",
     "weekday": lambda d: f"(isodow({d}) - 1)",
     "json": lambda c, k: f"json_extract_string({c}, '$.{k}')",
-    "trunc_hour": lambda c: f"date_trunc('hour', {c})",
     "fits": lambda c, p: f"regexp_full_match({c}, '{p}')",
+    "long": lambda x, n: f"unnest(range({n})) AS config, unnest([" + ", ".join(f"{x}{k}" for k in range(int(n))) + f"]) AS {x}",
+    "bit": lambda m, k: f"((CAST({m} AS BIGINT) >> CAST({k} AS INT)) & 1)",
 }
 
 
 def render(sql: str, dialect: dict[str, Callable[..., str]]) -> str:
+    """Expand the @macros@; Spark would read 1.0 as a decimal, so it gets 1.0D."""
+    if dialect is _SPARK:
+        sql = re.sub(r"(?<![\w.'])(\d+\.\d+)(?![\w.'])", r"\1D", sql)
     return re.sub(r"@(\w+)\((.*?)\)@", lambda m: dialect[m[1]](*(a.strip() for a in m[2].split(";"))), sql)
 
 
@@ -78,6 +83,8 @@ def _column(e: str | Ewm | RunningProduct) -> Column:
 
 def apply_stages(df: DataFrame, stages: list[Stage]) -> DataFrame:
     for stage in stages:
+        if again := set(stage) & set(df.columns):
+            raise ValueError(f"columns are computed twice: {sorted(again)}")
         df = df.withColumns({name: _column(e) for name, e in stage.items()})
     return df
 
@@ -103,6 +110,10 @@ def stages_sql(relation: str, stages: list[Stage]) -> str:
     return relation
 
 
+def tally(condition: str) -> str:
+    return f"CAST(sum(CASE WHEN {condition} THEN 1 ELSE 0 END) AS BIGINT)"
+
+
 @dataclass(frozen=True)
 class Base:
     """A relation for both engines: frame(spark, sf_dir) and a SQL subquery."""

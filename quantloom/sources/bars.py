@@ -38,7 +38,7 @@ def _sql(symbol: str, price: str) -> str:
 
 _FLAG_SQL = "l_returnflag || l_linestatus"
 _EQUITY = "100 + l_extendedprice / 100000.0"
-_UNIT = "round(l_extendedprice / l_quantity, 6)"
+_UNIT = "l_extendedprice / l_quantity"
 
 #: Equity-like prices: symbols are return flag and line status.
 BARS = Base(
