@@ -132,7 +132,10 @@ class Shard:
 
 
 def _by_bucket(bucket: np.ndarray) -> list[tuple[int, slice]]:
-    cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.empty(0, np.int64)
+    """Slices of a sorted bucket column."""
+    if not len(bucket):
+        return []
+    cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
     return [(int(bucket[a]), slice(int(a), int(b))) for a, b in zip(cut, np.r_[cut[1:], len(bucket)], strict=True)]
 
 
