@@ -52,21 +52,44 @@ def public_vocabulary(path: str | None = None) -> list[str]:
 
 
 def words_of(text: str) -> Counter:
-    words: Counter = Counter()
-    for run in _RUNS.findall(text.lower()):
-        if len(run) <= CHUNK:
-            words[run] += 1
-        else:
-            words.update(run[i : i + CHUNK] for i in range(0, len(run), CHUNK))
-    return Counter({w: n for w, n in words.items() if any(map(str.isalpha, w))})
+    words = Counter(_RUNS.findall(text.lower()))
+    for run in [w for w in words if len(w) > CHUNK]:
+        n = words.pop(run)
+        for i in range(0, len(run), CHUNK):
+            words[run[i : i + CHUNK]] += n
+    for w in [w for w in words if not w.isalpha()]:  # digits beyond the decimal ones, marks
+        if not any(map(str.isalpha, w)):
+            del words[w]
+    return words
+
+
+_BASE, _SLOTS = 0x9E3779B97F4A7C15, 18
+_SPREAD = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 
 
-@dataclass
 class Lattice:
-    """Pieces by number; a lone character without a piece has its own, improbable number."""
+    """Pieces by number; a lone character without a piece has its own, improbable number.
 
-    number: dict[str, int]
-    longest: int
+    Substrings of many words are looked up at once by 64-bit hashes of their code points, in
+    a few small tables: a piece stands in the first whose slot was free.
+    """
+
+    def __init__(self, number: dict[str, int], longest: int) -> None:
+        self.number, self.longest = number, longest
+        self.hashes = np.zeros(len(number) + 2, dtype=np.uint64)  # the last, "no piece", has 0
+        self.tables = [np.full(1 << _SLOTS, len(number) + 1, dtype=np.int32) for _ in _SPREAD]
+        for piece, k in number.items():
+            h = 1
+            for c in piece:
+                h = (h * _BASE + ord(c)) % (1 << 64)
+            self.hashes[k] = h
+            for table, spread in zip(self.tables, _SPREAD, strict=True):
+                slot = (h ^ h >> 32) * spread % (1 << 64) >> 64 - _SLOTS
+                if table[slot] == len(number) + 1:
+                    table[slot] = k
+                    break
+            else:
+                raise ValueError(f"no free slot for the piece {piece!r}")
 
     @classmethod
     def of(cls, pieces: list[str]) -> Lattice:
@@ -77,24 +100,42 @@ class Lattice:
     def size(self) -> int:
         return len(self.number) + 2  # ..., unknown character, no piece
 
+    def find(self, h: np.ndarray) -> np.ndarray:
+        out = np.full(len(h), len(self.number) + 1, dtype=np.int32)
+        mixed = h ^ h >> np.uint64(32)
+        for table, spread in zip(self.tables, _SPREAD, strict=True):
+            k = table[(mixed * np.uint64(spread)) >> np.uint64(64 - _SLOTS)]
+            out = np.where(self.hashes[k] == h, k, out)
+        return out
+
     def arcs(self, words: list[str]) -> Iterator[tuple[np.ndarray, int, list[tuple[int, int]], np.ndarray]]:
-        """By length: positions in words, length, arcs (i, j), piece numbers (words x arcs)."""
+        """By length: positions in words, length, arcs (i, j), piece numbers (arcs x words)."""
         by_length = defaultdict(list)
         for k, w in enumerate(words):
             by_length[len(w) + 1].append(k)
-        get, none, lone = self.number.get, len(self.number) + 1, len(self.number)
+        none, lone = len(self.number) + 1, len(self.number)
         for n, own in by_length.items():
             arcs = [(i, j) for j in range(1, n + 1) for i in range(max(0, j - self.longest), j)]
-            flat = [get(w[i:j], lone if j - i == 1 else none) for k in own for w in (_MARK + words[k],) for i, j in arcs]
-            yield np.array(own), n, arcs, np.array(flat, dtype=np.int32).reshape(len(own), len(arcs))
+            column = {arc: c for c, arc in enumerate(arcs)}
+            text = "".join(_MARK + words[k] for k in own).encode("utf-32-le", "surrogatepass")
+            codes = np.frombuffer(text, dtype=np.uint32).reshape(len(own), n).T.astype(np.uint64)
+            idx = np.empty((len(arcs), len(own)), dtype=np.int32)
+            with np.errstate(over="ignore"):
+                for i in range(n):
+                    h = np.ones(len(own), dtype=np.uint64)
+                    for j in range(i + 1, min(n, i + self.longest) + 1):
+                        h = h * np.uint64(_BASE) + codes[j - 1]
+                        found = self.find(h)
+                        idx[column[i, j]] = np.where(found == none, lone, found) if j == i + 1 else found
+            yield np.array(own), n, arcs, idx
 
 
 def forward(p: np.ndarray, n: int, arcs: list[tuple[int, int]], idx: np.ndarray) -> np.ndarray:
     """alpha[position, word, language]."""
-    alpha = np.zeros((n + 1, len(idx), p.shape[1]))
+    alpha = np.zeros((n + 1, idx.shape[1], p.shape[1]))
     alpha[0] = 1
     for c, (i, j) in enumerate(arcs):
-        alpha[j] += alpha[i] * p[idx[:, c]]
+        alpha[j] += alpha[i] * p[idx[c]]
     return alpha
 
 
@@ -113,11 +154,11 @@ def fit(lattice: Lattice, words: list[str], counts: np.ndarray) -> np.ndarray:
             share = counts[own] / np.maximum(alpha[n], 1e-300)
             for c in range(len(arcs) - 1, -1, -1):
                 i, j = arcs[c]
-                beta[i] += beta[j] * p[idx[:, c]]
+                beta[i] += beta[j] * p[idx[c]]
             for c, (i, j) in enumerate(arcs):
-                gain = share * alpha[i] * p[idx[:, c]] * beta[j]
+                gain = share * alpha[i] * p[idx[c]] * beta[j]
                 live = gain.any(1)
-                np.add.at(seen, idx[live, c], gain[live])
+                np.add.at(seen, idx[c, live], gain[live])
         seen[:-2] += SMOOTH
         p = seen / np.maximum(seen[:-2].sum(0), 1)
         p[-2], p[-1] = UNKNOWN, 0
