@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from quantloom.functions.windows import prev
 from quantloom.plans.engine import UPTO, Query, tally
-from quantloom.sources.bars import RAW_BARS, from_table
+from quantloom.sources.bars import RAW_BARS, VENDOR_BARS, from_table
 
 JUMP = 0.20
 STALE = 5
@@ -49,9 +49,9 @@ def declared() -> dict[str, Query]:
             f"SELECT symbol, {tally('open > 0 AND high > 0 AND low > 0 AND volume >= 0 AND low <= least(open, close) AND high >= greatest(open, close)')} AS n_valid, count(*) AS n FROM {{t}} GROUP BY symbol",
         ),
         "normalize_ohlcv": Query(
-            RAW_BARS, [{"adj": "0.3711217 * close"}, {"factor": "round(adj / close, 6)"},
-                {"o": "round(open * factor, 6)", "h": "round(high * factor, 6)", "l": "round(low * factor, 6)", "c": "round(adj, 6)"}],
-            "SELECT symbol, ts, o AS open, greatest(h, o, c) AS high, least(l, o, c) AS low, c AS close, factor FROM {t} WHERE c > 0",
+            VENDOR_BARS, [{"factor": "CAST(CASE WHEN ts < DATE '1998-01-01' THEN '0.371122' ELSE '1.0' END AS DECIMAL(10, 6))"},
+                {x[0]: f"round(CAST({x} AS DECIMAL(18, 2)) * factor, 6)" for x in ("open", "high", "low", "close")}],
+            "SELECT symbol, ts, " + ", ".join(f"CAST({e} AS DOUBLE) AS {n}" for n, e in (("open", "o"), ("high", "greatest(h, o, c)"), ("low", "least(l, o, c)"), ("close", "c"), ("factor", "factor"))) + " FROM {t} WHERE c > 0",
         ),
         "upsert_bars": Query(
             line, [],

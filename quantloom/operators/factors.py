@@ -153,7 +153,7 @@ def declared() -> dict[str, Query]:
         "ic_summary": Query(
             PANEL, _AHEAD,
             f"""SELECT count(*) AS n, round(avg(ic), 6) AS mean_ic, round(stddev_samp(ic), 6) AS std_ic, round(avg(ic) / greatest(stddev_samp(ic), 1e-12), 6) AS ir,
-                round(avg(ic) / greatest(stddev_samp(ic), 1e-12) * sqrt(count(*)), 6) AS t_stat, round(avg(CASE WHEN ic > 0 THEN 1.0 ELSE 0.0 END), 6) AS hit_rate FROM ({_IC})""",
+                round(avg(ic) / greatest(stddev_samp(ic), 1e-12) * sqrt(count(*)), 6) AS t_stat, round(avg(CASE WHEN ic > 1e-9 THEN 1.0 ELSE 0.0 END), 6) AS hit_rate FROM ({_IC})""",
         ),
         "xs_panel": Query(PANEL, [], "SELECT ts, count(*) AS n_symbols, round(avg(close), 13) AS mean_close FROM {t} GROUP BY ts"),
     }
