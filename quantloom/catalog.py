@@ -9,21 +9,23 @@ from pyspark.sql import DataFrame, SparkSession
 from quantloom.operators import data_quality, factors, kernel, lab, simulation, validation, valuation
 from quantloom.operators.signals import SIGNALS
 from quantloom.operators.stateful import donchian_atr_trail
+from quantloom.plans import search
 from quantloom.plans.engine import Query
+from quantloom.sources import edgar
 from quantloom.sources.bars import BARS
 
 
 def _declared() -> dict[str, Query]:
     out = {"bars_ohlcv": Query(BARS, [], "SELECT symbol, ts, round(open, 9) open, round(high, 9) high, round(low, 9) low, round(close, 9) close, volume FROM {t}")}
     out |= {f"sig_{name}": Query(BARS, make(), "SELECT symbol, ts, round(signal, 6) AS signal FROM {t}") for name, make in SIGNALS.items()}
-    for module in (kernel, data_quality, factors, validation, lab, valuation):
+    for module in (kernel, data_quality, factors, validation, lab, valuation, search):
         out |= module.declared()
     return out
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {**_declared(), "sig_donchian_atr_trail": lambda spark, sf_dir: donchian_atr_trail(BARS.frame(spark, sf_dir)), **simulation.queries()}
+    return {**_declared(), "sig_donchian_atr_trail": lambda spark, sf_dir: donchian_atr_trail(BARS.frame(spark, sf_dir)), "edgar_annual_facts": edgar.query, **simulation.queries()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: q.sql() for name, q in _declared().items()}
+    return {name: q.sql() for name, q in _declared().items()} | {"edgar_annual_facts": edgar.oracle_sql()}

@@ -27,7 +27,7 @@ def backtest(cost: float = COST) -> list[Stage]:
     ]
 
 
-def run(signal: str = "sma", base: Base = BARS, cost: float = COST, **params: float) -> Base:
+def run(signal: str = "sma", base: Base = BARS, cost: float = COST, /, **params: float) -> Base:
     """The kernel's rows for one signal."""
     return Query(base, [*SIGNALS[signal](**params), *backtest(cost)], "SELECT symbol, ts, close, ret, pos, turn, gross, net, equity, peak FROM {t}").as_base()
 

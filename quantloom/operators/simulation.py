@@ -8,8 +8,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from quantloom.operators.kernel import run
+from quantloom.operators.statistics import probabilistic_sharpe
 
 YEAR = 252
 
@@ -75,8 +77,22 @@ def bootstrap(returns: DataFrame, seed: int = 3) -> DataFrame:
     return drawn.join(at.select("symbol", "i", "ret"), ["symbol", "i"]).select("symbol", "ts", "ret")
 
 
+@F.pandas_udf(DoubleType())
+def _psr(sharpe: pd.Series, n: pd.Series, skew: pd.Series, kurtosis: pd.Series) -> pd.Series:
+    out = [probabilistic_sharpe(*row) if all(map(np.isfinite, row)) else None for row in zip(sharpe, sharpe * 0, n, skew, kurtosis, strict=True)]
+    return pd.Series(out, dtype="float64")
+
+
+def probabilistic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probability that each symbol's true Sharpe ratio is above zero; one row per symbol meets Python."""
+    net = run("sma").frame(spark, sf_dir)
+    own = net.groupBy("symbol").agg((F.avg("net") / F.stddev_samp("net")).alias("sharpe"), F.count("*").alias("n"), F.skewness("net").alias("skew"), (F.kurtosis("net") + 3).alias("kurt"))
+    return own.select("symbol", F.round(_psr("sharpe", F.col("n").cast("double"), "skew", "kurt"), 6).alias("psr"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "probabilistic_sharpe": probabilistic,
         "monte_carlo_risk": lambda spark, _: risk(spark, 0.05, 0.2),
         "null_iid": lambda spark, _: autocorrelated(spark, phi=0.0),
         "ar1_edge": lambda spark, _: autocorrelated(spark),
