@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 LEAST = 50
 GRAM = 16
 LONGEST = 128
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 3 << 20
 MAX_BUCKET_BITS = 20
 SORT_STRINGS = 1 << 17
 _SPAN = LEAST - GRAM + 1
@@ -84,17 +84,16 @@ class Shard:
         self.ids = t["doc_id"].to_pylist()
         self.texts = [x or b"" for x in t["text"].to_pylist()]
         empty = np.empty(0, np.int64)
-        self.doc, self.start, self.count, self.trigger = [], [], [], []
+        self.doc, self.start, self.count, trigger = [], [], [], []
         for k, data in enumerate(self.texts):
             a, n, h = phrases(np.frombuffer(data, dtype=np.uint8)) if self.ids[k] is not None else (empty, empty, empty.view(_U))
             self.doc.append(np.full(len(a), k, dtype=np.int32))
             self.start.append(a.astype(np.int32))
             self.count.append(n.astype(np.int32))
-            self.trigger.append(h)
-        self.doc, self.start, self.count, self.trigger = (np.concatenate(x) if x else empty for x in (self.doc, self.start, self.count, self.trigger))
-        self.bits = bits
+            trigger.append(h)
+        self.doc, self.start, self.count, trigger = (np.concatenate(x) if x else empty for x in (self.doc, self.start, self.count, trigger))
         # bucket and the 32 bits behind it, as one number
-        self.key = (self.trigger.view(_U) >> _U(32 - bits)).astype(np.int64)
+        self.key = (trigger.view(_U) >> _U(32 - bits)).astype(np.int64)
 
     def repeats(self) -> tuple[np.ndarray, np.ndarray]:
         """Sorted keys; which of them occur in two of the shard's documents."""
