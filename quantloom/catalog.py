@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,12 +17,19 @@ from quantloom.sources import edgar
 from quantloom.sources.bars import BARS
 
 
+def _dated(q: Query) -> Query:
+    """Dates leave as ISO text, which reads the same from any engine and driver."""
+    select = re.sub(r"^SELECT (symbol, )?(\w+, )?ts\b", r"SELECT \1\2CAST(ts AS STRING) AS ts", q.select)
+    select = re.sub(r"\b(min|max)\(ts\) AS (ts|since|until)\b(?=.* FROM \{t\} GROUP BY symbol(, (part|run)\b.*)?$)", r"CAST(\1(ts) AS STRING) AS \2", select)
+    return replace(q, select=select)
+
+
 def _declared() -> dict[str, Query]:
     out = {"bars_ohlcv": Query(BARS, [], "SELECT symbol, ts, round(open, 9) open, round(high, 9) high, round(low, 9) low, round(close, 9) close, volume FROM {t}")}
     out |= {f"sig_{name}": Query(BARS, make(), "SELECT symbol, ts, round(signal, 6) AS signal FROM {t}") for name, make in SIGNALS.items()}
     for module in (kernel, data_quality, factors, validation, lab, valuation, search):
         out |= module.declared()
-    return out
+    return {name: _dated(q) for name, q in out.items()}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
