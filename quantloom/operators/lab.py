@@ -6,6 +6,7 @@ import math
 
 from quantloom.operators.kernel import HELD, SHARPE, run
 from quantloom.operators.statistics import expected_max_sharpe
+from quantloom.operators import validation
 from quantloom.operators.validation import GRID, RETURNS
 from quantloom.plans.engine import Base, Query, tally
 from quantloom.sources.bars import BARS, from_table
@@ -26,6 +27,9 @@ def _split(base: Base) -> Base:
 
 
 _HOLDOUT_BARS = Query(_split(BARS), [], "SELECT symbol, ts, open, high, low, close, volume FROM {t} WHERE part = 'holdout'").as_base()
+_HELD_OUT = Query(
+    _HOLDOUT_BARS, [{"r": "coalesce(close / lag(close, 1) OVER (PARTITION BY symbol ORDER BY ts) - 1, 0.0)"}], "SELECT symbol, r AS net FROM {t}"
+).as_base()
 _FINAL = Query(TRIALS, [], f"""SELECT symbol, config, sharpe, n, n_trials, sharpe - greatest(sd * {expected_max_sharpe(1.0, len(GRID))!r}, 0.0) AS margin, years FROM
     (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY round(sharpe, 12) DESC, config) AS place, stddev_samp(sharpe) OVER (PARTITION BY symbol) AS sd,
         count(*) OVER (PARTITION BY symbol) AS n_trials, @days(until; since)@ / 365.25 AS years FROM {{t}}) WHERE place = 1""").as_base()
@@ -33,16 +37,26 @@ _FROZEN = "DATE '1999-06-30'"
 
 
 def declared() -> dict[str, Query]:
-    sma, held = run("sma"), HELD
+    sma, held, validated = run("sma"), HELD, validation.declared()
     forward = f"""SELECT f.symbol, count(*) AS n, round(exp(sum(ln(1 + f.net))) - 1, 6) AS total, round(exp(sum(ln(1 + h.net))) - 1, 6) AS held,
         round(coalesce({YEAR!r} * avg(f.net) / nullif(stddev_samp(f.net), 0), 0.0), 6) AS sharpe FROM {{t}} f JOIN {{held}} h ON f.symbol = h.symbol AND f.ts = h.ts WHERE f.ts > {_FROZEN} GROUP BY f.symbol"""
     return {
         "holdout_split": Query(_split(BARS), [], "SELECT symbol, part, count(*) AS n, min(ts) AS since, max(ts) AS until FROM {t} GROUP BY symbol, part"),
         "holdout_score": Query(run("sma", _HOLDOUT_BARS), [], f"SELECT symbol, count(*) AS n, round({SHARPE}, 6) AS sharpe FROM {{t}} GROUP BY symbol"),
-        "gate": Query(_FINAL, [], """SELECT symbol, round(margin, 6) AS margin, margin > 0 AS deflated_ok, years >= CASE WHEN sharpe > 0 THEN 2 * ln(n_trials) / (sharpe * sharpe) ELSE 1e9 END AS length_ok,
-            h.sharpe > 0 AS holdout_ok, h.sharpe > b.sharpe AS beats_held FROM {t} JOIN {h} h USING (symbol) JOIN {b} b USING (symbol)""".replace("sharpe > 0 THEN 2 * ln(n_trials) / (sharpe * sharpe)", "f.sharpe > 0 THEN 2 * ln(n_trials) / (f.sharpe * f.sharpe)").replace("FROM {t} JOIN", "FROM {t} f JOIN"),
-            {"h": Query(run("sma", _HOLDOUT_BARS), [], f"SELECT symbol, {SHARPE} AS sharpe FROM {{t}} GROUP BY symbol").as_base(),
-             "b": Query(Query(_HOLDOUT_BARS, [{"r": "coalesce(close / lag(close, 1) OVER (PARTITION BY symbol ORDER BY ts) - 1, 0.0)"}], "SELECT symbol, r AS net FROM {t}").as_base(), [], f"SELECT symbol, {SHARPE} AS sharpe FROM {{t}} GROUP BY symbol").as_base()}),
+        "gate": Query(
+            _FINAL, [],
+            """SELECT symbol, round(margin, 6) AS margin, margin > 0 AS deflated_ok, p.pbo < 0.5 AS overfitting_ok, s.stability >= 0.4 AS stability_ok,
+                years >= CASE WHEN f.sharpe > 0 THEN 2 * ln(n_trials) / (f.sharpe * f.sharpe) ELSE 1e9 END AS length_ok, h.sharpe > 0 AS holdout_ok, h.sharpe > b.sharpe AS beats_held,
+                margin > 0 AND p.pbo < 0.5 AND s.stability >= 0.4 AND h.sharpe > 0 AND h.sharpe > b.sharpe
+                    AND years >= CASE WHEN f.sharpe > 0 THEN 2 * ln(n_trials) / (f.sharpe * f.sharpe) ELSE 1e9 END AS graduated
+                FROM {t} f JOIN {h} h USING (symbol) JOIN {b} b USING (symbol) JOIN {p} p USING (symbol) JOIN {s} s USING (symbol)""",
+            {
+                "h": Query(run("sma", _HOLDOUT_BARS), [], f"SELECT symbol, {SHARPE} AS sharpe FROM {{t}} GROUP BY symbol").as_base(),
+                "b": Query(_HELD_OUT, [], f"SELECT symbol, {SHARPE} AS sharpe FROM {{t}} GROUP BY symbol").as_base(),
+                "p": validated["pbo"].as_base(),
+                "s": validated["parameter_stability"].as_base(),
+            },
+        ),
         "leaderboard": Query(_FINAL, [], f"SELECT symbol, CAST(config AS BIGINT) AS config, round(sharpe, 6) AS sharpe, round(margin, 6) AS margin, sharpe > sqrt(1 / years) * {math.sqrt(2 * math.log(len(GRID)))!r} AS survives, CAST(row_number() OVER (ORDER BY margin > 0 DESC, round(margin, 9) DESC, symbol) AS BIGINT) AS place FROM {{t}}"),
         "retain_recent": Query(TRIALS, [], f"SELECT symbol, CAST(config AS BIGINT) AS config FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY config DESC) AS k FROM {{t}}) WHERE k <= {RETAIN} OR sharpe > 0"),
         "pool_report": Query(TRIALS, [], f"SELECT count(*) AS n_trials, count(DISTINCT symbol) AS n_symbols, {tally('sharpe > 0')} AS n_positive, round(@pct(sharpe; 0.5)@, 6) AS median, round(@pct(sharpe; 0.95)@, 6) AS p95, round(max(sharpe), 6) AS top FROM {{t}}"),
