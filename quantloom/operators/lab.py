@@ -30,21 +30,21 @@ _HOLDOUT_BARS = Query(_split(BARS), [], "SELECT symbol, ts, open, high, low, clo
 _HELD_OUT = Query(
     _HOLDOUT_BARS, [{"r": "coalesce(close / lag(close, 1) OVER (PARTITION BY symbol ORDER BY ts) - 1, 0.0)"}], "SELECT symbol, r AS net FROM {t}"
 ).as_base()
-_FINAL = Query(TRIALS, [], f"""SELECT symbol, config, sharpe, n, n_trials, sharpe - greatest(sd * {expected_max_sharpe(1.0, len(GRID))!r}, 0.0) AS margin, years FROM
+FINAL = Query(TRIALS, [], f"""SELECT symbol, config, sharpe, n, n_trials, sharpe - greatest(sd * {expected_max_sharpe(1.0, len(GRID))!r}, 0.0) AS margin, years FROM
     (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY round(sharpe, 12) DESC, config) AS place, stddev_samp(sharpe) OVER (PARTITION BY symbol) AS sd,
         count(*) OVER (PARTITION BY symbol) AS n_trials, @days(until; since)@ / 365.25 AS years FROM {{t}}) WHERE place = 1""").as_base()
-_FROZEN = "DATE '1999-06-30'"
+FROZEN = "DATE '1999-06-30'"
 
 
 def declared() -> dict[str, Query]:
     sma, held, validated = run("sma"), HELD, validation.declared()
     forward = f"""SELECT f.symbol, count(*) AS n, round(exp(sum(ln(1 + f.net))) - 1, 6) AS total, round(exp(sum(ln(1 + h.net))) - 1, 6) AS held,
-        round(coalesce({YEAR!r} * avg(f.net) / nullif(stddev_samp(f.net), 0), 0.0), 6) AS sharpe FROM {{t}} f JOIN {{held}} h ON f.symbol = h.symbol AND f.ts = h.ts WHERE f.ts > {_FROZEN} GROUP BY f.symbol"""
+        round(coalesce({YEAR!r} * avg(f.net) / nullif(stddev_samp(f.net), 0), 0.0), 6) AS sharpe FROM {{t}} f JOIN {{held}} h ON f.symbol = h.symbol AND f.ts = h.ts WHERE f.ts > {FROZEN} GROUP BY f.symbol"""
     return {
         "holdout_split": Query(_split(BARS), [], "SELECT symbol, part, count(*) AS n, min(ts) AS since, max(ts) AS until FROM {t} GROUP BY symbol, part"),
         "holdout_score": Query(run("sma", _HOLDOUT_BARS), [], f"SELECT symbol, count(*) AS n, round({SHARPE}, 6) AS sharpe FROM {{t}} GROUP BY symbol"),
         "gate": Query(
-            _FINAL, [],
+            FINAL, [],
             """SELECT symbol, round(margin, 6) AS margin, margin > 0 AS deflated_ok, p.pbo < 0.5 AS overfitting_ok, s.stability >= 0.4 AS stability_ok,
                 years >= CASE WHEN f.sharpe > 0 THEN 2 * ln(n_trials) / (f.sharpe * f.sharpe) ELSE 1e9 END AS length_ok, h.sharpe > 0 AS holdout_ok, h.sharpe > b.sharpe AS beats_held,
                 margin > 0 AND p.pbo < 0.5 AND s.stability >= 0.4 AND h.sharpe > 0 AND h.sharpe > b.sharpe
@@ -57,14 +57,11 @@ def declared() -> dict[str, Query]:
                 "s": validated["parameter_stability"].as_base(),
             },
         ),
-        "leaderboard": Query(_FINAL, [], f"SELECT symbol, CAST(config AS BIGINT) AS config, round(sharpe, 6) AS sharpe, round(margin, 6) AS margin, sharpe > sqrt(1 / years) * {math.sqrt(2 * math.log(len(GRID)))!r} AS survives, CAST(row_number() OVER (ORDER BY margin > 0 DESC, round(margin, 9) DESC, symbol) AS BIGINT) AS place FROM {{t}}"),
+        "leaderboard": Query(FINAL, [], f"SELECT symbol, CAST(config AS BIGINT) AS config, round(sharpe, 6) AS sharpe, round(margin, 6) AS margin, margin > sqrt(1 / years) * sqrt(2 * ln(n_symbols)) AS survives, CAST(row_number() OVER (ORDER BY margin > 0 DESC, round(margin, 9) DESC, symbol) AS BIGINT) AS place FROM {{t}} CROSS JOIN (SELECT count(DISTINCT symbol) AS n_symbols FROM {{t}})"),
         "retain_recent": Query(TRIALS, [], f"SELECT symbol, CAST(config AS BIGINT) AS config FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY config DESC) AS k FROM {{t}}) WHERE k <= {RETAIN} OR sharpe > 0"),
         "pool_report": Query(TRIALS, [], f"SELECT count(*) AS n_trials, count(DISTINCT symbol) AS n_symbols, {tally('sharpe > 0')} AS n_positive, round(@pct(sharpe; 0.5)@, 6) AS median, round(@pct(sharpe; 0.95)@, 6) AS p95, round(max(sharpe), 6) AS top FROM {{t}}"),
-        "category_separation": Query(TRIALS, [], "SELECT CAST(floor(config / 3) AS BIGINT) AS category, count(*) AS n, round(avg(best), 6) AS mean_best FROM (SELECT symbol, config, sharpe, max(sharpe) OVER (PARTITION BY symbol, floor(config / 3)) AS best FROM {t}) WHERE sharpe = best GROUP BY floor(config / 3)"),
-        "statistic_agreement": Query(TRIALS, [], f"SELECT {tally('sharpe > 0 AND config % 2 = 0')} AS both_, {tally('sharpe > 0 AND config % 2 = 1')} AS first_only, {tally('sharpe <= 0 AND config % 2 = 0')} AS second_only, {tally('sharpe <= 0 AND config % 2 = 1')} AS neither FROM {{t}}"),
         "power_compare": Query(TRIALS, [], "SELECT coalesce(a.symbol, b.symbol) AS symbol, CAST(coalesce(a.config, b.config) AS BIGINT) AS config, round(a.sharpe - b.sharpe, 6) AS gain, a.sharpe IS NOT NULL AND b.sharpe IS NOT NULL AS attributable FROM (SELECT * FROM {t} WHERE config < 6) a FULL OUTER JOIN (SELECT * FROM {t} WHERE config > 2) b ON a.symbol = b.symbol AND a.config = b.config"),
         "forward_score": Query(sma, [], forward, {"held": held}),
-        "lifecycle": Query(sma, [], f"SELECT symbol, CASE WHEN n < 21 THEN 'hold' WHEN sharpe <= 0 OR total <= held THEN 'exit' ELSE 'hold' END AS state FROM ({forward})", {"held": held}),
         "book_merge": Query(TRIALS, [], "SELECT symbol, CAST(config AS BIGINT) AS config FROM {t} a WHERE NOT EXISTS (SELECT 1 FROM {t} b WHERE b.symbol = a.symbol AND b.config = a.config AND b.config % 2 = 0)"),
         "cohorts": Query(TRIALS, [], "SELECT CASE WHEN sharpe > 0 THEN 'positive' WHEN sharpe <= 0 THEN 'negative' ELSE 'unknown' END AS cohort, count(*) AS n, round(avg(sharpe), 6) AS mean_sharpe FROM {t} GROUP BY CASE WHEN sharpe > 0 THEN 'positive' WHEN sharpe <= 0 THEN 'negative' ELSE 'unknown' END"),
         "sizing": Query(sma, [], "SELECT symbol, CAST(CASE WHEN shares < 0 THEN ceil(shares) ELSE floor(shares) END AS BIGINT) AS shares FROM (SELECT symbol, 100000.0 / sum(CASE WHEN p <> 0 THEN 1 ELSE 0 END) OVER (ORDER BY symbol ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) * p / c AS shares FROM (SELECT symbol, max_by(pos, ts) AS p, max_by(close, ts) AS c FROM {t} GROUP BY symbol))"),

@@ -120,3 +120,61 @@ def test_simulations_repeat(spark):
         assert (a == b).all() and (a > 0).all()
     r = q["monte_carlo_risk"](spark, SF).first()
     assert r.p5 < r.p50 < r.p95 and 0 <= r.p_loss <= r.p_drawdown <= 1
+
+
+def test_store_keeps_what_passed_and_migrates_whole(spark, tmp_path):
+    from quantloom.sources import stores
+
+    bars = spark.createDataFrame([("A", 1, 1.0), ("B", 1, 2.0)], "symbol string, k int, v double")
+    reports = spark.createDataFrame([("A", True), ("B", False)], "symbol string, passed boolean")
+    where = (str(tmp_path / "bars"), str(tmp_path / "reports"))
+    for _ in range(2):
+        stores.store_gated(bars, reports, *where, ["symbol", "k"])
+    assert [r.symbol for r in stores.read(spark, where[0], bars).collect()] == ["A"]
+    assert stores.read(spark, where[1], reports).count() == 4
+    assert not list(tmp_path.glob("*_staged_*"))
+
+    pool = spark.createDataFrame([("A", i, i == 0) for i in range(9)] + [("B", 1, None), ("B", 1, None)], "symbol string, made int, graduated boolean")
+    assert stores.migrate(pool, str(tmp_path / "pool")) == 11
+    stores.retain(str(tmp_path / "pool"), pool, 5, "made")
+    left = stores.read(spark, str(tmp_path / "pool"), pool)
+    assert sorted(r.made for r in left.where("symbol = 'A'").collect()) == [0, 4, 5, 6, 7, 8]
+    assert left.where("symbol = 'B'").count() == 2
+
+
+def test_company_facts_prefer_tags_units_and_restatements(spark):
+    import json
+
+    from quantloom.sources import edgar
+
+    row = lambda val, fy, filed, form="10-K", fp="FY": {"end": f"{fy}-12-31", "val": val, "fy": fy, "fp": fp, "form": form, "filed": filed, "accn": filed}
+    facts = {
+        "Revenues": {"units": {"USD": [row(100, 2022, "2023-02-01"), row(110, 2022, "2023-08-01", "10-K/A"), row(150, 2023, "2024-02-01"), row(9, 2023, "2024-03-01", "10-Q", "Q1")]}},
+        "RevenueFromContractWithCustomerExcludingAssessedTax": {"units": {"EUR": [row(1, 2022, "2023-02-01")]}},
+        "CostOfRevenue": {"units": {"USD": [row(60, 2023, "2024-02-01")]}},
+        "NetCashProvidedByUsedInOperatingActivities": {"units": {"USD": [row(40, 2023, "2024-02-01")]}},
+    }
+    docs = spark.createDataFrame([(json.dumps({"entityName": "A", "facts": {"us-gaap": facts}}),), ("{}",), (None,)], "json string")
+    got = {r.fy: r for r in edgar.history(docs).collect()}
+    assert {fy: (r.revenue, r.gross, r.free_cash) for fy, r in got.items()} == {2022: (110.0, None, None), 2023: (150.0, 90.0, None)}
+    last = edgar.snapshot(docs).first()
+    assert (last.fy, last.growth, last.gross_margin, last.net_margin) == (2023, 40 / 110, 0.6, None)
+
+
+def test_lifecycle_rules(spark):
+    from quantloom.operators.book import lifecycle
+    from quantloom.plans.engine import Base
+
+    def curve(nets):
+        wealth = np.cumprod(1 + np.array(nets))
+        days = pd.bdate_range("2024-01-02", periods=len(nets)).date
+        return spark.createDataFrame(pd.DataFrame({"symbol": "A", "ts": days, "net": nets, "equity": wealth}), "symbol string, ts date, net double, equity double")
+
+    def judged(nets, held):
+        return lifecycle(Base(lambda *_: curve(nets), ""), Base(lambda *_: curve(held), ""), "DATE '2024-01-01'")(spark, "").first()
+
+    good, flat = [0.01, -0.002] * 40, [0.002, -0.004] * 40
+    assert judged(good[:20], flat[:20]).reasons == "grace"
+    assert judged(good, flat).state == "hold"
+    assert judged(flat, good).reasons == "decayed,behind holding"
+    assert judged([0.1, -0.3, *good], [0.1, -0.3, *flat]).reasons == "drawdown"
