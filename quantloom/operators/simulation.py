@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -10,8 +12,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from quantloom.operators.kernel import run
+from quantloom.operators.kernel import COST, run
 from quantloom.operators.statistics import probabilistic_sharpe
+from quantloom.sources.bars import BARS
 
 YEAR = 252
 
@@ -37,44 +40,148 @@ def risk(spark: SparkSession, mu: float, sigma: float, n_paths: int = 500, n_ste
     )
 
 
+BARS_OUT = "symbol string, ts date, open double, high double, low double, close double, volume double"
+VOL, DRIFT, START = 0.012, 0.0003, 100.0
+
+
+def assembled(symbol: str, close: np.ndarray, rng: np.random.Generator, vol: float = VOL) -> pd.DataFrame:
+    """Bars around closes, on business days from 2010-01-04; high and low always hold the body."""
+    n = len(close)
+    opened = close * (1 + rng.normal(0, vol / 3, n))
+    high = np.maximum(opened, close) * (1 + np.abs(rng.normal(0, vol / 2, n)))
+    low = np.minimum(opened, close) * (1 - np.abs(rng.normal(0, vol / 2, n)))
+    days = pd.bdate_range("2010-01-04", periods=n).date
+    return pd.DataFrame({"symbol": symbol, "ts": days, "open": opened, "high": high, "low": low, "close": close, "volume": rng.integers(1_000_000, 5_000_000, n).astype(float)})
+
+
 def _ar1(phi: float, n_bars: int, seed: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     def walk(key: pd.DataFrame) -> pd.DataFrame:
-        rng = np.random.default_rng([seed, int(key["id"].iloc[0])])
-        shock, r = rng.normal(0, 0.01, n_bars), np.empty(n_bars)
+        k = int(key["id"].iloc[0])
+        rng = np.random.default_rng([seed, k])
+        shock, r = rng.normal(0, VOL, n_bars), np.empty(n_bars)
         last = 0.0
         for i, e in enumerate(shock):
-            last = r[i] = phi * last + e
-        days = pd.bdate_range("2010-01-04", periods=n_bars)
-        return pd.DataFrame({"symbol": f"S{key['id'].iloc[0]}", "ts": days.date, "close": 100 * np.cumprod(1 + r)})
+            last = phi * last + e
+            r[i] = DRIFT + last
+        return assembled(f"S{k}", START * np.cumprod(1 + r), rng)
 
     return walk
 
 
 def autocorrelated(spark: SparkSession, n_symbols: int = 8, n_bars: int = 504, phi: float = 0.3, seed: int = 11) -> DataFrame:
-    """(symbol, ts, close) whose returns follow an AR(1); phi 0 is the null."""
-    return spark.range(n_symbols).groupBy("id").applyInPandas(_ar1(phi, n_bars, seed), "symbol string, ts date, close double")
-
-
-def _kalman(rows: pd.DataFrame) -> pd.DataFrame:
-    """Filtered deviation from a random-walk level: a local-level filter on log prices."""
-    rows = rows.sort_values("ts")
-    level, spread, q, r = np.log(rows["close"].iloc[0]), 1.0, 1e-5, 1e-4
-    out = []
-    for x in np.log(rows["close"]):
-        spread += q
-        gain = spread / (spread + r)
-        level += gain * (x - level)
-        spread *= 1 - gain
-        out.append(x - level)
-    return rows[["symbol", "ts"]].assign(deviation=out)
-
-
-def bootstrap(returns: DataFrame, seed: int = 3) -> DataFrame:
-    """Each row's return drawn with replacement from its symbol's, by hashed positions."""
+    """Bars whose returns follow an AR(1); phi 0 is the independent null."""
+    return spark.range(n_symbols).groupBy("id").applyInPandas(_ar1(phi, n_bars, seed), BARS_OUT)
+
+
+class Band(NamedTuple):
+    """A reverting deviation around a random-walk level; total volatility is the same at every half-life."""
+
+    half_life: float
+    share: float = 0.5
+    vol: float = VOL
+    drift: float = DRIFT
+
+    @property
+    def rho(self) -> float:
+        return 0.5 ** (1 / self.half_life)
+
+    @property
+    def deviation_vol(self) -> float:
+        return self.vol * (self.share / (2 * (1 - self.rho))) ** 0.5
+
+    @property
+    def level_vol(self) -> float:
+        return self.vol * (1 - self.share) ** 0.5
+
+
+def filtered(log_price: np.ndarray, band: Band) -> np.ndarray:
+    """Causal estimate of the deviation: a Kalman filter on log-price increments.
+
+    The state is the deviation and the one before it, since an increment shows their difference.
+    """
+    move = np.array([[band.rho, 0.0], [1.0, 0.0]])
+    noise = np.array([[band.deviation_vol**2 * (1 - band.rho**2), 0.0], [0.0, 0.0]])
+    seen = np.array([1.0, -1.0])
+    state, spread = np.zeros(2), np.diag([band.deviation_vol**2, band.deviation_vol**2])
+    out = np.zeros(len(log_price))
+    for t in range(1, len(log_price)):
+        state, spread = move @ state, move @ spread @ move.T + noise
+        var = seen @ spread @ seen + band.level_vol**2
+        gain = spread @ seen / var if var > 0 else np.zeros(2)
+        state = state + gain * (log_price[t] - log_price[t - 1] - band.drift - seen @ state)
+        spread = spread - np.outer(gain, seen @ spread)
+        out[t] = state[0]
+    return out
+
+
+def _band(band: Band, n_bars: int, seed: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    def walk(key: pd.DataFrame) -> pd.DataFrame:
+        k = int(key["id"].iloc[0])
+        rng = np.random.default_rng([seed, k])
+        deviation = np.empty(n_bars)
+        last = 0.0
+        for i, e in enumerate(rng.normal(0, band.deviation_vol * (1 - band.rho**2) ** 0.5, n_bars)):
+            last = deviation[i] = band.rho * last + e
+        log_price = np.cumsum(rng.normal(band.drift, band.level_vol, n_bars)) + deviation
+        bars = assembled(f"S{k}", START * np.exp(log_price), rng, band.vol)
+        before = lambda x: np.r_[np.nan, band.drift + (band.rho - 1) * x[:-1]]
+        return bars.assign(deviation=deviation, oracle_mean=before(deviation), achievable_mean=before(filtered(log_price, band)))
+
+    return walk
+
+
+def reverting(spark: SparkSession, band: Band, n_symbols: int = 8, n_bars: int = 504, seed: int = 13) -> DataFrame:
+    """Bars with what is known of the next return: from the hidden deviation, and from prices alone."""
+    return spark.range(n_symbols).groupBy("id").applyInPandas(_band(band, n_bars, seed), f"{BARS_OUT}, deviation double, oracle_mean double, achievable_mean double")
+
+
+def oracle_sharpe(bars: DataFrame, mean: str, cost: float = 0.0) -> DataFrame:
+    """(symbol, n, sharpe) of holding the sign of a conditional mean over the very bar that it predicts."""
+    w = Window.partitionBy("symbol").orderBy("ts")
+    held = (
+        bars.withColumn("ret", F.col("close") / F.lag("close").over(w) - 1).where("ret IS NOT NULL")
+        .withColumn("pos", F.coalesce(F.when(~F.isnan(mean), F.signum(mean)), F.lit(0.0)))
+        .withColumn("net", F.col("pos") * F.col("ret") - F.abs(F.col("pos") - F.coalesce(F.lag("pos").over(w), F.lit(0.0))) * cost)
+    )
+    ratio = F.lit(YEAR**0.5) * F.avg("net") / F.expr("nullif(stddev_samp(net), 0)")
+    return held.groupBy("symbol").agg(F.count("*").alias("n"), F.coalesce(F.when(F.count("*") >= 3, ratio), F.lit(0.0)).alias("sharpe"))
+
+
+def capture(finalists: DataFrame, oracle: DataFrame) -> DataFrame:
+    """Share of the oracle's median that the finalists' median reaches; null where it is within its error.
+
+    Both have (symbol, sharpe), the oracle also its number of bars.
+    """
+    both = finalists.select("symbol", F.col("sharpe").alias("found")).join(oracle, "symbol")
+    own = both.agg(F.count("*").alias("n"), F.median("found").alias("found"), F.median("sharpe").alias("known"), (F.median("n") / YEAR).alias("years"))
+    error = F.sqrt((1 + F.col("known") ** 2 / 2) / F.col("years"))
+    return own.select("n", "found", "known", error.alias("error"), F.when(F.col("known") > error, F.col("found") / F.col("known")).alias("capture"))
+
+
+def bootstrap(bars: DataFrame, seed: int = 3) -> DataFrame:
+    """Bars resampled with replacement: each draw brings a row's return with its own open, high, low and volume.
+
+    Draws follow hashed positions, so that they are the same on any partitioning; closes compound
+    from the first close of the symbol. A symbol of one bar has no return to draw and gives no rows.
+    """
     w = Window.partitionBy("symbol").orderBy("ts")
-    at = returns.withColumns({"i": F.row_number().over(w), "n": F.count("*").over(Window.partitionBy("symbol"))})
-    drawn = at.select("symbol", "ts", (F.pmod(F.xxhash64("symbol", "i", F.lit(seed)), F.col("n")) + 1).alias("i"))
-    return drawn.join(at.select("symbol", "i", "ret"), ["symbol", "i"]).select("symbol", "ts", "ret")
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    shape = [(F.col(c) / F.col("close")).alias(f"{c}_x") for c in ("open", "high", "low")]
+    source = (
+        bars.withColumns({"back": F.lag("close").over(w), "start": F.first("close").over(w)}).where("back IS NOT NULL")
+        .withColumns({"i": F.row_number().over(w), "n": F.count("*").over(Window.partitionBy("symbol"))})
+        .select("symbol", "ts", "i", "n", "start", (F.col("close") / F.col("back")).alias("growth"), *shape, "volume")
+    )
+    drawn = source.select("symbol", "ts", "start", (F.pmod(F.xxhash64("symbol", "i", F.lit(seed)), F.col("n")) + 1).alias("i"))
+    made = (
+        drawn.join(source.select("symbol", "i", "growth", "open_x", "high_x", "low_x", "volume"), ["symbol", "i"])
+        .withColumn("close", F.col("start") * F.exp(F.sum(F.ln("growth")).over(upto)))
+        .withColumn("open", F.col("close") * F.col("open_x"))
+    )
+    return made.select(
+        "symbol", "ts", "open", F.greatest(F.col("close") * F.col("high_x"), "open", "close").alias("high"),
+        F.least(F.col("close") * F.col("low_x"), "open", "close").alias("low"), "close", "volume",
+    )
 
 
 @F.pandas_udf(DoubleType())
@@ -96,6 +203,18 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "monte_carlo_risk": lambda spark, _: risk(spark, 0.05, 0.2),
         "null_iid": lambda spark, _: autocorrelated(spark, phi=0.0),
         "ar1_edge": lambda spark, _: autocorrelated(spark),
-        "kalman_deviation": lambda spark, _: autocorrelated(spark).groupBy("symbol").applyInPandas(_kalman, "symbol string, ts date, deviation double"),
-        "null_bootstrap": lambda spark, sf_dir: bootstrap(run("sma").frame(spark, sf_dir).select("symbol", "ts", "ret")),
+        "band_reversion": lambda spark, _: reverting(spark, Band(5.0)),
+        "kalman_deviation": lambda spark, _: reverting(spark, Band(5.0)).select("symbol", "ts", "deviation", "achievable_mean"),
+        "oracle_sharpes": _oracles,
+        "null_bootstrap": lambda spark, sf_dir: bootstrap(BARS.frame(spark, sf_dir)),
     }
+
+
+def _oracles(spark: SparkSession, _: str) -> DataFrame:
+    """Gross, net and achievable oracle of each half-life."""
+    parts = []
+    for half_life in (1.0, 5.0, 20.0):
+        bars = reverting(spark, Band(half_life))
+        for kind, mean, cost in (("gross", "oracle_mean", 0.0), ("net", "oracle_mean", COST), ("achievable", "achievable_mean", COST)):
+            parts.append(oracle_sharpe(bars, mean, cost).select(F.lit(half_life).alias("half_life"), F.lit(kind).alias("kind"), "symbol", "n", F.round("sharpe", 6).alias("sharpe")))
+    return reduce(DataFrame.unionByName, parts)

@@ -178,3 +178,34 @@ def test_lifecycle_rules(spark):
     assert judged(good, flat).state == "hold"
     assert judged(flat, good).reasons == "decayed,behind holding"
     assert judged([0.1, -0.3, *good], [0.1, -0.3, *flat]).reasons == "drawdown"
+
+
+def test_band_reversion_and_its_filter(spark):
+    from quantloom.operators import simulation as sim
+
+    band = sim.Band(5.0)
+    d = sim.reverting(spark, band, n_symbols=2, n_bars=4000).toPandas().sort_values(["symbol", "ts"])
+    assert ((d.high >= d[["open", "close"]].max(axis=1)) & (d.low <= d[["open", "close"]].min(axis=1))).all()
+    r = np.log(d.close).groupby(d.symbol).diff()
+    assert abs(r.std() / band.vol - 1) < 0.05
+    assert d.deviation.corr(d.groupby("symbol").oracle_mean.shift(-1)) < -0.999
+    assert d.oracle_mean.corr(d.achievable_mean) > 0.3
+    bars = spark.createDataFrame(d)
+    gross, net = (sim.oracle_sharpe(bars, "oracle_mean", c).agg({"sharpe": "avg"}).first()[0] for c in (0.0, 0.001))
+    known = sim.oracle_sharpe(bars, "achievable_mean", 0.0)
+    assert gross > known.agg({"sharpe": "avg"}).first()[0] > 0 and gross > net
+    assert abs(sim.capture(known, known).first().capture - 1) < 1e-12
+
+
+def test_bootstrap_draws_whole_rows(spark, bars):
+    from quantloom.operators.simulation import bootstrap
+
+    had, got = (d.toPandas().sort_values(["symbol", "ts"]) for d in (bars, bootstrap(bars)))
+    assert len(got) == len(had) - had.symbol.nunique()
+    for symbol, own in got.groupby("symbol"):
+        src = had[had.symbol == symbol]
+        shapes = set((src.open / src.close).round(9)), set((own.open / own.close).round(9))
+        assert shapes[1] <= shapes[0]
+        growth = (src.close / src.close.shift()).dropna().round(9)
+        assert (own.close / own.close.shift()).dropna().round(9).isin(set(growth)).mean() > 0.99
+    assert ((got.high >= got[["open", "close"]].max(axis=1)) & (got.low <= got[["open", "close"]].min(axis=1))).all()
