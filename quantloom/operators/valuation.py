@@ -55,7 +55,7 @@ def declared() -> dict[str, Query]:
     pe = "market / nullif(CASE WHEN income > 0 THEN income END, 0)"
     quality = f"(f_score / 9.0 + least(greatest(gross / assets, 0.0), 0.5) / 0.5 + ({_flag('debt / assets < 0.5')} + {_flag('cash_flow > 0')}) / 2.0) / 3"
     return {
-        "annual_facts": Query(FACTS, [], "SELECT symbol, fy, round(revenue, 2) AS revenue, round(gross, 2) AS gross, round(income, 2) AS income, shares FROM {t}"),
+        "annual_facts": Query(FACTS, [], "SELECT symbol, fy, round(revenue, 5) AS revenue, round(gross, 5) AS gross, round(income, 5) AS income, shares FROM {t}"),
         "snapshot": Query(FACTS, [], f"SELECT symbol, fy, round((revenue - p_revenue) / abs(p_revenue), 6) AS growth, round(gross / revenue, 6) AS gross_margin, round(income / revenue, 6) AS net_margin FROM ({_PAIRED}) WHERE back = 1"),
         "f_score": Query(FACTS, [], f"SELECT symbol, fy, CAST(f_score AS BIGINT) AS f_score FROM ({_SCORED})"),
         "quality_score": Query(FACTS, [], f"SELECT symbol, round({quality}, 6) AS quality FROM ({_SCORED}) WHERE back = 1"),

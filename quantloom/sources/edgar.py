@@ -55,7 +55,7 @@ def line_items(documents: DataFrame, items: dict[str, tuple[tuple[str, ...], str
 
 def annual_facts(documents: DataFrame, tags: tuple[str, ...] = REVENUE, unit: str = "USD") -> DataFrame:
     """(symbol, fy, value) of one line item."""
-    return line_items(documents, {"item": (tags, unit)}).select("symbol", "fy", F.round("value", 2).alias("value"))
+    return line_items(documents, {"item": (tags, unit)}).select("symbol", "fy", "value")
 
 
 def history(documents: DataFrame) -> DataFrame:
@@ -94,10 +94,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    cents = lambda *names: [F.round(n, 2).alias(n) for n in names]
+    exact = lambda *names: [F.round(n, 5).alias(n) for n in names]  # noqa: E731  # beyond the last digit that a sum can have: no ties
     return {
-        "edgar_annual_facts": lambda spark, sf_dir: annual_facts(documents(spark, sf_dir)),
-        "edgar_history": lambda spark, sf_dir: history(documents(spark, sf_dir)).select("symbol", "fy", "accession", *cents("revenue", "net_income", "gross", "free_cash", "assets", "equity", "shares")),
+        "edgar_annual_facts": lambda spark, sf_dir: annual_facts(documents(spark, sf_dir)).select("symbol", "fy", *exact("value")),
+        "edgar_history": lambda spark, sf_dir: history(documents(spark, sf_dir)).select("symbol", "fy", "accession", *exact("revenue", "net_income", "gross", "free_cash", "assets", "equity", "shares")),
         "edgar_snapshot": lambda spark, sf_dir: snapshot(documents(spark, sf_dir)).select("symbol", "fy", "form", *[F.round(n, 6).alias(n) for n in ("growth", "gross_margin", "net_margin")]),
     }
 
@@ -105,9 +105,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     before = "lag(revenue) OVER (PARTITION BY symbol ORDER BY fy)"
     return {
-        "edgar_annual_facts": f"SELECT symbol, fy, round(revenue, 2) AS value FROM {FACTS.sql}",
-        "edgar_history": f"""SELECT symbol, fy, 'a' || fy AS accession, round(revenue, 2) AS revenue, round(income, 2) AS net_income, round(revenue - cogs, 2) AS gross,
-            round(cash_flow - debt, 2) AS free_cash, round(assets, 2) AS assets, CAST(NULL AS DOUBLE) AS equity, CAST(shares AS DOUBLE) AS shares FROM {FACTS.sql}""",
+        "edgar_annual_facts": f"SELECT symbol, fy, round(revenue, 5) AS value FROM {FACTS.sql}",
+        "edgar_history": f"""SELECT symbol, fy, 'a' || fy AS accession, round(revenue, 5) AS revenue, round(income, 5) AS net_income, round(revenue - cogs, 5) AS gross,
+            round(cash_flow - debt, 5) AS free_cash, round(assets, 5) AS assets, CAST(NULL AS DOUBLE) AS equity, CAST(shares AS DOUBLE) AS shares FROM {FACTS.sql}""",
         "edgar_snapshot": f"""SELECT symbol, fy, '10-K/A' AS form, round((revenue - prior) / abs(prior), 6) AS growth, round((revenue - cogs) / revenue, 6) AS gross_margin, round(income / revenue, 6) AS net_margin
             FROM (SELECT *, {before} AS prior, row_number() OVER (PARTITION BY symbol ORDER BY fy DESC) AS back FROM {FACTS.sql}) WHERE back = 1""",
     }
