@@ -1,20 +1,21 @@
 """HTML extraction by nearest-URL page differencing over structured text lines.
 
 A page is cut into text lines (its blocks, in page order). Pages of a host are ordered by URL
-path and each is paired with the neighbour that shares the longest path prefix; the two
-pages' lines are aligned by longest common subsequence and the shared lines deleted, for
-what two pages of a site have in common is the site's.
+path and each is paired with the nearest page of other lines that shares the longest path
+prefix; the two pages' lines are aligned by longest common subsequence and the shared lines
+deleted, for what two pages of a site have in common is the site's.
 
 Differencing alone cannot give the article here: these sites' menus, adverts and footers differ
 on every page, and mirrored pages share the article itself. So markup has its say first. Elements that
 are never the article (menus, headers, footers, sidebars, forms, ...) are skipped by tag,
-role or class; a page with an ``article`` or ``main`` element keeps that element's lines
-whole and loses the rest, and differencing decides on the lines of pages without one.
-A neighbour with exactly the same lines is a mirror and no evidence.
-
-Only line hashes travel: the ordered pages are dealt out in blocks of ``BLOCK`` neighbours (with
-one page of overlap), however many pages a host has, and the decisions are joined back,
-broadcast where they are few and shuffled where not.
+role or class, and lines in an ``article`` or ``main`` element are protected: they are evidence
+about other pages but stay. Differencing decides on all other lines. A page with exactly the
+same lines is a mirror and no evidence, however many stand side by side.
+
+Only line hashes travel: the ordered pages are collapsed to runs of equal lines, so that the
+runs next to a page's own are its nearest different pages. Runs are dealt out in blocks of
+``BLOCK`` neighbours (with one run of overlap), however many pages a host has, and the decisions
+are joined back, broadcast where they are few and shuffled where not.
 """
 
 from __future__ import annotations
@@ -201,69 +202,117 @@ def _hash(line: str) -> int:
 
 def _outline(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        hosts, paths, hashes = [], [], []
+        hosts, paths, hashes, loose = [], [], [], []
         for url, page in zip(batch.column(2), batch.column(3), strict=True):
             host, path = split_url(url.as_py())
             lines, inside = lines_of(page.as_py())
             hosts.append(host)
             paths.append(path)
-            hashes.append([] if any(inside) else [_hash(x) for x in lines])
+            hashes.append([_hash(x) for x in lines])
+            loose.append([k for k, own in enumerate(inside) if not own])
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(hashes, pa.list_(pa.int64()))],
-            ["page_id", "sig", "host", "path", "lines"],
-        )
+            [
+                batch.column(0), batch.column(1), pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(hashes, pa.list_(pa.int64())),
+                pa.array(loose, pa.list_(pa.int32())),
+            ],
+            ["page_id", "sig", "host", "path", "lines", "loose"],
+        )
+
+
+_OUTLINE = "page_id long, sig long, host string, path string, lines array<long>, loose array<int>"
+
+
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds the number, in its sorted partition, of each page's run of one host and equal lines."""
+    nth, last = -1, None
+    for batch in batches:
+        out = []
+        for key in zip(batch.column(2).to_pylist(), batch.column(4).to_pylist(), strict=True):
+            nth, last = nth + (key != last), key
+            out.append(nth)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int64())], [*batch.schema.names, "nth"])
+
+
+_DECIDED = "run long, before string, after string, by_before array<int>, by_after array<int>"
 
 
-_DECIDED = "page_id long, sig long, shared array<int>"
+def _takes_before(path: str, before: str | None, after: str | None) -> bool:
+    if before is None or after is None:
+        return after is None
+    return len(commonprefix([before, path])) >= len(commonprefix([after, path]))
 
 
 def _align(t: pa.Table) -> pa.Table:
-    """A block of neighbours by rank: shared lines of the pages that are its own."""
-    rows = sorted(t.select(["page_id", "sig", "host", "path", "lines", "rank", "block"]).to_pylist(), key=lambda r: r["rank"])
-    ids, sigs, shared = [], [], []
+    """A block of runs by rank: shared lines of its own runs with the run before and the one after.
+
+    A run's paths lean to the one before first and to the one after last, so its ends tell
+    which of the two any of its pages needs.
+    """
+    rows = sorted(t.select(["run", "host", "lines", "low", "high", "open", "block"]).to_pylist(), key=lambda r: r["run"])
+    out: dict[str, list] = {"run": [], "before": [], "after": [], "by_before": [], "by_after": []}
     for n, r in enumerate(rows):
-        if not r["lines"] or r["host"] is None or r["rank"] // BLOCK != r["block"]:
+        if not r["open"] or r["run"] // BLOCK != r["block"]:
             continue
-        near = [
-            rows[k] for k in (n - 1, n + 1)
-            if 0 <= k < len(rows) and rows[k]["host"] == r["host"] and rows[k]["lines"] and rows[k]["lines"] != r["lines"]
-        ]
-        if not near:
+        left, right = (rows[k] if 0 <= k < len(rows) and rows[k]["host"] == r["host"] else None for k in (n - 1, n + 1))
+        if not left and not right:
             continue
-        other = max(near, key=lambda x: len(commonprefix([x["path"], r["path"]])))
-        found = sorted(shared_lines(r["lines"], other["lines"]))
-        if found:
-            ids.append(r["page_id"])
-            sigs.append(r["sig"])
-            shared.append(found)
-    return pa.table({"page_id": pa.array(ids, pa.int64()), "sig": pa.array(sigs, pa.int64()), "shared": pa.array(shared, pa.list_(pa.int32()))})
+        before, after = left and left["high"], right and right["low"]
+        out["run"].append(r["run"])
+        out["before"].append(before)
+        out["after"].append(after)
+        out["by_before"].append(sorted(shared_lines(r["lines"], left["lines"])) if _takes_before(r["low"], before, after) else None)
+        out["by_after"].append(None if _takes_before(r["high"], before, after) else sorted(shared_lines(r["lines"], right["lines"])))
+    kinds = {"run": pa.int64(), "before": pa.string(), "after": pa.string(), "by_before": pa.list_(pa.int32()), "by_after": pa.list_(pa.int32())}
+    return pa.table({k: pa.array(v, kinds[k]) for k, v in out.items()})
+
+
+def _choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ids, sigs, shared = [], [], []
+        for r in batch.to_pylist():
+            gone = set(r["by_before"] if _takes_before(r["path"], r["before"], r["after"]) else r["by_after"])
+            found = [k for k in r["loose"] if k in gone]
+            if found:
+                ids.append(r["page_id"])
+                sigs.append(r["sig"])
+                shared.append(found)
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sigs, pa.int64()), pa.array(shared, pa.list_(pa.int32()))], ["page_id", "sig", "shared"])
+
+
+def _small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
 def shared_with_nearest(pages: DataFrame) -> DataFrame:
-    """(page_id, sig, shared): positions of each page's lines that its nearest page has too."""
-    slim = pages.select("page_id", "sig", "url", "html").mapInArrow(_outline, "page_id long, sig long, host string, path string, lines array<long>")
+    """(page_id, sig, shared): positions of each page's loose lines that its nearest different page has too."""
+    slim = pages.select("page_id", "sig", "url", "html").mapInArrow(_outline, _OUTLINE).where("host IS NOT NULL AND size(lines) > 0")
     order = ["host", "path", "page_id", "sig"]
-    slim = checkpoint(slim.dropDuplicates(order).repartitionByRange(*order).sortWithinPartitions(*order))
-    slim = slim.withColumn("at", F.monotonically_increasing_id())
-    slim = slim.select("*", F.shiftright("at", 33).cast("int").alias("part"), F.col("at").bitwiseAND(F.lit((1 << 33) - 1)).alias("within"))
-    counts = slim.groupBy("part").count().withColumnRenamed("count", "n")  # one row per partition
-    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = F.broadcast(counts.select("part", before.alias("before")))
-    ranked = slim.join(starts, "part").withColumn("rank", F.col("before") + F.col("within"))
-    own = F.floor(F.col("rank") / BLOCK)
-    edge = F.when(F.col("rank") % BLOCK == 0, own - 1).when(F.col("rank") % BLOCK == BLOCK - 1, own + 1)
-    dealt = ranked.select("page_id", "sig", "host", "path", "lines", "rank", F.explode(F.array_compact(F.array(own, edge))).alias("block"))
-    return checkpoint(dealt.groupBy("block").applyInArrow(_align, _DECIDED))
+    slim = slim.dropDuplicates(order).repartitionByRange(*order).sortWithinPartitions(*order)
+    slim = checkpoint(slim.mapInArrow(_numbered, f"{_OUTLINE}, nth long")).withColumn("part", F.spark_partition_id())
+    key = F.struct("host", F.xxhash64("lines"))
+    ends = slim.groupBy("part").agg((F.max("nth") + 1).alias("n"), F.min_by(key, "nth").alias("first"), F.max_by(key, "nth").alias("last"))
+    parts = Window.orderBy("part")  # one row per partition
+    ends = ends.withColumn("goes_on", F.col("first").eqNullSafe(F.lag("last").over(parts)).cast("long"))
+    ahead = F.coalesce(F.sum(F.col("n") - F.col("goes_on")).over(parts.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = F.broadcast(ends.select("part", (ahead - F.col("goes_on")).alias("ahead")))
+    ranked = slim.join(starts, "part").withColumn("run", F.col("ahead") + F.col("nth"))
+    runs = ranked.groupBy("run").agg(
+        F.first("host").alias("host"), F.first("lines").alias("lines"), F.min("path").alias("low"), F.max("path").alias("high"), F.max(F.size("loose") > 0).alias("open")
+    )
+    own = F.floor(F.col("run") / BLOCK)
+    edge = F.when(F.col("run") % BLOCK == 0, own - 1).when(F.col("run") % BLOCK == BLOCK - 1, own + 1)
+    dealt = runs.select("*", F.explode(F.array_compact(F.array(own, edge))).alias("block"))
+    decided = checkpoint(dealt.groupBy("block").applyInArrow(_align, _DECIDED))
+    loose = ranked.where(F.size("loose") > 0).select("page_id", "sig", "path", "loose", "run")
+    return checkpoint(loose.join(_small(decided), "run").mapInArrow(_choose, "page_id long, sig long, shared array<int>"))
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = []
         for page, shared in zip(batch.column(2), batch.column(3).to_pylist(), strict=True):
-            lines, inside = lines_of(page.as_py())
-            if any(inside):
-                lines = [x for x, own in zip(lines, inside, strict=True) if own]
-            elif shared:
+            lines, _ = lines_of(page.as_py())
+            if shared:
                 gone = set(shared)
                 lines = [x for k, x in enumerate(lines) if k not in gone]
             texts.append(" ".join(lines))
@@ -284,7 +333,6 @@ def extract(pages: DataFrame) -> DataFrame:
         F.col("page_id").cast("long").alias("page_id"), F.xxhash64("url", "html").alias("sig"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")
     )
     shared = shared_with_nearest(own).withColumnsRenamed({"page_id": "at_id", "sig": "at_sig"})
-    if shared.count() <= BROADCAST_ROWS:
-        shared = F.broadcast(shared)
+    shared = _small(shared)
     joined = own.join(shared, own.page_id.eqNullSafe(shared.at_id) & (own.sig == shared.at_sig), "left")
     return joined.select("page_id", "url", "html", "shared").mapInArrow(_texts, "page_id long, url string, text string, n_chars long")

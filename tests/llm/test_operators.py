@@ -276,6 +276,31 @@ def test_html_blocks_change_nothing(spark, monkeypatch):
     assert all("Top" not in r[2] for r in want)
 
 
+def test_html_differences_lines_beside_an_article_and_takes_articles_as_evidence(spark):
+    page = "<div>Site</div><article><p>{0}</p><p>Same</p></article><div>by {0}</div>"
+    rows = [(1, "http://h/a/1", page.format("one")), (2, "http://h/a/2", page.format("two")), (3, "http://i/1", page.format("one")), (4, "http://i/2", "<p>Site</p><p>Same</p><p>rest</p>")]
+    out = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert out == {1: "one Same by one", 2: "two Same by two", 3: "one Same by one", 4: "rest"}
+
+
+def test_html_looks_beyond_mirrors_and_empty_pages(spark, monkeypatch):
+    a, b, c = ("<p>Top</p><p>{}</p>".format(x) for x in "abc")
+    pages = [("/a/1", a)] + [(f"/b/{k:02}", b) for k in range(40)] + [("/c/1", ""), ("/c/2", c), ("/c/3", None), ("/c/4", c)]
+    rows = [(k, f"http://h{path}", page) for k, (path, page) in enumerate(pages)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(7)
+    for block in (512, 2):
+        monkeypatch.setattr(html, "BLOCK", block)
+        out = {r.page_id: r.text for r in html.extract(df).collect()}
+        assert out == {k: {a: "a", b: "b", c: "c"}.get(page, "") for k, _, page in rows}
+
+
+def test_html_run_takes_the_nearer_side_page_by_page(spark):
+    left, own, right = "<p>L</p><p>x</p>", "<p>L</p><p>R</p><p>own</p>", "<p>R</p><p>y</p>"
+    rows = [(1, "http://h/a/0", left), (2, "http://h/a/1", own), (3, "http://h/b/1", own), (4, "http://h/b/2", right)]
+    out = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert out == {1: "x", 2: "R own", 3: "L own", 4: "y"}
+
+
 def test_shared_lines_is_a_longest_common_subsequence():
     rng = random.Random(6)
     for _ in range(300):
