@@ -18,14 +18,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 #: Labelled rows sampled for each language, in expectation (all rows where there are fewer).
 TRAIN_ROWS = 3000
-#: Distinct (language, word) counts used of that sample, the most frequent first.
-TRAIN_WORDS = 120_000
+#: UTF-8 bytes of text sampled over all languages, in expectation, of which each may fill an equal part...
+TRAIN_BYTES = 64 << 20
+#: ... but never fewer rows of one than this. Every word of a sampled row counts.
+LEAST_ROWS = 200
+#: Words times languages that the fit holds at once.
+FIT_CELLS = 80_000
 EM_ROUNDS = 4
 CHUNK = 24
 SMOOTH = 0.05
@@ -139,32 +144,43 @@ def forward(p: np.ndarray, n: int, arcs: list[tuple[int, int]], idx: np.ndarray)
     return alpha
 
 
-def fit(lattice: Lattice, words: list[str], counts: np.ndarray) -> np.ndarray:
-    """Piece probabilities (pieces x languages) from word counts (words x languages)."""
-    size, langs = lattice.size, counts.shape[1]
-    p = np.full((size, langs), 1 / size)
+def fit(lattice: Lattice, words: list[str], at: np.ndarray, lang: np.ndarray, n: np.ndarray, langs: int) -> np.ndarray:
+    """Piece probabilities (pieces x languages) from counts n of (words[at], lang), at ascending.
+
+    The words go through each round in blocks, so that memory does not grow with them.
+    """
+    p = np.full((lattice.size, langs), 1 / lattice.size)
     p[-2], p[-1] = UNKNOWN, 0
-    groups = list(lattice.arcs(words))
+    step = max(1, FIT_CELLS // max(langs, 1))
     for _ in range(EM_ROUNDS):
-        seen = np.zeros((size, langs))
-        for own, n, arcs, idx in groups:
-            alpha = forward(p, n, arcs, idx)
-            beta = np.zeros_like(alpha)
-            beta[n] = 1
-            share = counts[own] / np.maximum(alpha[n], 1e-300)
-            for c in range(len(arcs) - 1, -1, -1):
-                i, j = arcs[c]
-                beta[i] += beta[j] * p[idx[c]]
-            for c, (i, j) in enumerate(arcs):
-                gain = share * alpha[i] * p[idx[c]] * beta[j]
-                live = gain.any(1)
-                np.add.at(seen, idx[c, live], gain[live])
+        seen = np.zeros((lattice.size, langs))
+        for start in range(0, len(words), step):
+            low, high = np.searchsorted(at, (start, start + step))
+            counts = np.zeros((step, langs))
+            counts[at[low:high] - start, lang[low:high]] = n[low:high]
+            _gather(lattice, words[start : start + step], counts, p, seen)
         seen[:-2] += SMOOTH
         p = seen / np.maximum(seen[:-2].sum(0), 1)
         p[-2], p[-1] = UNKNOWN, 0
     return p
 
 
+def _gather(lattice: Lattice, words: list[str], counts: np.ndarray, p: np.ndarray, seen: np.ndarray) -> None:
+    """Add the expected uses of the pieces in the words to seen."""
+    for own, n, arcs, idx in lattice.arcs(words):
+        alpha = forward(p, n, arcs, idx)
+        beta = np.zeros_like(alpha)
+        beta[n] = 1
+        share = counts[own] / np.maximum(alpha[n], 1e-300)
+        for c in range(len(arcs) - 1, -1, -1):
+            i, j = arcs[c]
+            beta[i] += beta[j] * p[idx[c]]
+        for c, (i, j) in enumerate(arcs):
+            gain = share * alpha[i] * p[idx[c]] * beta[j]
+            live = gain.any(1)
+            np.add.at(seen, idx[c, live], gain[live])
+
+
 @dataclass
 class Model:
     langs: list[str]
@@ -234,25 +250,22 @@ def train(docs: DataFrame, pieces: list[str] | None = None) -> Model:
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")
     ).where(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out())
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
-    langs = sorted(sizes)
+    sizes = {r["lang"]: (r["rows"], r["bytes"]) for r in rows.groupBy("lang").agg(F.count("*").alias("rows"), F.sum(F.octet_length("text")).alias("bytes")).collect()}
     lattice = Lattice.of(public_vocabulary() if pieces is None else pieces)
-    if not langs:
-        return Model([], lattice, np.zeros((lattice.size, 0)))
     share = F.lit(0.0)
-    for lang in langs:
-        share = F.when(F.col("lang") == lang, min(1.0, TRAIN_ROWS / sizes[lang])).otherwise(share)
+    for lang, (count, size) in sizes.items():
+        part = max(LEAST_ROWS / count, min(TRAIN_ROWS / count, TRAIN_BYTES / len(sizes) / max(size, 1)))
+        share = F.when(F.col("lang") == lang, min(1.0, part)).otherwise(share)
     sample = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share * (1 << 20))
-    top = (
-        sample.select("lang", "text").mapInArrow(_count, "lang string, word string, n long")
-        .groupBy("lang", "word").agg(F.sum("n").alias("n"))
-        .orderBy(F.desc("n"), "word", "lang").limit(TRAIN_WORDS).collect()
-    )
-    words = {w: k for k, w in enumerate(dict.fromkeys(r["word"] for r in top))}
-    counts = np.zeros((len(words), len(langs)))
-    for r in top:
-        counts[words[r["word"]], langs.index(r["lang"])] = r["n"]
-    return Model(langs, lattice, fit(lattice, list(words), counts))
+    got = sample.select("lang", "text").mapInArrow(_count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).toArrow()
+    langs = sorted(got["lang"].unique().to_pylist())  # a label without a word cannot be learned
+    if not langs:
+        return Model([], lattice, np.zeros((lattice.size, 0)))
+    words = sorted(got["word"].unique().to_pylist(), key=lambda w: (len(w), w))
+    at = pc.index_in(got["word"], pa.array(words, pa.string())).to_numpy()
+    order = np.argsort(at, kind="stable")
+    lang = pc.index_in(got["lang"], pa.array(langs, pa.string())).to_numpy()
+    return Model(langs, lattice, fit(lattice, words, at[order], lang[order], got["n"].to_numpy()[order], len(langs)))
 
 
 def _predictor(model: Model, text_at: int):  # noqa: ANN202

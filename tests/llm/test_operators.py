@@ -1,6 +1,7 @@
 """Each operator against brute force on small tables with nulls, empty and long texts, repeats and extra columns."""
 
 import hashlib
+import itertools
 import random
 import re
 
@@ -209,6 +210,21 @@ def test_language_id(spark, empty):
     assert got(langid.identify(empty)) == []
 
 
+def test_language_id_learns_every_word_of_the_sample(spark, monkeypatch):
+    many = " ".join(["".join(w) for w in itertools.product("abcdefghijk", repeat=5)][:130_000])
+    rows = [(1, f"{many} {many}", "xx"), (2, "το σπίτι είναι μεγάλο και η θάλασσα ήρεμη", "el"), (3, "наш дом стоит у большого тихого озера", "ru"), (4, "12 34", "zz")]
+    rows = [(i + 100 * k, *r) for k in range(3) for i, *r in (rows if not k else rows[1:])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    new = spark.createDataFrame([(1, "большой дом у озера"), (2, "η μεγάλο θάλασσα"), (3, "abcde kabcd")], "doc_id long, text string")
+    for total in (langid.TRAIN_BYTES, 1):
+        monkeypatch.setattr(langid, "TRAIN_BYTES", total)
+        model = langid.train(docs)
+        assert model.langs == ["el", "ru", "xx"]  # nothing can be learned of zz
+        assert [r.lang_pred for r in langid.label(new.coalesce(1), model).collect()] == ["ru", "el", "xx"]
+    monkeypatch.setattr(langid, "FIT_CELLS", 3000)  # blocks change nothing
+    assert np.allclose(langid.train(docs).p, model.p)
+
+
 def test_forward_sums_all_segmentations():
     lattice = langid.Lattice.of(["▁", "a", "b", "ab", "▁a", "ba"])
     p = np.linspace(0.05, 0.3, lattice.size)[:, None]
