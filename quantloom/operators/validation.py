@@ -30,7 +30,12 @@ def grid_stages() -> list[Stage]:
     ]
 
 
-RETURNS = Query(BARS, grid_stages(), f"SELECT symbol, ts, r, CAST(i AS BIGINT) AS i, n, @long(net; {len(GRID)})@ FROM {{t}}").as_base()
+def returns(bars: Base) -> Base:
+    """Rows (symbol, config, bar) of every configuration of the grid, run on these bars alone."""
+    return Query(bars, grid_stages(), f"SELECT symbol, ts, r, CAST(i AS BIGINT) AS i, n, @long(net; {len(GRID)})@ FROM {{t}}").as_base()
+
+
+RETURNS = returns(BARS)
 
 
 def ratio(n: str, s: str, q: str) -> str:

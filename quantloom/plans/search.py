@@ -6,13 +6,11 @@ import math
 
 from quantloom.operators.grid import Params, candidates, canonical
 from quantloom.operators.kernel import SHARPE, run
-from quantloom.operators.lab import _split
+from quantloom.operators.lab import HEAD
 from quantloom.operators.statistics import expected_max_sharpe
 from quantloom.plans.engine import Base, Query
 from quantloom.sources.bars import BARS
 
-HEAD = Query(_split(BARS), [], "SELECT symbol, ts, open, high, low, close, volume FROM {t} WHERE part = 'head'").as_base()
-
 
 def trials(families: dict[str, list[Params]], bars: Base = HEAD) -> Base:
     """(symbol, family, config, n, sharpe, n_trades) of each candidate on the head of the bars."""

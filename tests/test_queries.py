@@ -12,6 +12,7 @@ from quantloom.operators import statistics
 from quantloom.operators.kernel import backtest
 from quantloom.operators.signals import SIGNALS
 from quantloom.operators.stateful import donchian_atr_trail
+from quantloom.operators.validation import GRID
 from quantloom.plans.engine import apply_stages
 from quantloom.sources.bars import BARS
 from quantloom.sources.stores import upsert
@@ -49,6 +50,33 @@ def test_query_equals_its_oracle(spark, duck, name):
     pd.testing.assert_frame_equal(a, b, check_dtype=False, rtol=0, atol=2e-6)
 
 
+def test_gate_scores_the_heads_finalist_on_the_sealed_holdout(spark):
+    def nets(close, fast, slow):
+        a, b = close.rolling(fast).mean(), close.rolling(slow).mean()
+        pos = np.sign((a - b).fillna(0.0))
+        return pos.shift(1, fill_value=0.0) * close.pct_change().fillna(0.0) - (pos - pos.shift(1, fill_value=0.0)).abs() * 0.001
+
+    def sharpe(net):
+        return math.sqrt(252) * net.mean() / net.std() if net.std() > 0 else 0.0
+
+    want, whole = {}, {}
+    for symbol, d in BARS.frame(spark, SF).toPandas().groupby("symbol"):
+        close = d.sort_values("ts").close.reset_index(drop=True)
+        cut = len(close) - max(int(0.2 * len(close)), 252)
+        if cut <= 0:
+            continue
+        head, tail = close[:cut], close[cut:].reset_index(drop=True)
+        pick = lambda c: max(range(len(GRID)), key=lambda k: (round(sharpe(nets(c, *GRID[k])), 9), -k))
+        best = pick(head)
+        score = sharpe(nets(tail, *GRID[best]))
+        want[symbol] = (best, score > 0, score > sharpe(tail.pct_change().fillna(0.0)))
+        whole[symbol] = pick(close)
+    gate = {r.symbol: r for r in catalog.queries()["gate"](spark, SF).collect()}
+    board = {r.symbol: r.config for r in catalog.queries()["leaderboard"](spark, SF).collect()}
+    assert {s: (board[s], r.holdout_ok, r.beats_held) for s, r in gate.items()} == want
+    assert any(best != whole[s] for s, (best, *_) in want.items())  # the holdout would have changed the choice
+
+
 @pytest.mark.parametrize("name", [*SIGNALS, "donchian_atr_trail"])
 def test_signal_has_no_look_ahead(bars, name):
     cut = pd.Timestamp("1998-01-01").date()
