@@ -1,24 +1,27 @@
 """SimHash near-duplicates over a Gray-ordered hierarchical index.
 
-Every document gets a 64-bit SimHash; two fingerprints link when at most three bits
-differ. Pairs within three bits agree on at least three of six bit blocks, so each
-*distinct* fingerprint is dealt to the twenty buckets (three blocks kept, the rest masked).
-A bucket is sorted by Gray rank and indexed as a tree: an upper node holds the bits on
-which all fingerprints below it agree (less those its parent holds already), a search
-adds up the differing bits on its way down and drops a whole group as soon as the sum
-exceeds three. Only a spanning forest leaves a bucket, never its pairs.
-
-A bucket of more than ``LEAF_CAP`` fingerprints is not solved: its rows go on to the next
-level, split by four parts of the bits still free (again at least one part must agree).
-With at most twelve bits free a bucket cannot hold more than 4096 distinct fingerprints,
-so the descent ends and memory is bounded without dropping a candidate.
+Every document gets a 64-bit SimHash; two fingerprints link when at most three bits differ.
+The *distinct* fingerprints are sorted by Gray rank, so that neighbours share most bits, and
+indexed as one tree: an upper node holds the bits on which all fingerprints below it agree,
+less those its parent holds already. A search adds up the differing bits on its way down,
+drops a whole group as soon as the sum exceeds three, and takes a whole group at once where the
+sum and the bits still open below stay within three.
+
+The tree is spread over the cluster by Gray rank. Each range of neighbouring ranks holds the
+lower part of the tree; one summary a range (two words) makes up the upper part, which
+travels with the tasks. A fingerprint descends the upper part first and is sent only to the
+later ranges it cannot be told apart from, where it descends the rest. For fingerprints without
+structure that is C(log2 of the ranges, up to 3) / 2 rows of nine bytes each: 2 for 4
+ranges, 20 for 60, 100 for 2,000. A range's own fingerprints are all that a task holds (``range_size``);
+visitors stream past them, so neither a hub nor a crowded range has to be gathered. Only a spanning
+forest leaves a range, never its pairs.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
-from itertools import combinations
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -29,9 +32,11 @@ from pyspark.sql import functions as F
 from quantloom.llm.common import checkpoint, connected_components
 
 RADIUS = 3
-LEAF_CAP = 4096
-FANOUT = 8
-FRONTIER = 1 << 17
+FANOUT = 4
+FRONTIER = 1 << 14
+#: Pairs that are held before they are folded into the forest.
+HELD_PAIRS = 1 << 18
+LEAST_RANGE, MOST_RANGE = 1 << 16, 1 << 22
 _U = np.uint64
 _xx = partial(xxhash.xxh64_intdigest, seed=42)
 
@@ -56,19 +61,6 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
 
 
-def _blocks(mask: int, parts: int) -> list[int]:
-    """The set bits of mask, dealt into so many contiguous parts."""
-    bits = [i for i in range(64) if mask >> i & 1]
-    return [sum(1 << int(b) for b in part) for part in np.array_split(bits, parts)]
-
-
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
-
-
-FIRST_MASKS = [_signed(sum(c)) for c in combinations(_blocks((1 << 64) - 1, 6), 3)]
-
-
 def gray_rank(x: np.ndarray) -> np.ndarray:
     """Position of x in the reflected Gray sequence: the prefix XOR of its bits."""
     for s in (1, 2, 4, 8, 16, 32):
@@ -76,137 +68,201 @@ def gray_rank(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _level(size_or: np.ndarray, size_and: np.ndarray, bucket: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Group runs of FANOUT neighbours of one bucket under a parent."""
-    n = len(bucket)
-    first = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-    within = np.arange(n) - np.repeat(first, np.diff(np.r_[first, n]))
-    start = np.flatnonzero(within % FANOUT == 0)
-    return np.bitwise_or.reduceat(size_or, start), np.bitwise_and.reduceat(size_and, start), bucket[start], start
-
-
-def linked_pairs(fp: np.ndarray, bucket: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs i < j within RADIUS; fp is sorted by (bucket, Gray rank)."""
-    levels = [(fp, fp, bucket, None)]
-    while len(levels[-1][2]) and (np.diff(levels[-1][2]) == 0).any():
-        levels.append(_level(*levels[-1][:3]))
-    agree = [~(o ^ a) for o, a, *_ in levels]
-    value = [a for _, a, *_ in levels]
-    top = len(levels) - 1
-    at_root = np.searchsorted(levels[top][2], bucket)
-    last = np.arange(len(fp))  # the last leaf below each node
-    lasts = [last]
-    for lv in range(1, top + 1):
-        start = levels[lv][3]
-        lasts.append(lasts[-1][np.r_[start[1:], len(lasts[-1])] - 1])
-
-    def descend(lv: int, q: np.ndarray, node: np.ndarray, acc: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Depth first, at most FRONTIER children (and one node's more) at a time."""
-        keep = (acc <= RADIUS) & (lasts[lv][node] > q)
-        q, node, acc = q[keep], node[keep], acc[keep]
-        if not len(q):
-            return
-        if lv == 0:
-            yield q, node
-            return
-        start = levels[lv][3]
-        end = np.r_[start[1:], len(levels[lv - 1][2])]
-        kids = (end - start)[node]
-        cuts = np.flatnonzero(np.diff(np.cumsum(kids) // FRONTIER, prepend=0))
-        for a, b in zip([0, *cuts], [*cuts, len(q)], strict=True):
-            if a == b:
-                continue
-            k = kids[a:b]
-            up = np.repeat(np.arange(a, b), k)
-            kid = start[node[up]] + np.arange(len(up)) - np.repeat(np.cumsum(k) - k, k)
-            fresh = agree[lv - 1][kid] & ~agree[lv][node[up]]
-            diff = np.bitwise_count((fp[q[up]] ^ value[lv - 1][kid]) & fresh)
-            yield from descend(lv - 1, q[up], kid, acc[up] + diff.astype(np.int16))
-
-    for i in range(0, len(fp), FRONTIER // FANOUT):
-        q = np.arange(i, min(len(fp), i + FRONTIER // FANOUT))
-        node = at_root[q]
-        yield from descend(top, q, node, np.bitwise_count((fp[q] ^ value[top][node]) & agree[top][node]).astype(np.int16))
-
-
-def _forest(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """Root index of each of n items under the union of all pairs."""
-    root = np.arange(n)
-    for i, j in pairs:
+def range_size(n: int) -> int:
+    """Fingerprints of a range: growing with the square root of all, within the bounds of a task's memory."""
+    return min(MOST_RANGE, max(LEAST_RANGE, isqrt(n) << 7))
+
+
+class GrayIndex:
+    """A tree over leaves in Gray order; a leaf is a fingerprint, or a range by the OR and AND of its own."""
+
+    def __init__(self, ors: np.ndarray, ands: np.ndarray) -> None:
+        self.agree, self.value, self.end = [], [], []
+        self.pruned = 0  # upper nodes at which a search gave a whole group up
+        end = np.arange(1, len(ors) + 1)
+        while True:
+            self.agree.append(~(ors ^ ands))
+            self.value.append(ands)
+            self.end.append(end)
+            if len(ors) <= 1:
+                break
+            start = np.arange(0, len(ors), FANOUT)
+            ors, ands = np.bitwise_or.reduceat(ors, start), np.bitwise_and.reduceat(ands, start)
+            end = end[np.minimum(start + FANOUT, len(end)) - 1]
+        self.top = len(self.agree) - 1
+        self.open = [64 - np.bitwise_count(a).astype(np.int16) for a in self.agree]
+        self.below = []  # (value, bits new to the parent) of each node's children, side by side
+        for lv in range(self.top):
+            parent = np.arange(len(self.agree[lv])) // FANOUT
+            fresh = self.agree[lv] & ~self.agree[lv + 1][parent]
+            spare = -len(fresh) % FANOUT
+            self.below.append(tuple(np.pad(x, (0, spare)).reshape(-1, FANOUT) for x in (self.value[lv], fresh)))
+
+    def first(self, lv: int, node: np.ndarray) -> np.ndarray:
+        """First leaf below each node."""
+        return node * FANOUT**lv
+
+    def search(self, fp: np.ndarray, later: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(query, leaf) pairs within RADIUS; of a group within it as a whole only the first leaf.
+
+        ``later``: the queries are the leaves themselves, and only leaves behind them are looked for.
+        """
+
+        def descend(lv: int, q: np.ndarray, node: np.ndarray, acc: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            """Nodes within RADIUS so far: depth first, FRONTIER of them at a time."""
+            if later:
+                ahead = self.end[lv][node] > q + 1
+                q, node, acc = q[ahead], node[ahead], acc[ahead]
+            if lv == 0:
+                yield q, node
+                return
+            whole = acc + self.open[lv][node] <= RADIUS
+            if whole.any():
+                yield q[whole], self.first(lv, node[whole])
+                q, node, acc = q[~whole], node[~whole], acc[~whole]
+            value, fresh = self.below[lv - 1]
+            for i in range(0, len(q), FRONTIER):
+                part, at = q[i : i + FRONTIER], node[i : i + FRONTIER]
+                diff = np.bitwise_count((fp[part][:, None] ^ value[at]) & fresh[at])
+                diff += acc[i : i + FRONTIER, None]
+                near = np.flatnonzero(diff <= RADIUS)
+                up = near // FANOUT
+                kid = at[up] * FANOUT + near % FANOUT
+                real = kid < len(self.value[lv - 1])
+                if lv > 1:
+                    self.pruned += diff.size - len(near)
+                yield from descend(lv - 1, part[up][real], kid[real], diff.ravel()[near][real])
+
+        for i in range(0, len(fp), FRONTIER >> 4):
+            q = np.arange(i, min(len(fp), i + (FRONTIER >> 4)))
+            acc = np.bitwise_count((fp[q] ^ self.value[-1][0]) & self.agree[-1][0])
+            q, acc = q[acc <= RADIUS], acc[acc <= RADIUS]
+            yield from descend(self.top, q, np.zeros(len(q), dtype=np.int64), acc)
+
+    def together(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(leaf, first leaf) of the groups whose fingerprints are all within RADIUS of each other."""
+        for lv in range(1, self.top + 1):
+            node = np.flatnonzero(self.open[lv] <= RADIUS)
+            size = self.end[lv][node] - self.first(lv, node)
+            head = np.repeat(self.first(lv, node), size)
+            yield head + np.arange(len(head)) - np.repeat(np.cumsum(size) - size, size), head
+
+
+def _gathered(pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    size = 0
+    for pair in pairs:
+        held.append(pair)
+        size += len(pair[0])
+        if size >= HELD_PAIRS:
+            yield np.concatenate([a for a, _ in held]), np.concatenate([b for _, b in held])
+            held, size = [], 0
+    if held:
+        yield np.concatenate([a for a, _ in held]), np.concatenate([b for _, b in held])
+
+
+def joined(root: np.ndarray, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Smallest member of each item's set under the union of all pairs."""
+    for i, j in _gathered(pairs):
         while len(i):
             a, b = root[i], root[j]
             live = a != b
             i, j, a, b = i[live], j[live], a[live], b[live]
+            if not len(i):
+                break
             np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
             while (jump := root[root]).tobytes() != root.tobytes():
                 root = jump
     return root
 
 
-def _solve(fp: np.ndarray, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.lexsort((gray_rank(fp), bucket))
-    fp, bucket = fp[order], bucket[order]
-    root = _forest(len(fp), linked_pairs(fp, bucket))
-    far = root != np.arange(len(fp))
-    return fp[far], fp[root[far]]
+def _edges(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
 
-_OUT = "hot boolean, a long, b long"
+def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (part, visits, rank, fp) sorted by the first three: a range's own, then its visitors."""
+    part, own, index, root = None, [], None, None
+
+    def built() -> pa.RecordBatch:
+        nonlocal index, root, own
+        fp = np.concatenate(own)
+        index = GrayIndex(fp, fp)
+        root = joined(np.arange(len(fp)), index.together())
+        root = joined(root, index.search(fp, later=True))
+        own = [fp]
+        far = root != np.arange(len(fp))
+        return _edges(fp[far], fp[root[far]])
 
+    for batch in batches:
+        parts, visits = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
+        fps = batch.column(3).to_numpy().view(_U)
+        cut = np.flatnonzero(np.r_[True, (parts[1:] != parts[:-1]) | (visits[1:] != visits[:-1])]) if len(fps) else []
+        for a, b in zip(cut, [*cut[1:], len(fps)], strict=True):
+            if parts[a] != part:
+                if own and index is None:
+                    yield built()
+                part, own, index = parts[a], [], None
+            if not visits[a]:
+                own.append(fps[a:b])
+                continue
+            if index is None:
+                yield built()
+            for q, leaf in _gathered(index.search(fps[a:b])):
+                found = np.unique(np.stack([q, root[leaf]]), axis=1)
+                yield _edges(fps[a:b][found[0]], own[0][found[1]])
+    if own and index is None:
+        yield built()
 
-def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (mask, key): solve each bucket, pass an overfull one on."""
 
-    def out(hot: bool, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.full(len(a), hot)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["hot", "a", "b"]
-        )
+def _router(parts: np.ndarray, ors: np.ndarray, ands: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Sends each row (part, rank, fp) to its own range and to the later ones it may have a link in."""
 
-    def refined(mask: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for m in np.unique(mask):
-            own = fp[mask == m]
-            for part in _blocks(~int(m) & ((1 << 64) - 1), 4):
-                yield out(True, np.full(len(own), int(m) | part, dtype=_U), own)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        upper = GrayIndex(ors, ands)
+        for batch in batches:
+            own, rank, fp = (batch.column(k).to_numpy() for k in range(3))
+            no = np.zeros(len(fp), dtype=bool)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(no), batch.column(1), batch.column(2)], _DEALT_NAMES)
+            for q, leaf in _gathered(upper.search(fp.view(_U))):
+                ahead = parts[leaf] > own[q]
+                q, leaf = q[ahead], leaf[ahead]
+                yield pa.RecordBatch.from_arrays([pa.array(parts[leaf]), pa.array(~no[q]), pa.array(rank[q]), pa.array(fp[q])], _DEALT_NAMES)
 
-    held = [np.empty(0, _U)] * 3
-    flowing = None  # the overfull bucket whose rows are passed on
-    for batch in batches:
-        new = [batch.column(i).to_numpy(zero_copy_only=False).view(_U) for i in range(3)]
-        mask, key, fp = (np.concatenate(x) for x in zip(held, new, strict=True))
-        if not len(fp):
-            continue
-        first = np.flatnonzero(np.r_[True, (mask[1:] != mask[:-1]) | (key[1:] != key[:-1])])
-        size = np.diff(np.r_[first, len(fp)])
-        over = size > LEAF_CAP
-        over[0] |= flowing == (mask[0], key[0])
-        done = ~over
-        if not over[-1]:
-            done[-1] = False  # may go on in the next batch
-        flowing = (mask[-1], key[-1]) if over[-1] else None
-        row = np.repeat(np.arange(len(first)), size)
-        yield from refined(mask[over[row]], fp[over[row]])
-        pick = (done & (size > 1))[row]
-        if pick.any():
-            yield out(False, *_solve(fp[pick], row[pick]))
-        tail = first[-1] if not over[-1] else len(fp)
-        held = [mask[tail:], key[tail:], fp[tail:]]
-    if len(held[2]) > 1:
-        yield out(False, *_solve(held[2], np.zeros(len(held[2]), dtype=np.int64)))
+    return run
+
+
+_DEALT_NAMES = ["part", "visits", "rank", "fp"]
+_DEALT = "part int, visits boolean, rank long, fp long"
+
+
+def ranked(fps: DataFrame) -> DataFrame:
+    """(part, rank, fp) of the distinct fingerprints, dealt out in ranges of Gray rank."""
+    rank = F.col("fp")
+    for s in (1, 2, 4, 8, 16, 32):
+        rank = rank.bitwiseXOR(F.shiftrightunsigned(rank, s))
+    rank = rank.bitwiseXOR(F.lit(-(1 << 63)))  # so that signed order is the ranks' order
+    steps = fps.select("fp", rank.alias("rank"))
+    n = fps.count()
+    dealt = steps.repartitionByRange(-(-n // range_size(n)) or 1, "rank")
+    return checkpoint(dealt.select(F.spark_partition_id().alias("part"), "rank", "fp"))
+
+
+def upper_nodes(dealt: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(part, OR, AND) of each range, in order: two words for a range of at least LEAST_RANGE fingerprints."""
+    rows = dealt.groupBy("part").agg(F.expr("bit_or(fp)").alias("o"), F.expr("bit_and(fp)").alias("a")).orderBy("part").toArrow()
+    return rows["part"].to_numpy(), rows["o"].to_numpy().view(_U), rows["a"].to_numpy().view(_U)
 
 
 def links(fps: DataFrame) -> DataFrame:
     """Edges (a, b) that connect what is linked among the distinct values of ``fps(fp)``."""
-    todo = fps.select(F.explode(F.array(*[F.lit(m) for m in FIRST_MASKS])).alias("mask"), "fp")
-    found = None
-    while True:
-        dealt = todo.select("mask", F.col("mask").bitwiseAND(F.col("fp")).alias("key"), "fp")
-        dealt = dealt.repartition("mask", "key").sortWithinPartitions("mask", "key")
-        out = checkpoint(dealt.mapInArrow(_search, _OUT))
-        edges = out.where("not hot").select("a", "b")
-        found = edges if found is None else found.unionByName(edges)
-        todo = out.where("hot").select(F.col("a").alias("mask"), F.col("b").alias("fp"))
-        if todo.isEmpty():
-            return found.distinct()
+    dealt = ranked(fps)
+    parts, ors, ands = upper_nodes(dealt)
+    if not len(parts):
+        return dealt.select(F.col("fp").alias("a"), F.col("fp").alias("b"))
+    sent = dealt.mapInArrow(_router(parts, ors, ands), _DEALT)
+    sent = sent.repartition("part").sortWithinPartitions("part", "visits", "rank")
+    return sent.mapInArrow(_search, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -218,6 +274,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     fps = checkpoint(own.mapInArrow(_fingerprints, "doc_id long, fp long"))
+    return grouped(fps).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def grouped(fps: DataFrame) -> DataFrame:
+    """``fps(doc_id, fp, ...)`` plus component_id, the smallest doc_id reachable."""
     reps = checkpoint(fps.groupBy("fp").agg(F.min("doc_id").alias("low")))
     tree = checkpoint(connected_components(links(reps.select("fp"))))
     named = checkpoint(
@@ -225,6 +286,4 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
     lows = checkpoint(named.groupBy("root").agg(F.min("low").alias("component_id")))
     parts = checkpoint(named.join(lows, "root").select("fp", "component_id"))
-    return fps.join(parts, "fp").select(
-        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
-    )
+    return fps.join(parts, "fp")

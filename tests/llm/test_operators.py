@@ -84,21 +84,38 @@ def test_simhash(docs, rows, empty):
     assert got(simhash.near_duplicates(empty)) == []
 
 
-def test_simhash_index_finds_all_links_and_passes_full_buckets_on(spark, monkeypatch):
+def test_simhash_index_finds_all_links_over_many_ranges(spark, monkeypatch):
     rng = np.random.default_rng(1)
     centre = rng.integers(0, 1 << 63, 2, dtype=np.uint64)
     near = [int(c) ^ sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 5), replace=False)) for c in centre for _ in range(60)]
-    fps = sorted({*near, *map(int, rng.integers(0, 1 << 63, 200, dtype=np.uint64))})
+    fps = sorted({*near, *range(70), *map(int, rng.integers(0, 1 << 63, 200, dtype=np.uint64))})
     df = spark.createDataFrame([(x - (1 << 64) if x >> 63 else x,) for x in fps], "fp long")
-    monkeypatch.setattr(simhash, "LEAF_CAP", 30)  # so that buckets overflow to deeper levels
-    roots = {r.node % (1 << 64): r.root for r in connected_components(simhash.links(df)).collect()}
     want = _components(fps, list(range(len(fps))))
     groups = {}
     for x, c in zip(fps, want, strict=True):
         groups.setdefault(c, set()).add(x)
-    for g in groups.values():
-        assert len(g) == 1 and not (g & set(roots)) or len({roots[x] for x in g}) == 1
-    assert len(set(roots.values())) == sum(len(g) > 1 for g in groups.values())
+    for size in (1 << 16, 20):  # one range, and many
+        monkeypatch.setattr(simhash, "LEAST_RANGE", size)
+        monkeypatch.setattr(simhash, "MOST_RANGE", size)
+        assert simhash.ranked(df).select("part").distinct().count() == (1 if size > 20 else -(-len(fps) // 20))
+        roots = {r.node % (1 << 64): r.root for r in connected_components(simhash.links(df)).collect()}
+        for g in groups.values():
+            assert len(g) == 1 and not (g & set(roots)) or len({roots[x] for x in g}) == 1
+        assert len(set(roots.values())) == sum(len(g) > 1 for g in groups.values())
+
+
+def test_simhash_index_prunes_whole_groups(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    fps = docs.mapInArrow(simhash._fingerprints, "doc_id long, fp long").select("fp").distinct().toPandas().fp.to_numpy().view(np.uint64)
+    fps = fps[np.argsort(simhash.gray_rank(fps))]
+    index = simhash.GrayIndex(fps, fps)
+    pairs = {p for a, b in index.search(fps, later=True) for p in zip(a.tolist(), b.tolist(), strict=True)}
+    compared = sum(len(v) for v in index.value[1:])
+    assert index.pruned > 100 * len(fps) and compared < len(fps)  # groups given up, of a tree smaller than its leaves
+    found = simhash.joined(np.arange(len(fps)), iter([tuple(np.array(sorted(pairs)).T)]))
+    for i in range(0, len(fps), 97):
+        near = np.flatnonzero(np.bitwise_count(fps ^ fps[i]) <= simhash.RADIUS)
+        assert len({int(found[k]) for k in near}) == 1
 
 
 def test_substrings(docs, rows, empty):
