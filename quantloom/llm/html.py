@@ -1,21 +1,22 @@
 """HTML extraction by nearest-URL page differencing over structured text lines.
 
-A page is cut into text lines (its blocks, in page order). Pages of a host are ordered by URL
-path and each is paired with the nearest page of other lines that shares the longest path
-prefix; the two pages' lines are aligned by longest common subsequence and the shared lines
-deleted, for what two pages of a site have in common is the site's.
-
-Differencing alone cannot give the article here: these sites' menus, adverts and footers differ
-on every page, and mirrored pages share the article itself. So markup has its say first. Elements that
-are never the article (menus, headers, footers, sidebars, forms, ...) are skipped by tag,
-role or class, and lines in an ``article`` or ``main`` element are protected: they are evidence
-about other pages but stay. Differencing decides on all other lines. A page with exactly the
-same lines is a mirror and no evidence, however many stand side by side.
-
-Only line hashes travel: the ordered pages are collapsed to runs of equal lines, so that the
-runs next to a page's own are its nearest different pages. Runs are dealt out in blocks of
-``BLOCK`` neighbours (with one run of overlap), however many pages a host has, and the decisions
-are joined back, broadcast where they are few and shuffled where not.
+A page is cut into text lines: its blocks, in page order, menus, adverts and footers included;
+outside an article a block is cut further at the separators that site furniture uses.
+Pages of a host are ordered by URL path and each is paired with the nearest page of other
+content that shares the longest path prefix; the two pages' lines are aligned by longest common
+subsequence and the shared lines deleted, for what two pages of a site have in common is the site's.
+
+Every page goes through that, and differencing acts first. Markup says two things more. Lines in an
+``article`` or ``main`` element are protected: passages and whole articles recur from page to page, so
+they are evidence about other pages but stay. And of the lines that differ from the nearest
+page's, those in elements that are never the article (menus, adverts, forms, ...; by tag, role, or a
+class or id all of whose words say so) go too: a menu that changes with every page is still none.
+
+Pages of equal content (mirrors, whatever their menus) stand for one: the ordered pages are collapsed to runs
+of equal content, so that the runs next to a page's own are its nearest different pages, however
+many mirrors stand side by side. Only line hashes travel; runs are dealt out in blocks of
+``BLOCK`` neighbours (with one run of overlap), however many pages a host has, and all joins are by
+hashed keys, which the adaptive skew join can split.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,7 +36,6 @@ from pyspark.sql import functions as F
 from quantloom.llm.common import checkpoint
 
 BLOCK = 512
-BROADCAST_ROWS = 20_000
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -51,13 +52,14 @@ _INLINE = frozenset(
 )
 _SKIP = frozenset("head nav footer aside form button select option svg canvas object menu dialog datalist audio video map".split())
 _SKIP_NAMES = frozenset(
-    "ad ads advert adverts advertisement advertising adsbygoogle banner sponsor sponsored promo promotion sidebar nav navbar navigation menu "
-    "breadcrumb breadcrumbs footer masthead comment comments commentlist disqus replies respond cookie cookies consent gdpr notice "
-    "newsletter subscribe subscription signup related recommended share sharing social popup modal overlay pagination pager toolbar "
-    "widget login search skip".split()
+    "ad ads advert adverts advertisement banner sponsored promo sidebar nav navbar navigation menu breadcrumb breadcrumbs footer masthead comment comments "
+    "cookie cookies consent newsletter subscribe related share sharing pagination login search".split()
 )
+#: Words that change nothing about a class of the above.
+_NEUTRAL = frozenset("area bar block bottom box container content form inner left links list main notice page posts right section site social top wrap wrapper".split())
 _SKIP_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 _MAIN = frozenset(("article", "main"))
+_SEPARATOR = re.compile(r"(?<=\s)(?=[·|»›•]\s)")
 
 
 def _skipped(tag: str, attrs: str, in_main: bool) -> bool:
@@ -70,16 +72,19 @@ def _skipped(tag: str, attrs: str, in_main: bool) -> bool:
         if name == "role" and value in _SKIP_ROLES:
             return True
         if name in ("class", "id") and tag not in ("html", "body", "article", "main"):
-            if any(part in _SKIP_NAMES for part in re.split(r"[\s_-]+", value)):
-                return True
+            for name in value.split():
+                parts = set(re.split(r"[_-]+", name)) - _NEUTRAL
+                if parts and parts <= _SKIP_NAMES:
+                    return True
     return False
 
 
-def lines_of(page: str | None) -> tuple[list[str], list[bool]]:
-    """Text lines outside skipped elements, and whether each stands in an article or main."""
+def lines_of(page: str | None) -> tuple[list[str], list[bool], list[bool]]:
+    """Text lines; whether each stands in an article or main; whether in an element that is never the article."""
     page = page or ""
     lines: list[str] = []
     inside: list[bool] = []
+    marked: list[bool] = []
     stack: list[tuple[str, bool, bool]] = []  # tag, skipped, main
     open_tags: dict[str, int] = {}
     skipping = mains = 0
@@ -90,9 +95,11 @@ def lines_of(page: str | None) -> tuple[list[str], list[bool]]:
         if piece:
             line = " ".join(entities.unescape("".join(piece)).split())
             piece.clear()
-            if line:
-                lines.append(line)
-                inside.append(mains > 0)
+            for part in (line,) if mains else _SEPARATOR.split(line):
+                if part := part.strip():
+                    lines.append(part)
+                    inside.append(mains > 0)
+                    marked.append(skipping > 0)
 
     def pop() -> str:
         nonlocal skipping, mains
@@ -104,7 +111,7 @@ def lines_of(page: str | None) -> tuple[list[str], list[bool]]:
         return tag
 
     for m in _TOKEN.finditer(page):
-        if not skipping and m.start() > done:
+        if m.start() > done:
             piece.append(page[done : m.start()])
         done = m.end()
         tag = m["tag"]
@@ -135,10 +142,9 @@ def lines_of(page: str | None) -> tuple[list[str], list[bool]]:
         open_tags[name] = open_tags.get(name, 0) + 1
         skipping += skip
         mains += main
-    if not skipping:
-        piece.append(page[done:])
+    piece.append(page[done:])
     flush()
-    return lines, inside
+    return lines, inside, marked
 
 
 def split_url(url: str | None) -> tuple[str | None, str]:
@@ -202,28 +208,30 @@ def _hash(line: str) -> int:
 
 def _outline(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        hosts, paths, hashes, loose = [], [], [], []
+        hosts, paths, hashes, loose, content = [], [], [], [], []
         for url, page in zip(batch.column(2), batch.column(3), strict=True):
             host, path = split_url(url.as_py())
-            lines, inside = lines_of(page.as_py())
+            lines, inside, marked = lines_of(page.as_py())
+            own = [x for x, no in zip(lines, marked, strict=True) if not no]
             hosts.append(host)
             paths.append(path)
             hashes.append([_hash(x) for x in lines])
-            loose.append([k for k, own in enumerate(inside) if not own])
+            loose.append([k for k, x in enumerate(inside) if not x])
+            content.append(xxhash.xxh64_intdigest("\n".join(own).encode("utf-8", "surrogatepass")) - (1 << 63) if own else None)
         yield pa.RecordBatch.from_arrays(
             [
-                batch.column(0), batch.column(1), pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(hashes, pa.list_(pa.int64())),
-                pa.array(loose, pa.list_(pa.int32())),
+                batch.column(0), batch.column(1), pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(content, pa.int64()),
+                pa.array(hashes, pa.list_(pa.int64())), pa.array(loose, pa.list_(pa.int32())),
             ],
-            ["page_id", "sig", "host", "path", "lines", "loose"],
+            ["page_id", "sig", "host", "path", "content", "lines", "loose"],
         )
 
 
-_OUTLINE = "page_id long, sig long, host string, path string, lines array<long>, loose array<int>"
+_OUTLINE = "page_id long, sig long, host string, path string, content long, lines array<long>, loose array<int>"
 
 
 def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds the number, in its sorted partition, of each page's run of one host and equal lines."""
+    """Adds the number, in its sorted partition, of each page's run of one host and equal content."""
     nth, last = -1, None
     for batch in batches:
         out = []
@@ -233,44 +241,18 @@ def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int64())], [*batch.schema.names, "nth"])
 
 
-_DECIDED = "run long, before string, after string, by_before array<int>, by_after array<int>"
-
-
-def _takes_before(path: str, before: str | None, after: str | None) -> bool:
+def takes_before(path: str, before: str | None, after: str | None) -> bool:
+    """Whether the page before shares at least as long a path prefix as the one after."""
     if before is None or after is None:
         return after is None
     return len(commonprefix([before, path])) >= len(commonprefix([after, path]))
 
 
-def _align(t: pa.Table) -> pa.Table:
-    """A block of runs by rank: shared lines of its own runs with the run before and the one after.
-
-    A run's paths lean to the one before first and to the one after last, so its ends tell
-    which of the two any of its pages needs.
-    """
-    rows = sorted(t.select(["run", "host", "lines", "low", "high", "open", "block"]).to_pylist(), key=lambda r: r["run"])
-    out: dict[str, list] = {"run": [], "before": [], "after": [], "by_before": [], "by_after": []}
-    for n, r in enumerate(rows):
-        if not r["open"] or r["run"] // BLOCK != r["block"]:
-            continue
-        left, right = (rows[k] if 0 <= k < len(rows) and rows[k]["host"] == r["host"] else None for k in (n - 1, n + 1))
-        if not left and not right:
-            continue
-        before, after = left and left["high"], right and right["low"]
-        out["run"].append(r["run"])
-        out["before"].append(before)
-        out["after"].append(after)
-        out["by_before"].append(sorted(shared_lines(r["lines"], left["lines"])) if _takes_before(r["low"], before, after) else None)
-        out["by_after"].append(None if _takes_before(r["high"], before, after) else sorted(shared_lines(r["lines"], right["lines"])))
-    kinds = {"run": pa.int64(), "before": pa.string(), "after": pa.string(), "by_before": pa.list_(pa.int32()), "by_after": pa.list_(pa.int32())}
-    return pa.table({k: pa.array(v, kinds[k]) for k, v in out.items()})
-
-
 def _choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, sigs, shared = [], [], []
         for r in batch.to_pylist():
-            gone = set(r["by_before"] if _takes_before(r["path"], r["before"], r["after"]) else r["by_after"])
+            gone = shared_lines(r["lines"], r["before_lines"] if takes_before(r["path"], r["before"], r["after"]) else r["after_lines"])
             found = [k for k in r["loose"] if k in gone]
             if found:
                 ids.append(r["page_id"])
@@ -279,60 +261,68 @@ def _choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sigs, pa.int64()), pa.array(shared, pa.list_(pa.int32()))], ["page_id", "sig", "shared"])
 
 
-def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
-def shared_with_nearest(pages: DataFrame) -> DataFrame:
-    """(page_id, sig, shared): positions of each page's loose lines that its nearest different page has too."""
-    slim = pages.select("page_id", "sig", "url", "html").mapInArrow(_outline, _OUTLINE).where("host IS NOT NULL AND size(lines) > 0")
+def _runs(pages: DataFrame) -> DataFrame:
+    """The pages' outlines with the number of their run of equal content, in the order of host and path."""
+    slim = pages.select("page_id", "sig", "url", "html").mapInArrow(_outline, _OUTLINE).where("host IS NOT NULL AND content IS NOT NULL")
     order = ["host", "path", "page_id", "sig"]
     slim = slim.dropDuplicates(order).repartitionByRange(*order).sortWithinPartitions(*order)
     slim = checkpoint(slim.mapInArrow(_numbered, f"{_OUTLINE}, nth long")).withColumn("part", F.spark_partition_id())
-    key = F.struct("host", F.xxhash64("lines"))
+    key = F.struct("host", "content")
     ends = slim.groupBy("part").agg((F.max("nth") + 1).alias("n"), F.min_by(key, "nth").alias("first"), F.max_by(key, "nth").alias("last"))
     parts = Window.orderBy("part")  # one row per partition
     ends = ends.withColumn("goes_on", F.col("first").eqNullSafe(F.lag("last").over(parts)).cast("long"))
     ahead = F.coalesce(F.sum(F.col("n") - F.col("goes_on")).over(parts.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = F.broadcast(ends.select("part", (ahead - F.col("goes_on")).alias("ahead")))
-    ranked = slim.join(starts, "part").withColumn("run", F.col("ahead") + F.col("nth"))
+    return slim.join(starts, "part").withColumn("run", F.col("ahead") + F.col("nth"))
+
+
+def shared_with_nearest(pages: DataFrame) -> DataFrame:
+    """(page_id, sig, shared): positions of each page's lines outside an article that its nearest different page has too."""
+    ranked = _runs(pages)
+    first = F.struct("path", "page_id", "sig")  # the page whose lines stand for the run
     runs = ranked.groupBy("run").agg(
-        F.first("host").alias("host"), F.first("lines").alias("lines"), F.min("path").alias("low"), F.max("path").alias("high"), F.max(F.size("loose") > 0).alias("open")
+        F.min_by("host", first).alias("host"), F.min_by("lines", first).alias("lines"), F.min("path").alias("low"), F.max("path").alias("high")
     )
     own = F.floor(F.col("run") / BLOCK)
     edge = F.when(F.col("run") % BLOCK == 0, own - 1).when(F.col("run") % BLOCK == BLOCK - 1, own + 1)
     dealt = runs.select("*", F.explode(F.array_compact(F.array(own, edge))).alias("block"))
-    decided = checkpoint(dealt.groupBy("block").applyInArrow(_align, _DECIDED))
-    loose = ranked.where(F.size("loose") > 0).select("page_id", "sig", "path", "loose", "run")
-    return checkpoint(loose.join(_small(decided), "run").mapInArrow(_choose, "page_id long, sig long, shared array<int>"))
+    block = Window.partitionBy("block").orderBy("run")
+    beside = lambda move, what: F.when(move("host").over(block) == F.col("host"), move(what).over(block))
+    near = dealt.select(
+        "run", "block", beside(F.lag, "high").alias("before"), beside(F.lag, "lines").alias("before_lines"), beside(F.lead, "low").alias("after"), beside(F.lead, "lines").alias("after_lines")
+    ).where((F.col("block") == own) & (F.col("before").isNotNull() | F.col("after").isNotNull()))
+    return ranked.select("page_id", "sig", "path", "lines", "loose", "run").join(near.drop("block"), "run").mapInArrow(_choose, "page_id long, sig long, shared array<int>")
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = []
+        texts, lines_n, marked_n = [], [], []
         for page, shared in zip(batch.column(2), batch.column(3).to_pylist(), strict=True):
-            lines, _ = lines_of(page.as_py())
-            if shared:
-                gone = set(shared)
-                lines = [x for k, x in enumerate(lines) if k not in gone]
-            texts.append(" ".join(lines))
+            lines, inside, marked = lines_of(page.as_py())
+            gone = set(shared or ())
+            texts.append(" ".join(x for k, x in enumerate(lines) if k not in gone and not marked[k]))
+            lines_n.append(len(lines))
+            marked_n.append(sum(no and k not in gone for k, no in enumerate(marked)))
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())],
-            ["page_id", "url", "text", "n_chars"],
-        )
+            [
+                batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64()), pa.array(lines_n, pa.int64()),
+                pa.compute.fill_null(pa.compute.list_value_length(batch.column(3)), 0).cast(pa.int64()), pa.array(marked_n, pa.int64()),
+            ],
+            ["page_id", "url", "text", "n_chars", "n_lines", "n_shared", "n_marked"],
+        )
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every row of ``pages(page_id, url, html)``.
 
-    Null or empty html gives an empty text. A null url has no host and so no neighbour.
-    Repeated rows stay and are equal; ties in the path go by page_id. Broken markup (unclosed
-    or stray tags) never raises. No rows give no rows; other columns are ignored.
+    And of its n_lines, the n_shared that differencing deleted and the n_marked that only markup did.
+    Null or empty html gives an empty text. A null url has no host and so no neighbour, and a page
+    without content is none. Repeated rows stay and are equal; ties in the path go by page_id. Broken
+    markup (unclosed or stray tags) never raises. No rows give no rows; other columns are ignored.
     """
     own = pages.select(
         F.col("page_id").cast("long").alias("page_id"), F.xxhash64("url", "html").alias("sig"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")
     )
     shared = shared_with_nearest(own).withColumnsRenamed({"page_id": "at_id", "sig": "at_sig"})
-    shared = _small(shared)
     joined = own.join(shared, own.page_id.eqNullSafe(shared.at_id) & (own.sig == shared.at_sig), "left")
-    return joined.select("page_id", "url", "html", "shared").mapInArrow(_texts, "page_id long, url string, text string, n_chars long")
+    return joined.select("page_id", "url", "html", "shared").mapInArrow(_texts, "page_id long, url string, text string, n_chars long, n_lines long, n_shared long, n_marked long")

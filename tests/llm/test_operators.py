@@ -334,6 +334,72 @@ def test_html_run_takes_the_nearer_side_page_by_page(spark):
     assert out == {1: "x", 2: "R own", 3: "L own", 4: "y"}
 
 
+def _extracted(rows):
+    """Texts and deleted lines by the rule, page by page: nearest page of other content, LCS by table, protection, markup."""
+    outline = []
+    for i, url, page in rows:
+        host, path = html.split_url(url)
+        lines, inside, marked = html.lines_of(page)
+        outline.append((host, path, i, lines, inside, marked, [x for x, m in zip(lines, marked, strict=True) if not m]))
+    known = sorted((o for o in outline if o[0] is not None and o[6]), key=lambda o: o[:3])
+    out = []
+    for o in outline:
+        host, path, i, lines, inside, marked, own = o
+        gone = set()
+        if o in known:
+            k = known.index(o)
+            before, after = known[:k][::-1], known[k + 1 :]
+            left = next((x for x in before if x[0] != host or x[6] != own), None)
+            right = next((x for x in after if x[0] != host or x[6] != own), None)
+            left, right = (x if x and x[0] == host else None for x in (left, right))
+            if left or right:
+                # a run of equal content is represented by its first page
+                pick = left if html.takes_before(path, left and left[1], right and right[1]) else right
+                j = known.index(pick)
+                while j and known[j - 1][0] == host and known[j - 1][6] == pick[6]:
+                    j -= 1
+                gone = {lines_k for lines_k in html.shared_lines([html._hash(x) for x in lines], [html._hash(x) for x in known[j][3]]) if not inside[lines_k]}
+        out.append((i, " ".join(x for k, x in enumerate(lines) if k not in gone and not marked[k]), len(gone)))
+    return sorted(out)
+
+
+def test_html_equals_brute_force(spark, monkeypatch):
+    rng = random.Random(8)
+    words = [f"w{k}" for k in range(6)]
+    rows = []
+    for i in range(90):
+        menu = "".join(f"<li>{rng.choice(words)}</li>" for _ in range(rng.randint(0, 4)))
+        text = "".join(f"<p>{rng.choice(words)} {rng.choice(words)}</p>" for _ in range(rng.randint(0, 3)))
+        body = f"<article>{text}</article>" if rng.random() < 0.5 else text
+        rows.append((i, rng.choice(["http://h", "https://H", "http://g"]) + "/" + rng.choice("ab") + "/" + rng.choice("abcd"), f"<nav><ul>{menu}</ul></nav><div>{rng.choice(words)}</div>{body}<footer>&copy; site · {rng.choice(words)}</footer>"))
+    rows += [(90, None, "<p>x"), (91, "http://h/a/b", None), (92, "http://lone/", "<div>Site</div><p>text")]
+    want = _extracted(rows)
+    assert sum(n for *_, n in want) > 90 and any(not t for _, t, _ in want)
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    for block in (512, 3):
+        monkeypatch.setattr(html, "BLOCK", block)
+        assert sorted((r.page_id, r.text, r.n_shared) for r in html.extract(pages).collect()) == want
+
+
+def test_html_finds_the_articles_of_the_table(spark):
+    """Recall and precision against the article element's text, cut out by plain patterns."""
+    import html as entities
+
+    got_ = html.extract(spark.read.parquet("/root/testdata/sf0.01/pages.parquet")).collect()
+    pages = {r.page_id: r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()}
+    for r in got_:
+        article = re.search("<article>(.*?)</article>", pages[r.page_id], re.S)[1]
+        plain = re.sub("<[^>]*>", " ", re.sub("</?(?:b|i|a|em|strong|span)>", "", article))
+        assert r.text == " ".join(entities.unescape(plain).split())
+    assert sum(r.n_shared > 0 for r in got_) > 0.9 * len(got_)
+
+
+def test_html_marks_only_by_whole_names():
+    page = '<div class="main-menu-story">a</div><div class="cookie-notice">b</div><div class="site-nav x">c</div><div class="article-sharing">d</div><div id="related_posts">e</div>'
+    lines, _, marked = html.lines_of(page)
+    assert [x for x, m in zip(lines, marked, strict=True) if not m] == ["a", "d"]
+
+
 def test_shared_lines_is_a_longest_common_subsequence():
     rng = random.Random(6)
     for _ in range(300):
