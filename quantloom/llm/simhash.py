@@ -11,8 +11,7 @@ The tree is spread over the cluster by Gray rank. Each range of neighbouring ran
 lower part of the tree; one summary a range (two words) makes up the upper part, which
 travels with the tasks. A fingerprint descends the upper part first and is sent only to the
 later ranges it cannot be told apart from, where it descends the rest. For fingerprints without
-structure that is C(log2 of the ranges, up to 3) / 2 rows of nine bytes each: 2 for 4
-ranges, 20 for 60, 100 for 2,000. A range's own fingerprints are all that a task holds (``range_size``);
+structure that is C(log2 of the ranges, up to 3) / 2 rows: 5 for 8 ranges, 20 for 60, 100 for 2,000. A range's own fingerprints are all that a task holds (``range_size``);
 visitors stream past them, so neither a hub nor a crowded range has to be gathered. Only a spanning
 forest leaves a range, never its pairs.
 """
@@ -37,6 +36,7 @@ FRONTIER = 1 << 14
 #: Pairs that are held before they are folded into the forest.
 HELD_PAIRS = 1 << 18
 LEAST_RANGE, MOST_RANGE = 1 << 16, 1 << 22
+LEAST_RANGES = 8
 _U = np.uint64
 _xx = partial(xxhash.xxh64_intdigest, seed=42)
 
@@ -236,20 +236,34 @@ _DEALT_NAMES = ["part", "visits", "rank", "fp"]
 _DEALT = "part int, visits boolean, rank long, fp long"
 
 
+def _numbered(bounds: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rank = gray_rank(batch.column(0).to_numpy().view(_U))
+            part = np.searchsorted(bounds, rank, side="right").astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(rank.view(np.int64) ^ np.int64(-(1 << 63))), batch.column(0)], ["part", "rank", "fp"])
+
+    return run
+
+
 def ranked(fps: DataFrame) -> DataFrame:
-    """(part, rank, fp) of the distinct fingerprints, dealt out in ranges of Gray rank."""
+    """(part, rank, fp) of the distinct fingerprints: the range of Gray rank that each falls in.
+
+    The ranges' bounds are quantiles, so their number does not depend on the partitions.
+    """
     rank = F.col("fp")
     for s in (1, 2, 4, 8, 16, 32):
         rank = rank.bitwiseXOR(F.shiftrightunsigned(rank, s))
     rank = rank.bitwiseXOR(F.lit(-(1 << 63)))  # so that signed order is the ranks' order
-    steps = fps.select("fp", rank.alias("rank"))
     n = fps.count()
-    dealt = steps.repartitionByRange(-(-n // range_size(n)) or 1, "rank")
-    return checkpoint(dealt.select(F.spark_partition_id().alias("part"), "rank", "fp"))
+    ranges = max(LEAST_RANGES, -(-n // range_size(n)))
+    cuts = fps.agg(F.percentile_approx(rank, [k / ranges for k in range(1, ranges)], 50 * ranges)).first()[0] or []
+    bounds = np.unique(np.array(cuts, dtype=np.int64)).view(_U) ^ _U(1 << 63)
+    return checkpoint(fps.select("fp").mapInArrow(_numbered(bounds), "part int, rank long, fp long"))
 
 
 def upper_nodes(dealt: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(part, OR, AND) of each range, in order: two words for a range of at least LEAST_RANGE fingerprints."""
+    """(part, OR, AND) of each range, in order: two words for a range."""
     rows = dealt.groupBy("part").agg(F.expr("bit_or(fp)").alias("o"), F.expr("bit_and(fp)").alias("a")).orderBy("part").toArrow()
     return rows["part"].to_numpy(), rows["o"].to_numpy().view(_U), rows["a"].to_numpy().view(_U)
 
