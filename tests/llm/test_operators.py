@@ -97,7 +97,7 @@ def test_simhash_index_finds_all_links_over_many_ranges(spark, monkeypatch):
     for size in (1 << 16, 20):  # one range, and many
         monkeypatch.setattr(simhash, "LEAST_RANGE", size)
         monkeypatch.setattr(simhash, "MOST_RANGE", size)
-        assert simhash.ranked(df).select("part").distinct().count() == (1 if size > 20 else -(-len(fps) // 20))
+        assert (simhash.ranked(df).select("part").distinct().count() > 12) == (size == 20)
         roots = {r.node % (1 << 64): r.root for r in connected_components(simhash.links(df)).collect()}
         for g in groups.values():
             assert len(g) == 1 and not (g & set(roots)) or len({roots[x] for x in g}) == 1
@@ -197,20 +197,58 @@ def test_secrets(docs, rows, empty):
     assert any(s[2] > 2 for s in secrets.find(scan, "x ghp_" + "a1B2" * 9 + " y"))
 
 
+def _occurs(own, h):
+    """Whether a run of n consecutive shingles holds enough of the template's n, tried at every start."""
+    own, h = set(own.tolist()), h.tolist()
+    return any(len(own & set(h[a : a + len(own)])) >= licenses.CONTAINED * len(own) for a in range(max(1, len(h) - len(own) + 1)))
+
+
+def _scans(scan, texts):
+    hashes = [licenses.shingle_hashes(licenses.words_of(t)) for t in texts]
+    got_ = [{x for x, *_ in spans} for _, spans in scan.scan(iter(texts))]
+    return got_, [{n for n, own in scan.shingles.items() if _occurs(own, h)} for h in hashes]
+
+
 def test_licenses(docs, rows, empty):
     scan = licenses.Scanner()
-    every = lambda size, shingles: {n for n, s in scan.shingles.items() if len(s) == size}
-    for r in rows:
-        n, spans = scan.find(r[1])
-        plain = licenses.Scanner()
-        plain.retrieve = every
-        plain.words = {w for w in licenses.words_of(r[1])} | plain.words
-        assert plain.find(r[1]) == (n, spans)
+    found, want = _scans(scan, [r[1] for r in rows])
+    assert found == want
     out = [r.licenses for r in licenses.scan_licenses(docs).collect() if r.licenses]
     assert sorted(out) == ["CC-BY-NC-4.0", "MIT"]
-    for name, text in licenses.TEMPLATES.items():
-        assert name in {x for x, *_ in scan.find("some words before it " * 9 + text + " and some behind")[1]}
     assert got(licenses.scan_licenses(empty)) == []
+    notice = licenses.TEMPLATES["Zlib"]
+    n = len(licenses.words_of(notice))
+    assert scan.find(f"{notice} {notice} x")[1] == [("Zlib", 0, n), ("Zlib", n, 2 * n)]  # neighbours stay two
+
+
+def test_licenses_recall_of_changed_templates(monkeypatch):
+    rng = random.Random(3)
+    vocab = ["".join(rng.choice("abcdehilnorst") for _ in range(5)) for _ in range(300)]
+    scan = licenses.Scanner()
+    for name, template in licenses.TEMPLATES.items():
+        texts = []
+        while len(texts) < 50:
+            words = [w.decode() for w in licenses.words_of(template)]
+            for _ in range(rng.randint(0, max(0, len(words) // 25))):
+                words[rng.randrange(len(words))] = rng.choice(vocab)
+            text = " ".join([*rng.choices(vocab, k=rng.randint(0, 400)), *words, *rng.choices(vocab, k=rng.randint(0, 90))])
+            if _occurs(scan.shingles[name], licenses.shingle_hashes(licenses.words_of(text))):
+                texts.append(text)
+        found, want = _scans(scan, texts)
+        assert all(f <= w for f, w in zip(found, want, strict=True))
+        assert sum(name in f for f in found) >= 0.95 * len(texts), name
+    blind = licenses.Scanner()  # without its bands the scanner finds nothing
+    blind.by_size = {n: [(name, keys[:0]) for name, keys in own] for n, own in blind.by_size.items()}
+    assert not any(spans for _, spans in blind.scan(iter(texts)))
+
+
+def test_licenses_do_not_depend_on_the_batch(rows):
+    scan = licenses.Scanner()
+    texts = [r[1] for r in rows] + list(licenses.TEMPLATES.values())
+    whole = list(scan.scan(iter(texts)))
+    assert whole == [scan.find(t) for t in texts]
+    long = " ".join([texts[9]] * 12) + licenses.TEMPLATES["MIT-text"]
+    assert [x for x, *_ in scan.find(long)[1]] == ["MIT-text"]
 
 
 def test_language_id(spark, empty):
