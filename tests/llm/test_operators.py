@@ -313,14 +313,41 @@ def test_lookup_table_is_even_and_stable():
     assert moved < 0.2 * len(table)
 
 
-def test_raking_meets_its_targets(spark):
-    cells = spark.createDataFrame([(s, x, t, 10 * (i + 1)) for i, (s, x, t) in enumerate((s, x, t) for s in "abc" for x in "de" for t in "pq")], "mix_source string, mix_lang string, mix_topic string, tokens long")
-    w = mixing.rake(cells, rounds=30).toPandas()
+def _cells(spark):
+    return spark.createDataFrame([(s, x, t, 10 * (i + 1)) for i, (s, x, t) in enumerate((s, x, t) for s in "abc" for x in "de" for t in "pq")], "mix_source string, mix_lang string, mix_topic string, tokens long")
+
+
+def test_raking_meets_its_targets(spark, monkeypatch):
+    cells = _cells(spark)
+    w = mixing.rake(cells, rounds=10).toPandas()
     for key in mixing.KEYS:
         own = w.groupby(key).tokens.sum() ** mixing.TEMPERATURE
         assert np.allclose(w.groupby(key).weight.sum(), own / own.sum())
-    p = mixing.calibrate(mixing.rake(cells), 0.4).toPandas()
+    p = mixing.calibrate(mixing.rake(cells, budget=0.4), 0.4).toPandas()
     assert np.isclose((p.prob * p.tokens).sum(), 0.4 * p.tokens.sum()) and p.prob.between(0, 1).all()
+    monkeypatch.setattr(mixing, "ONE_TASK_CELLS", 0)  # shuffled windows change nothing
+    key = list(mixing.KEYS)
+    pd.testing.assert_frame_equal(mixing.rake(cells, rounds=10).toPandas().sort_values(key, ignore_index=True), w.sort_values(key, ignore_index=True))
+
+
+def test_raking_to_given_targets_and_what_it_cannot_give(spark):
+    targets = {"source": {"a": 1, "b": 1, "c": 2}, "lang": {"d": 0.3, "e": 0.7}}
+    fitted = mixing.rake(_cells(spark), targets=targets, budget=0.3, rounds=20)
+    got_ = {(r.margin, r.category): r for r in mixing.marginals(fitted).collect()}
+    for k, share in {("source", "a"): 0.25, ("source", "c"): 0.5, ("lang", "e"): 0.7}.items():
+        assert np.isclose(got_[k].target, share) and abs(got_[k].expected - share) < 1e-3
+    # a wants more than it has: taken whole, the rest goes to the others
+    short = mixing.rake(_cells(spark), targets={"source": {"a": 0.9, "b": 0.1}}, budget=0.5, blocks=20)
+    got_ = {(r.margin, r.category): r for r in mixing.marginals(short).collect()}
+    own = got_["source", "a"].own
+    assert np.isclose(got_["source", "a"].expected, 2 * own) and got_["source", "a"].target == 0.9 and got_["source", "c"].expected == 0
+    assert mixing.calibrate(short).toPandas().query("mix_source == 'a'").prob.eq(1).all()
+
+
+def test_topic_of_the_words(spark):
+    rows = [("The BANK and the market, and a doctor.",), ("Code: server; doctor",), ("nothing here",), (None,), ("Börse!",)]
+    out = [r[0] for r in spark.createDataFrame(rows, "text string").coalesce(1).select(mixing.topic(mixing.F.col("text"))).collect()]
+    assert out == ["finance", "technology", "general", "general", "finance"]
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var x="</p>";</script></head><body><header>Site</header><nav><ul><li>Home<li>About</ul></nav>
