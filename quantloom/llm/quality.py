@@ -4,37 +4,70 @@ A document's histogram of character classes and its histogram of common words ar
 with each language's reference by Jensen-Shannon distance (base 2, so 0 to 1); the nearest
 language counts. Short documents have noisy histograms: the word rule only judges from
 ``MIN_WORDS`` words on, the class rule from ``MIN_CHARS`` characters on.
+
+Text is scanned by few passes: what is not a lower-case or non-ASCII letter is cut out once and the classes are
+counted in that fifth of the text; the common words are picked out once and counted in what was picked.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MIN_WORDS = 100
 MIN_CHARS = 200
-MAX_CLASS_DISTANCE = 0.30
-MAX_WORD_DISTANCE = 0.285
-
-#: Shares of lower-case or non-ASCII letters, capitals, digits, white space,
-#: punctuation and other ASCII characters in plain prose.
-CLASS_REFERENCE = {
-    "de": (0.772, 0.050, 0.006, 0.142, 0.029, 0.001),
-    "en": (0.776, 0.026, 0.006, 0.163, 0.028, 0.001),
-    "es": (0.775, 0.026, 0.006, 0.163, 0.029, 0.001),
-    "fr": (0.772, 0.027, 0.006, 0.163, 0.031, 0.001),
-}
-CLASSES = ("A-Z", "0-9", "\\x09-\\x0D\\x20", ".,;:!?'\"()\\-", "#*$%&|<>@/\\\\^_`{}~+=\\[\\]\\x00-\\x08\\x0E-\\x1F\\x7F")
-
-#: Common words of each language with their usual share of running text.
-WORD_REFERENCE = {
-    "de": {"der": 0.030, "die": 0.030, "und": 0.027, "in": 0.017, "den": 0.011, "von": 0.010, "zu": 0.010, "das": 0.010, "ist": 0.009, "nicht": 0.007},
-    "en": {"the": 0.060, "of": 0.030, "and": 0.028, "to": 0.025, "a": 0.022, "in": 0.020, "that": 0.011, "is": 0.010, "it": 0.009, "for": 0.009},
-    "es": {"de": 0.060, "la": 0.037, "que": 0.030, "el": 0.028, "en": 0.026, "y": 0.025, "a": 0.020, "los": 0.017, "se": 0.013, "un": 0.010},
-    "fr": {"de": 0.050, "la": 0.030, "le": 0.025, "et": 0.022, "les": 0.019, "des": 0.018, "en": 0.014, "un": 0.013, "que": 0.010, "est": 0.010},
+#: Halfway between the 99.5th percentile of the documents labelled good and the 0.5th of those labelled bad, at sf0.1.
+MAX_CLASS_DISTANCE = 0.155
+MAX_WORD_DISTANCE = 0.42
+
+#: Zipf-Mandelbrot law of a word's share by its rank: C / (rank + SHIFT), all listed words together making up LISTED.
+SHIFT, LISTED = 2.7, 0.45
+
+
+@dataclass(frozen=True)
+class Language:
+    """Reference of one language: letters and capitals of a word, and its common words by rank."""
+
+    letters: float
+    capitals: float
+    words: str
+
+    @property
+    def common(self) -> list[str]:
+        return self.words.split()
+
+    def word_shares(self) -> list[float]:
+        """Shares of the common words by rank, and of all others together."""
+        weight = [1 / (rank + SHIFT) for rank in range(1, len(self.common) + 1)]
+        return [*(round(LISTED * w / sum(weight), 6) for w in weight), round(1 - LISTED, 6)]
+
+    def class_shares(self) -> list[float]:
+        """Shares of lower-case or non-ASCII letters, capitals, digits, white space, punctuation, other ASCII characters.
+
+        Of prose with a space, 0.13 punctuation marks (a sentence's end and 1.3 more every 18
+        words), 0.03 digits and 0.005 other characters to a word.
+        """
+        per_word = [self.letters - self.capitals, self.capitals, 0.03, 1.0, 0.13, 0.005]
+        return [round(x / sum(per_word), 6) for x in per_word]
+
+
+#: Mean letters and capitals of a word in newspaper prose, and the fifty most frequent words by
+#: rank, as public frequency lists have them.
+LANGUAGES = {
+    "de": Language(6.0, 0.33, """der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach
+        wird bei einer um am sind noch wie einem über einen so zum war haben nur oder aber vor zur"""),
+    "en": Language(4.8, 0.13, """the of and to a in is that it for was on with as be by at are this from or have an not but had his they which you
+        one all were there would their we him been has when who will more no if out so said what"""),
+    "es": Language(4.9, 0.11, """de la que el en y a los se del las un por con no una su para es al lo como más o pero sus le ha me si
+        sin sobre este ya entre cuando todo esta ser son dos también fue había era muy años hasta desde está"""),
+    "fr": Language(5.0, 0.12, """de la le et les des en un du une que est pour qui dans a par plus pas au sur ne se ce il sont avec son aux ou
+        cette ont sa mais comme on tout nous été leur elle deux ses ces même ils y peut fait après"""),
 }
-COMMON = sorted({w for ref in WORD_REFERENCE.values() for w in ref})
-SYMBOLS = "#*$%&|<>"
+_SPACE = r"\x09-\x0D\x20"
+#: Classes after the first (lower-case and non-ASCII letters) and the white space, as sets of characters.
+CLASSES = {"capitals": "A-Z", "digits": "0-9", "marks": ".,;:!?'\"()\\-", "symbols": "#*$%&|<>"}
 
 
 def count_of(text: Column, kind: str) -> Column:
@@ -43,19 +76,17 @@ def count_of(text: Column, kind: str) -> Column:
 
 
 def duplicate_lines(text: Column) -> Column:
-    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    lines = F.filter(F.split(text, "\n"), lambda x: F.trim(x, F.lit(" \t\n\x0b\f\r")) != "")
     return F.size(lines) - F.size(F.array_distinct(lines))
 
 
-#: The 3-word windows' hashes with their positions, sorted, of the array column q_words.
-_WINDOWS = (
-    "CASE WHEN size(q_words) > 2 THEN sort_array(transform(sequence(0, size(q_words) - 3), "
-    "i -> struct(xxhash64(q_words[i], q_words[i + 1], q_words[i + 2]) AS h, i AS i))) END"
-)
-#: Positions whose neighbour has the same hash, in text order.
+_HASHES = "CASE WHEN size(q_words) > 2 THEN transform(sequence(0, size(q_words) - 3), i -> xxhash64(q_words[i], q_words[i + 1], q_words[i + 2])) END"
+#: The 3-word windows' hashes with their positions, sorted.
+_SORTED = "sort_array(transform(q_hashes, (h, i) -> struct(h, i)))"
+#: Positions of windows that have the words of the one sorted before or behind them, in text order.
 _REPEATED = (
-    "sort_array(transform(filter(q_sorted, (x, j) -> "
-    "(j > 0 AND get(q_sorted, j - 1).h = x.h) OR coalesce(get(q_sorted, j + 1).h = x.h, false)), x -> x.i))"
+    "sort_array(transform(filter(q_sorted, (x, j) -> (j > 0 AND get(q_sorted, j - 1).h = x.h AND slice(q_words, get(q_sorted, j - 1).i + 1, 3) = slice(q_words, x.i + 1, 3)) "
+    "OR coalesce(get(q_sorted, j + 1).h = x.h AND slice(q_words, get(q_sorted, j + 1).i + 1, 3) = slice(q_words, x.i + 1, 3), false)), x -> x.i))"
 )
 #: Each repeated window adds the words that the one before has not covered.
 _COVERED = (
@@ -64,59 +95,67 @@ _COVERED = (
 )
 
 
-def js_distance(counts: list[Column], reference: tuple[float, ...], total: Column) -> Column:
-    """Jensen-Shannon distance of counts / total from the reference shares."""
-    half = F.lit(0.0)
-    for n, q in zip(counts, reference, strict=True):
-        p = n / total
-        m = (p + q) / 2
-        half = half + F.when(n > 0, p * F.log2(p / m)).otherwise(0.0) + q * F.log2(F.lit(q) / m)
-    return F.sqrt(F.greatest(half / 2, F.lit(0.0)))
+def js_distance(counts: str, shares: list[float], total: str) -> Column:
+    """Jensen-Shannon distance of an array of counts, over a total, from reference shares."""
+    reference = f"array({', '.join(f'{q!r}D' for q in shares)})"
+    p, m = f"(n / {total})", f"((n / {total} + q) / 2)"
+    term = f"CASE WHEN n > 0 THEN {p} * log2({p} / {m}) ELSE 0D END + q * log2(q / {m})"
+    return F.expr(f"sqrt(greatest(aggregate(zip_with({counts}, {reference}, (n, q) -> {term}), 0D, (a, x) -> a + x) / 2, 0D))")
+
 
+def _word_counts(words: list[str]) -> str:
+    """Counts of the words in q_common, where each word stands between spaces of its own, and of all others."""
+    listed = ", ".join(f"' {w} '" for w in words)
+    counts = f"transform(array({listed}), w -> (octet_length(q_common) - octet_length(replace(q_common, w, ''))) div octet_length(w))"
+    return f"concat({counts}, array(n_words - aggregate({counts}, 0L, (a, n) -> a + n)))"
 
-def judged(docs: DataFrame) -> DataFrame:
+
+def judged(docs: DataFrame, languages: dict[str, Language] | None = None) -> DataFrame:
     """``docs`` plus the rules' measures, base_failed and kept, without a shuffle.
 
     A null text has no words (and fails the base rules), as has an empty one. Rows are judged
     each by itself, so repeated rows and ties change nothing; an empty table gives no rows.
-    The reference languages are those of WORD_REFERENCE; the label is not looked at.
+    The reference languages are those given; a label is not looked at.
     """
+    languages = LANGUAGES if languages is None else languages
     text = F.col("q_text")
+    every = sorted({w for x in languages.values() for w in x.common})
     staged = docs.withColumn("q_text", F.coalesce(F.col("text").cast("string"), F.lit("")))
-    staged = staged.withColumn("q_words", F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != ""))
     staged = staged.withColumns({
-        "q_sorted": F.expr(_WINDOWS),
-        "q_common": F.filter(F.transform("q_words", lambda w: F.lower(w)), lambda w: w.isin(COMMON)),
-        "n_words": F.size("q_words").cast("long"),
-        "q_chars": F.length(text),
-        **{f"q_class_{k}": count_of(text, c) for k, c in enumerate(CLASSES)},
-        "n_symbols": count_of(text, "#*$%&|<>").cast("long"),
+        "q_words": F.filter(F.split(text, f"[{_SPACE}]+"), lambda w: w != ""),
+        "q_rest": F.regexp_replace(text, r"[a-z\x{80}-\x{10FFFF}]+", ""),
+        "q_chars": F.length(text).cast("long"),
         "n_dup_lines": duplicate_lines(text).cast("long"),
     })
     staged = staged.withColumns({
-        "word_chars": (F.col("q_chars") - F.col("q_class_2")).cast("long"),
+        "q_hashes": F.expr(_HASHES),
+        "q_bare": F.regexp_replace("q_rest", f"[{_SPACE}]+", ""),
+        "q_common": F.concat(F.lit(" "), F.array_join(F.filter(F.transform("q_words", lambda w: F.lower(w)), lambda w: w.isin(every)), "  "), F.lit(" ")),
+        "n_words": F.size("q_words").cast("long"),
+    })
+    staged = staged.withColumns({
+        "q_sorted": F.expr(f"CASE WHEN size(array_distinct(q_hashes)) < size(q_hashes) THEN {_SORTED} END"),
+        **{f"q_{k}": count_of(F.col("q_bare"), c).cast("long") for k, c in CLASSES.items()},
+        "q_space": (F.length("q_rest") - F.length("q_bare")).cast("long"),
+        **{f"q_in_{x}": F.expr(_word_counts(own.common)) for x, own in languages.items()},
+    })
+    staged = staged.withColumns({
+        "word_chars": F.col("q_chars") - F.col("q_space"),
+        "n_symbols": F.col("q_symbols"),
         "n_repeat_words": F.expr(_COVERED),
-        **{f"q_word_{k}": F.expr(f"size(filter(q_common, x -> x = '{w}'))") for k, w in enumerate(COMMON)},
+        "q_classes": F.expr(
+            "array(q_chars - length(q_rest), q_capitals, q_digits, q_space, q_marks, length(q_rest) - q_space - q_capitals - q_digits - q_marks)"
+        ),
     })
-    rest = F.col("q_chars")
-    for k in range(len(CLASSES)):
-        rest = rest - F.col(f"q_class_{k}")
-    classes = [rest, *(F.col(f"q_class_{k}") for k in range(len(CLASSES)))]
-    by_class = F.least(*[js_distance(classes, ref, F.greatest("q_chars", F.lit(1))) for ref in CLASS_REFERENCE.values()])
-    by_word = []
-    for ref in WORD_REFERENCE.values():
-        own = [F.col(f"q_word_{COMMON.index(w)}") for w in ref]
-        other = F.col("n_words")
-        for n in own:
-            other = other - n
-        by_word.append(js_distance([*own, other], (*ref.values(), 1 - sum(ref.values())), F.greatest("n_words", F.lit(1))))
+    by_class = [js_distance("q_classes", x.class_shares(), "greatest(q_chars, 1L)") for x in languages.values()]
+    by_word = [js_distance(f"q_in_{k}", x.word_shares(), "greatest(n_words, 1L)") for k, x in languages.items()]
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return (
-        staged.withColumns({"class_distance": F.round(by_class, 6), "word_distance": F.round(F.least(*by_word), 6), "base_failed": failed})
+        staged.withColumns({"class_distance": F.round(F.least(*by_class), 6), "word_distance": F.round(F.least(*by_word), 6), "base_failed": failed})
         .withColumn("kept", ~F.col("base_failed")
             & ((F.col("q_chars") < MIN_CHARS) | (F.col("class_distance") <= MAX_CLASS_DISTANCE))
             & ((F.col("n_words") < MIN_WORDS) | (F.col("word_distance") <= MAX_WORD_DISTANCE)))
-        .drop("q_text", "q_words", "q_sorted", "q_common", "q_chars", *[f"q_class_{k}" for k in range(len(CLASSES))], *[f"q_word_{k}" for k in range(len(COMMON))])
+        .drop("q_text", "q_words", "q_hashes", "q_sorted", "q_common", "q_chars", "q_rest", "q_bare", "q_space", "q_classes", *[f"q_{k}" for k in CLASSES], *[f"q_in_{k}" for k in languages])
     )
 
 
@@ -130,30 +169,28 @@ def quality(docs: DataFrame) -> DataFrame:
 
 def oracle_sql() -> str:
     """The same over explicit windows, lines and words."""
-    distance = lambda pairs, total: "sqrt(greatest((" + " + ".join(
-        f"(CASE WHEN {n} > 0 THEN {n} / {total} * log2({n} / {total} / (({n} / {total} + {q!r}) / 2)) ELSE 0 END + {q!r} * log2({q!r} / (({n} / {total} + {q!r}) / 2)))"
-        for n, q in pairs) + ") / 2, 0))"
-    chars, words = "greatest(q_chars, 1)::DOUBLE", "greatest(n_words, 1)::DOUBLE"
-    rest = "(q_chars - " + " - ".join(f"c{k}" for k in range(len(CLASSES))) + ")"
-    classes = [rest, *(f"c{k}" for k in range(len(CLASSES)))]
-    by_class = ", ".join(distance(list(zip(classes, ref, strict=True)), chars) for ref in CLASS_REFERENCE.values())
-    by_word = []
-    for ref in WORD_REFERENCE.values():
-        own = [f"k{COMMON.index(w)}" for w in ref]
-        by_word.append(distance([*zip(own, ref.values(), strict=True), (f"(n_words - {' - '.join(own)})", 1 - sum(ref.values()))], words))
+
+    def distance(counts: str, shares: list[float], total: str) -> str:
+        p, m = f"(x.n / {total})", f"((x.n / {total} + x.q) / 2)"
+        zipped = f"list_transform(range(1, {len(shares) + 1}), lambda i: {{'n': list_extract({counts}, i)::DOUBLE, 'q': list_extract([{', '.join(map(repr, shares))}], i)::DOUBLE}})"
+        return f"sqrt(greatest(list_sum(list_transform({zipped}, lambda x: CASE WHEN x.n > 0 THEN {p} * log2({p} / {m}) ELSE 0 END + x.q * log2(x.q / {m}))) / 2, 0))"
+
     java = lambda c: c.replace("'", "''")
-    counts = ", ".join(f"length(regexp_replace(t, '[^{java(c)}]+', '', 'g')) c{k}" for k, c in enumerate(CLASSES))
-    common = ", ".join(f"len(list_filter(low, lambda x: x = '{w}')) k{k}" for k, w in enumerate(COMMON))
+    counts = ", ".join(f"length(regexp_replace(t, '[^{java(c)}]+', '', 'g')) q_{k}" for k, c in CLASSES.items())
+    words = ", ".join(f"list_transform([{', '.join(repr(w) for w in x.common)}], lambda w: len(list_filter(low, lambda v: v = w))) in_{k}" for k, x in LANGUAGES.items())
+    by_class = ", ".join(distance("classes", x.class_shares(), "greatest(q_chars, 1)") for x in LANGUAGES.values())
+    by_word = ", ".join(distance(f"list_append(in_{k}, n_words - list_sum(in_{k}))", x.word_shares(), "greatest(n_words, 1)") for k, x in LANGUAGES.items())
     return f"""WITH d AS (SELECT row_number() OVER () rid, doc_id, coalesce(text, '') t FROM documents),
         w AS (SELECT *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) ls FROM d),
         g AS (SELECT rid, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] v FROM (SELECT rid, ws, unnest(range(1, len(ws) - 1)) i FROM w)),
         p AS (SELECT rid, i FROM g QUALIFY count(*) OVER (PARTITION BY rid, v) > 1),
         r AS (SELECT rid, count(DISTINCT i + o) n FROM p, (SELECT unnest([0, 1, 2]) o) GROUP BY rid),
         m AS (SELECT doc_id, length(t) q_chars, len(ws) n_words, coalesce(n, 0) n_repeat_words, len(ls) - len(list_distinct(ls)) n_dup_lines,
-            length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) n_symbols, {counts}, {common}
+            length(regexp_replace(t, '[a-z\\x{{80}}-\\x{{10FFFF}}]+', '', 'g')) q_rest, length(regexp_replace(t, '[^{_SPACE}]+', '', 'g')) q_space, {counts}, {words}
             FROM (SELECT *, list_transform(ws, lambda x: lower(x)) low FROM w LEFT JOIN r USING (rid))),
-        j AS (SELECT *, round(least({by_class}), 6) class_distance, round(least({", ".join(by_word)}), 6) word_distance, n_words < 50 OR 100 * n_repeat_words > 50 * n_words base_failed FROM m)
-        SELECT doc_id, CAST(n_words AS BIGINT) n_words, CAST(q_chars - c2 AS BIGINT) word_chars, CAST(n_symbols AS BIGINT) n_symbols, CAST(n_dup_lines AS BIGINT) n_dup_lines,
+        c AS (SELECT *, [q_chars - q_rest, q_capitals, q_digits, q_space, q_marks, q_rest - q_space - q_capitals - q_digits - q_marks] classes FROM m),
+        j AS (SELECT *, round(least({by_class}), 6) class_distance, round(least({by_word}), 6) word_distance, n_words < 50 OR 100 * n_repeat_words > 50 * n_words base_failed FROM c)
+        SELECT doc_id, CAST(n_words AS BIGINT) n_words, CAST(q_chars - q_space AS BIGINT) word_chars, CAST(q_symbols AS BIGINT) n_symbols, CAST(n_dup_lines AS BIGINT) n_dup_lines,
             CAST(n_repeat_words AS BIGINT) n_repeat_words, class_distance, word_distance, base_failed,
             NOT base_failed AND (q_chars < {MIN_CHARS} OR class_distance <= {MAX_CLASS_DISTANCE}) AND (n_words < {MIN_WORDS} OR word_distance <= {MAX_WORD_DISTANCE}) kept
         FROM j"""
