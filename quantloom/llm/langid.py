@@ -3,10 +3,15 @@
 A word's likelihood in a language is the sum over all its segmentations into pieces of a
 fixed public vocabulary of the product of the pieces' probabilities, by the forward
 algorithm. The piece probabilities of each language are fitted by expectation-maximisation
-(forward-backward) on word counts of a bounded sample of labelled rows; a text's
+(forward-backward) on the word counts of a bounded sample of labelled rows: the words stay on the cluster,
+each partition sums the expected uses of pieces, and only the model comes to the driver. A text's
 log-likelihood is the sum over its words. Words are runs of letters, lower-cased, with the
 vocabulary's word mark in front; a run of over ``CHUNK`` characters is cut into words of
 that length, and each is scored, so that whole texts count.
+
+The score is the language's posterior beside the other languages and a background that takes all pieces to be
+equally likely, so that a text in no learned language scores low. As words are not independent, the
+log-likelihoods are divided by a temperature, which is fitted on a fold of the sample.
 """
 
 from __future__ import annotations
@@ -19,10 +24,12 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+from quantloom.llm.common import checkpoint
+
 #: Labelled rows sampled for each language, in expectation (all rows where there are fewer).
 TRAIN_ROWS = 3000
 #: UTF-8 bytes of text sampled over all languages, in expectation, of which each may fill an equal part...
@@ -38,6 +45,11 @@ UNKNOWN = 1e-9
 CACHE_WORDS = 200_000
 BATCH_WORDS = 300_000
 FOLDS = 5
+#: Partitions of the sample's words while fitting.
+FIT_TASKS = 16
+TEMPERATURES = (1, 2, 4, 8, 16, 32, 64, 128, 256)
+#: Labels whose sampling shares are broadcast (a few kB); more of them are joined by a shuffle.
+BROADCAST_LABELS = 10_000
 
 _RUNS = re.compile(r"[^\W\d_]+")
 _MARK = "▁"
@@ -144,24 +156,61 @@ def forward(p: np.ndarray, n: int, arcs: list[tuple[int, int]], idx: np.ndarray)
     return alpha
 
 
-def fit(lattice: Lattice, words: list[str], at: np.ndarray, lang: np.ndarray, n: np.ndarray, langs: int) -> np.ndarray:
-    """Piece probabilities (pieces x languages) from counts n of (words[at], lang), at ascending.
-
-    The words go through each round in blocks, so that memory does not grow with them.
-    """
+def start(lattice: Lattice, langs: int) -> np.ndarray:
+    """Piece probabilities (pieces x languages) that know nothing."""
     p = np.full((lattice.size, langs), 1 / lattice.size)
     p[-2], p[-1] = UNKNOWN, 0
-    step = max(1, FIT_CELLS // max(langs, 1))
+    return p
+
+
+def maximised(seen: np.ndarray) -> np.ndarray:
+    """Piece probabilities from expected uses."""
+    seen = seen.copy()
+    seen[:-2] += SMOOTH
+    p = seen / np.maximum(seen[:-2].sum(0), 1)
+    p[-2], p[-1] = UNKNOWN, 0
+    return p
+
+
+def expected(lattice: Lattice, p: np.ndarray, words: list[str], counts: np.ndarray) -> np.ndarray:
+    """Expected uses of the pieces (pieces x languages) in words with counts (words x languages)."""
+    seen = np.zeros_like(p)
+    step = max(1, FIT_CELLS // max(p.shape[1], 1))  # so that memory does not grow with the words
+    for i in range(0, len(words), step):
+        _gather(lattice, words[i : i + step], counts[i : i + step], p, seen)
+    return seen
+
+
+def _estimator(lattice: Lattice, p: np.ndarray):  # noqa: ANN202
+    """E-step of a partition of (word, ns): the sums of its words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros_like(p)
+        for batch in batches:
+            words, entries = batch.column(0).to_pylist(), batch.column(1)
+            flat = entries.flatten()
+            row = np.repeat(np.arange(len(words)), pc.list_value_length(entries).to_numpy())
+            step = max(1, FIT_CELLS // max(p.shape[1], 1))
+            for i in range(0, len(words), step):
+                low, high = np.searchsorted(row, (i, i + step))
+                counts = np.zeros((min(step, len(words) - i), p.shape[1]))
+                part = flat.slice(low, high - low)
+                counts[row[low:high] - i, part.field(0).to_numpy()] = part.field(1).to_numpy()
+                seen += expected(lattice, p, words[i : i + step], counts)
+        piece, lang = np.nonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(piece.astype(np.int32)), pa.array(lang.astype(np.int32)), pa.array(seen[piece, lang])], ["piece", "lang", "n"])
+
+    return run
+
+
+def fit(lattice: Lattice, words: DataFrame, langs: int) -> np.ndarray:
+    """Piece probabilities (pieces x languages) from ``words(word, ns array<struct<lang, n>>)``, a job a round."""
+    p = start(lattice, langs)
     for _ in range(EM_ROUNDS):
-        seen = np.zeros((lattice.size, langs))
-        for start in range(0, len(words), step):
-            low, high = np.searchsorted(at, (start, start + step))
-            counts = np.zeros((step, langs))
-            counts[at[low:high] - start, lang[low:high]] = n[low:high]
-            _gather(lattice, words[start : start + step], counts, p, seen)
-        seen[:-2] += SMOOTH
-        p = seen / np.maximum(seen[:-2].sum(0), 1)
-        p[-2], p[-1] = UNKNOWN, 0
+        sums = words.mapInArrow(_estimator(lattice, p), "piece int, lang int, n double").groupBy("piece", "lang").agg(F.sum("n").alias("n")).toArrow()
+        seen = np.zeros_like(p)
+        seen[sums["piece"].to_numpy(), sums["lang"].to_numpy()] = sums["n"].to_numpy()
+        p = maximised(seen)
     return p
 
 
@@ -183,39 +232,44 @@ def _gather(lattice: Lattice, words: list[str], counts: np.ndarray, p: np.ndarra
 
 @dataclass
 class Model:
+    """langs' piece probabilities, and behind them the background's."""
+
     langs: list[str]
     lattice: Lattice
     p: np.ndarray
+    temperature: float = 1.0
+
+    @classmethod
+    def of(cls, langs: list[str], lattice: Lattice, p: np.ndarray) -> Model:
+        return cls(langs, lattice, np.hstack([p, start(lattice, 1)]))
 
     def word_scores(self, words: list[str]) -> np.ndarray:
-        out = np.empty((len(words), len(self.langs)))
+        out = np.empty((len(words), self.p.shape[1]))
         for own, n, arcs, idx in self.lattice.arcs(words):
             out[own] = np.log(np.maximum(forward(self.p, n, arcs, idx)[n], 1e-300))
         return out
 
-    def predict(self, texts: Iterator[str | None]) -> Iterator[tuple[str, float]]:
-        """(language, posterior) of each text; ("und", 0.0) without a letter."""
+    def totals(self, texts: Iterator[str | None]) -> Iterator[np.ndarray | None]:
+        """Log-likelihood of each text in each language and the background; None without a letter."""
         cache: dict[str, int] = {}
-        table = np.empty((0, len(self.langs)))
+        table = np.empty((0, self.p.shape[1]))
         held: list[Counter] = []
         size = 0
 
-        def flush() -> list[tuple[str, float]]:
+        def flush() -> list[np.ndarray | None]:
             nonlocal cache, table
             if len(cache) > CACHE_WORDS:
                 cache, table = {}, table[:0]
             fresh = list({w for c in held for w in c if w not in cache})
             cache.update((w, len(table) + k) for k, w in enumerate(fresh))
             table = np.concatenate([table, self.word_scores(fresh)]) if fresh else table
-            out = []
+            out: list[np.ndarray | None] = []
             for c in held:
                 if not c or not self.langs:
-                    out.append(("und", 0.0))
+                    out.append(None)
                     continue
                 rows = np.fromiter(map(cache.__getitem__, c), dtype=np.int64, count=len(c))
-                total = np.fromiter(c.values(), dtype=float, count=len(c)) @ table[rows]
-                best = int(total.argmax())
-                out.append((self.langs[best], float(1 / np.exp(total - total[best]).sum())))
+                out.append(np.fromiter(c.values(), dtype=float, count=len(c)) @ table[rows])
             return out
 
         for text in texts:
@@ -226,6 +280,15 @@ class Model:
                 held, size = [], 0
         yield from flush()
 
+    def predict(self, texts: Iterator[str | None]) -> Iterator[tuple[str, float]]:
+        """(language, posterior) of each text; ("und", 0.0) without a letter."""
+        for total in self.totals(texts):
+            if total is None:
+                yield "und", 0.0
+            else:
+                best = int(total[:-1].argmax())
+                yield self.langs[best], float(1 / np.exp(np.minimum((total - total[best]) / self.temperature, 700)).sum())
+
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
@@ -245,27 +308,53 @@ def held_out(doc_id: str = "doc_id"):  # noqa: ANN201
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % FOLDS == 0, F.lit(False))
 
 
-def train(docs: DataFrame, pieces: list[str] | None = None) -> Model:
-    """Learn from the rows with an id, a text and a label that are not held out."""
+def _losses(model: Model):  # noqa: ANN202
+    """Of labelled texts, the loss (negative log posterior of the label) at each temperature, summed by partition."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        loss = np.zeros(len(TEMPERATURES))
+        for batch in batches:
+            for lang, total in zip(batch.column(0).to_pylist(), model.totals(t.as_py() for t in batch.column(1)), strict=True):
+                if total is not None and lang in model.langs:
+                    own = (total - total[model.langs.index(lang)])[None, :] / np.array(TEMPERATURES, dtype=float)[:, None]
+                    loss += np.logaddexp.reduce(own, axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(TEMPERATURES))), pa.array(loss)], ["at", "loss"])
+
+    return run
+
+
+def _fold() -> Column:
+    return F.crc32(F.col("doc_id").cast("string")) % FOLDS
+
+
+def sampled(docs: DataFrame) -> DataFrame:
+    """doc_id, text, lang of the sample: rows with all three that are not held out, by TRAIN_ROWS, TRAIN_BYTES and LEAST_ROWS."""
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")
     ).where(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out())
-    sizes = {r["lang"]: (r["rows"], r["bytes"]) for r in rows.groupBy("lang").agg(F.count("*").alias("rows"), F.sum(F.octet_length("text")).alias("bytes")).collect()}
+    sizes = checkpoint(rows.groupBy("lang").agg(F.count("*").alias("rows"), F.sum(F.octet_length("text")).alias("bytes")))
+    labels = sizes.count()
+    by_size = F.least(TRAIN_ROWS / F.col("rows"), F.lit(TRAIN_BYTES / max(labels, 1)) / F.greatest("bytes", F.lit(1)))
+    shares = sizes.select("lang", F.greatest(LEAST_ROWS / F.col("rows"), by_size).alias("share"))
+    rows = rows.join(F.broadcast(shares) if labels <= BROADCAST_LABELS else shares, "lang")
+    return rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.col("share") * (1 << 20)).select("doc_id", "text", "lang")
+
+
+def train(docs: DataFrame, pieces: list[str] | None = None) -> Model:
+    """Learn from the rows with an id, a text and a label that are not held out."""
     lattice = Lattice.of(public_vocabulary() if pieces is None else pieces)
-    share = F.lit(0.0)
-    for lang, (count, size) in sizes.items():
-        part = max(LEAST_ROWS / count, min(TRAIN_ROWS / count, TRAIN_BYTES / len(sizes) / max(size, 1)))
-        share = F.when(F.col("lang") == lang, min(1.0, part)).otherwise(share)
-    sample = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share * (1 << 20))
-    got = sample.select("lang", "text").mapInArrow(_count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).toArrow()
-    langs = sorted(got["lang"].unique().to_pylist())  # a label without a word cannot be learned
+    sample = sampled(docs)
+    counts = checkpoint(sample.select("lang", "text").mapInArrow(_count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")))
+    langs = sorted(r["lang"] for r in counts.select("lang").distinct().collect())  # a label without a word cannot be learned
     if not langs:
-        return Model([], lattice, np.zeros((lattice.size, 0)))
-    words = sorted(got["word"].unique().to_pylist(), key=lambda w: (len(w), w))
-    at = pc.index_in(got["word"], pa.array(words, pa.string())).to_numpy()
-    order = np.argsort(at, kind="stable")
-    lang = pc.index_in(got["lang"], pa.array(langs, pa.string())).to_numpy()
-    return Model(langs, lattice, fit(lattice, words, at[order], lang[order], got["n"].to_numpy()[order], len(langs)))
+        return Model.of([], lattice, np.zeros((lattice.size, 0)))
+    number = docs.sparkSession.createDataFrame(list(zip(langs, range(len(langs)), strict=True)), "lang string, at int")
+    words = counts.join(number if len(langs) > BROADCAST_LABELS else F.broadcast(number), "lang").groupBy("word").agg(F.collect_list(F.struct("at", "n")).alias("ns"))
+    model = Model.of(langs, lattice, fit(lattice, checkpoint(words.repartition(FIT_TASKS, "word")), len(langs)))
+    own = sample.where(_fold() == 1).select("lang", "text").mapInArrow(_losses(model), "at long, loss double")
+    loss = {r["at"]: r["loss"] for r in own.groupBy("at").agg(F.sum("loss").alias("loss")).collect()}
+    model.temperature = float(min(TEMPERATURES, key=lambda t: (loss.get(TEMPERATURES.index(t), 0.0), t)))
+    return model
 
 
 def _predictor(model: Model, text_at: int):  # noqa: ANN202

@@ -265,6 +265,63 @@ def test_language_id(spark, empty):
     assert got(langid.identify(empty)) == []
 
 
+def _likelihood(word, p, number):
+    """Sum over all segmentations, one by one."""
+    if not word:
+        return 1.0
+    head = lambda k: p[number[word[:k]]] if word[:k] in number else langid.UNKNOWN if k == 1 else 0.0
+    return sum(head(k) * _likelihood(word[k:], p, number) for k in range(1, len(word) + 1))
+
+
+def test_language_id_equals_brute_force(spark):
+    """Fitted model, language and score of small texts, by enumeration."""
+    rows = [(1, "ab ab b", "x"), (2, "ba a ba", "y"), (3, "ab b b", "x"), (4, "a ba", "y"), (5, "zz", None)]
+    docs = spark.createDataFrame([(10 * i + k, t, lang) for k in range(4) for i, t, lang in rows], "doc_id long, text string, lang string")
+    model = langid.train(docs, ["▁", "a", "b", "ab", "ba", "▁a"])
+    number = model.lattice.number
+    words = {lang: {} for lang in model.langs}
+    for r in langid.sampled(docs).collect():
+        for w in r.text.split():
+            words[r.lang][w] = words[r.lang].get(w, 0) + 1
+    for at, lang in enumerate(model.langs):
+        p = langid.start(model.lattice, 1)[:, 0]
+        for _ in range(langid.EM_ROUNDS):
+            seen = np.zeros(model.lattice.size)
+            for w, n in words[lang].items():
+                ways = [[]] if not w else list(_ways("▁" + w, number))
+                weight = [np.prod([p[k] for k in way]) for way in ways]
+                for way, x in zip(ways, weight, strict=True):
+                    for k in way:
+                        seen[k] += n * x / sum(weight)
+            p = langid.maximised(seen[:, None])[:, 0]
+        assert np.allclose(p, model.p[:, at])
+    for text, (lang, score) in zip(["ab", "ba ba b", "zz"], model.predict(iter(["ab", "ba ba b", "zz"])), strict=True):
+        total = [sum(np.log(_likelihood("▁" + w, model.p[:, k], number)) for w in text.split()) for k in range(3)]
+        assert lang == model.langs[int(np.argmax(total[:2]))]
+        odds = np.exp((np.array(total) - max(total[:2])) / model.temperature)
+        assert np.isclose(score, 1 / odds.sum())
+
+
+def _ways(word, number):
+    if not word:
+        yield []
+        return
+    for k in range(1, len(word) + 1):
+        if word[:k] in number or k == 1:
+            for rest in _ways(word[k:], number):
+                yield [number.get(word[:k], len(number)), *rest]
+
+
+def test_language_id_accuracy_and_score(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text", "lang")
+    model = langid.train(docs)
+    held = langid.label(docs.where(langid.held_out() & (mixing.F.length("text") > 20)), model).toPandas()
+    assert len(held) > 1500 and (held.lang_pred == held.lang).mean() > 0.97
+    assert abs(held.score.mean() - (held.lang_pred == held.lang).mean()) < 0.05  # what it says of itself
+    strange = ["наш дом стоит у большого тихого озера " * 3, "xqzw jkvb qqxz wvkj " * 9, "το σπίτι είναι μεγάλο και η θάλασσα ήρεμη " * 3]
+    assert all(score < 0.5 for _, score in model.predict(iter(strange)))
+
+
 def test_language_id_learns_every_word_of_the_sample(spark, monkeypatch):
     many = " ".join(["".join(w) for w in itertools.product("abcdefghijk", repeat=5)][:130_000])
     rows = [(1, f"{many} {many}", "xx"), (2, "το σπίτι είναι μεγάλο και η θάλασσα ήρεμη", "el"), (3, "наш дом стоит у большого тихого озера", "ru"), (4, "12 34", "zz")]
@@ -276,7 +333,8 @@ def test_language_id_learns_every_word_of_the_sample(spark, monkeypatch):
         model = langid.train(docs)
         assert model.langs == ["el", "ru", "xx"]  # nothing can be learned of zz
         assert [r.lang_pred for r in langid.label(new.coalesce(1), model).collect()] == ["ru", "el", "xx"]
-    monkeypatch.setattr(langid, "FIT_CELLS", 3000)  # blocks change nothing
+    monkeypatch.setattr(langid, "FIT_CELLS", 3000)  # blocks and partitions change nothing
+    monkeypatch.setattr(langid, "FIT_TASKS", 3)
     assert np.allclose(langid.train(docs).p, model.p)
 
 
@@ -284,7 +342,7 @@ def test_forward_sums_all_segmentations():
     lattice = langid.Lattice.of(["▁", "a", "b", "ab", "▁a", "ba"])
     p = np.linspace(0.05, 0.3, lattice.size)[:, None]
     p[-1] = 0
-    score = langid.Model(["x"], lattice, p).word_scores(["aba", "b", "ac"])[:, 0]
+    score = langid.Model.of(["x"], lattice, p).word_scores(["aba", "b", "ac"])[:, 0]
 
     def total(s):
         return 1.0 if not s else sum((p[lattice.number[s[:k]], 0] if s[:k] in lattice.number else p[-2, 0] if k == 1 else 0) * total(s[k:]) for k in range(1, len(s) + 1))
