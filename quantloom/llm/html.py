@@ -28,7 +28,7 @@ from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
+import pyarrow.compute
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -208,26 +208,25 @@ def _hash(line: str) -> int:
 
 def _outline(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        hosts, paths, hashes, loose, content = [], [], [], [], []
+        hosts, paths, hashes, content = [], [], [], []
         for url, page in zip(batch.column(2), batch.column(3), strict=True):
             host, path = split_url(url.as_py())
-            lines, inside, marked = lines_of(page.as_py())
+            lines, _, marked = lines_of(page.as_py())
             own = [x for x, no in zip(lines, marked, strict=True) if not no]
             hosts.append(host)
             paths.append(path)
             hashes.append([_hash(x) for x in lines])
-            loose.append([k for k, x in enumerate(inside) if not x])
             content.append(xxhash.xxh64_intdigest("\n".join(own).encode("utf-8", "surrogatepass")) - (1 << 63) if own else None)
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column(0), batch.column(1), pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(content, pa.int64()),
-                pa.array(hashes, pa.list_(pa.int64())), pa.array(loose, pa.list_(pa.int32())),
+                pa.array(hashes, pa.list_(pa.int64())),
             ],
-            ["page_id", "sig", "host", "path", "content", "lines", "loose"],
+            ["page_id", "sig", "host", "path", "content", "lines"],
         )
 
 
-_OUTLINE = "page_id long, sig long, host string, path string, content long, lines array<long>, loose array<int>"
+_OUTLINE = "page_id long, sig long, host string, path string, content long, lines array<long>"
 
 
 def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,24 +247,18 @@ def takes_before(path: str, before: str | None, after: str | None) -> bool:
     return len(commonprefix([before, path])) >= len(commonprefix([after, path]))
 
 
-def _choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, sigs, shared = [], [], []
-        for r in batch.to_pylist():
-            gone = shared_lines(r["lines"], r["before_lines"] if takes_before(r["path"], r["before"], r["after"]) else r["after_lines"])
-            found = [k for k in r["loose"] if k in gone]
-            if found:
-                ids.append(r["page_id"])
-                sigs.append(r["sig"])
-                shared.append(found)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sigs, pa.int64()), pa.array(shared, pa.list_(pa.int32()))], ["page_id", "sig", "shared"])
+        path, before, after = (batch.column(k).to_pylist() for k in (2, 4, 5))
+        move = [-1 if takes_before(*x) else 1 for x in zip(path, before, after, strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.compute.add(batch.column(3), pa.array(move, pa.int64()))], ["page_id", "sig", "run"])
 
 
 def _runs(pages: DataFrame) -> DataFrame:
     """The pages' outlines with the number of their run of equal content, in the order of host and path."""
     slim = pages.select("page_id", "sig", "url", "html").mapInArrow(_outline, _OUTLINE).where("host IS NOT NULL AND content IS NOT NULL")
     order = ["host", "path", "page_id", "sig"]
-    slim = slim.dropDuplicates(order).repartitionByRange(*order).sortWithinPartitions(*order)
+    slim = slim.repartitionByRange(*order).sortWithinPartitions(*order)
     slim = checkpoint(slim.mapInArrow(_numbered, f"{_OUTLINE}, nth long")).withColumn("part", F.spark_partition_id())
     key = F.struct("host", "content")
     ends = slim.groupBy("part").agg((F.max("nth") + 1).alias("n"), F.min_by(key, "nth").alias("first"), F.max_by(key, "nth").alias("last"))
@@ -276,40 +269,34 @@ def _runs(pages: DataFrame) -> DataFrame:
     return slim.join(starts, "part").withColumn("run", F.col("ahead") + F.col("nth"))
 
 
-def shared_with_nearest(pages: DataFrame) -> DataFrame:
-    """(page_id, sig, shared): positions of each page's lines outside an article that its nearest different page has too."""
+def nearest_lines(pages: DataFrame) -> DataFrame:
+    """(page_id, sig, other): the line hashes of each page's nearest different page, where it has one."""
     ranked = _runs(pages)
     first = F.struct("path", "page_id", "sig")  # the page whose lines stand for the run
-    runs = ranked.groupBy("run").agg(
-        F.min_by("host", first).alias("host"), F.min_by("lines", first).alias("lines"), F.min("path").alias("low"), F.max("path").alias("high")
-    )
+    runs = ranked.groupBy("run").agg(F.min_by("host", first).alias("host"), F.min("path").alias("low"), F.max("path").alias("high"))
     own = F.floor(F.col("run") / BLOCK)
     edge = F.when(F.col("run") % BLOCK == 0, own - 1).when(F.col("run") % BLOCK == BLOCK - 1, own + 1)
     dealt = runs.select("*", F.explode(F.array_compact(F.array(own, edge))).alias("block"))
     block = Window.partitionBy("block").orderBy("run")
     beside = lambda move, what: F.when(move("host").over(block) == F.col("host"), move(what).over(block))
-    near = dealt.select(
-        "run", "block", beside(F.lag, "high").alias("before"), beside(F.lag, "lines").alias("before_lines"), beside(F.lead, "low").alias("after"), beside(F.lead, "lines").alias("after_lines")
-    ).where((F.col("block") == own) & (F.col("before").isNotNull() | F.col("after").isNotNull()))
-    return ranked.select("page_id", "sig", "path", "lines", "loose", "run").join(near.drop("block"), "run").mapInArrow(_choose, "page_id long, sig long, shared array<int>")
+    sides = dealt.select("run", "block", beside(F.lag, "high").alias("before"), beside(F.lead, "low").alias("after"))
+    sides = sides.where((F.col("block") == own) & (F.col("before").isNotNull() | F.col("after").isNotNull())).drop("block")
+    slim = ranked.select("page_id", "sig", "path", "run").distinct()
+    chosen = slim.join(sides, "run").select("page_id", "sig", "path", "run", "before", "after").mapInArrow(_nearest, "page_id long, sig long, run long")
+    lines = ranked.groupBy("run").agg(F.min_by("lines", first).alias("other"))
+    return chosen.join(lines, "run").drop("run")
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts, lines_n, marked_n = [], [], []
-        for page, shared in zip(batch.column(2), batch.column(3).to_pylist(), strict=True):
+        texts, counts = [], []
+        for page, other in zip(batch.column(2), batch.column(3).to_pylist(), strict=True):
             lines, inside, marked = lines_of(page.as_py())
-            gone = set(shared or ())
+            gone = {k for k in shared_lines([_hash(x) for x in lines], other) if not inside[k]} if other else ()
             texts.append(" ".join(x for k, x in enumerate(lines) if k not in gone and not marked[k]))
-            lines_n.append(len(lines))
-            marked_n.append(sum(no and k not in gone for k, no in enumerate(marked)))
-        yield pa.RecordBatch.from_arrays(
-            [
-                batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64()), pa.array(lines_n, pa.int64()),
-                pa.compute.fill_null(pa.compute.list_value_length(batch.column(3)), 0).cast(pa.int64()), pa.array(marked_n, pa.int64()),
-            ],
-            ["page_id", "url", "text", "n_chars", "n_lines", "n_shared", "n_marked"],
-        )
+            counts.append((len(texts[-1]), len(lines), len(gone), sum(no and k not in gone for k, no in enumerate(marked))))
+        numbers = [pa.array(c, pa.int64()) for c in zip(*counts, strict=True)] if counts else [pa.array([], pa.int64())] * 4
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), *numbers], ["page_id", "url", "text", "n_chars", "n_lines", "n_shared", "n_marked"])
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -323,6 +310,6 @@ def extract(pages: DataFrame) -> DataFrame:
     own = pages.select(
         F.col("page_id").cast("long").alias("page_id"), F.xxhash64("url", "html").alias("sig"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")
     )
-    shared = shared_with_nearest(own).withColumnsRenamed({"page_id": "at_id", "sig": "at_sig"})
-    joined = own.join(shared, own.page_id.eqNullSafe(shared.at_id) & (own.sig == shared.at_sig), "left")
-    return joined.select("page_id", "url", "html", "shared").mapInArrow(_texts, "page_id long, url string, text string, n_chars long, n_lines long, n_shared long, n_marked long")
+    near = nearest_lines(own).withColumnsRenamed({"page_id": "at_id", "sig": "at_sig"})
+    joined = own.join(near, own.page_id.eqNullSafe(near.at_id) & (own.sig == near.at_sig), "left")
+    return joined.select("page_id", "url", "html", "other").mapInArrow(_texts, "page_id long, url string, text string, n_chars long, n_lines long, n_shared long, n_marked long")
