@@ -37,6 +37,8 @@ FRONTIER = 1 << 14
 HELD_PAIRS = 1 << 18
 LEAST_RANGE, MOST_RANGE = 1 << 16, 1 << 22
 LEAST_RANGES = 8
+#: Keys of rows to drop or to merge that may be broadcast (some 10 MB).
+BROADCAST_KEYS = 200_000
 _U = np.uint64
 _xx = partial(xxhash.xxh64_intdigest, seed=42)
 
@@ -56,9 +58,10 @@ def fingerprint(text: str | None) -> int:
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (doc_id, text, ...): doc_id, fp and the rest."""
     for batch in batches:
         fp = np.fromiter((fingerprint(t.as_py()) for t in batch.column(1)), dtype=_U, count=batch.num_rows)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64)), *batch.columns[2:]], ["doc_id", "fp", *batch.schema.names[2:]])
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -292,12 +295,40 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def grouped(fps: DataFrame) -> DataFrame:
-    """``fps(doc_id, fp, ...)`` plus component_id, the smallest doc_id reachable."""
+    """``fps(doc_id, fp, ...)`` plus component_id, the smallest doc_id reachable, and root, which names the group."""
     reps = checkpoint(fps.groupBy("fp").agg(F.min("doc_id").alias("low")))
     tree = checkpoint(connected_components(links(reps.select("fp"))))
     named = checkpoint(
         reps.join(tree, reps.fp == tree.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     )
     lows = checkpoint(named.groupBy("root").agg(F.min("low").alias("component_id")))
-    parts = checkpoint(named.join(lows, "root").select("fp", "component_id"))
+    parts = checkpoint(named.join(lows, "root").select("fp", "component_id", "root"))
     return fps.join(parts, "fp")
+
+
+def representatives(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row of each group of near-duplicates.
+
+    The row with the smallest doc_id (null ids last, of equal ids the smallest digest of the text)
+    stays; of rows that agree in both, one. Other texts of a doc_id that goes stay. What has to
+    be done is a small table of keys, broadcast up to BROADCAST_KEYS of them and joined by a
+    shuffle beyond; only rows that repeat as a whole are grouped with their texts.
+    """
+    digest = F.xxhash64(F.col("text").cast("string"))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), digest.alias("digest"))
+    rows = grouped(checkpoint(own.mapInArrow(_fingerprints, "doc_id long, fp long, digest long")))
+    keys = checkpoint(rows.groupBy("root", "doc_id", "digest").agg(F.count("*").alias("times")))
+    rank = F.struct(F.col("doc_id").isNull(), "doc_id", "digest")
+    best = keys.groupBy("root").agg(F.min(rank).alias("best"))
+    stays = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("digest") == F.col("best.digest"))
+    marks = keys.join(best, "root").select("doc_id", "digest", stays.alias("stays"), "times")
+    marks = checkpoint(marks.where("not stays or times > 1").select(F.col("doc_id").alias("at_id"), F.col("digest").alias("at_digest"), "stays"))
+
+    def on(df: DataFrame, how: str) -> DataFrame:
+        sized = F.broadcast(df) if df.count() <= BROADCAST_KEYS else df
+        return docs.join(sized, F.col("doc_id").cast("long").eqNullSafe(F.col("at_id")) & (digest == F.col("at_digest")), how)
+
+    repeated = on(marks.where("stays"), "left_semi")
+    first = [F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("row")]
+    once = repeated.groupBy(F.col("doc_id").alias("key_id"), digest.alias("key_digest")).agg(*first).select("row.*")
+    return on(marks, "left_anti").unionByName(once)

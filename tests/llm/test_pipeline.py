@@ -46,3 +46,14 @@ def test_stages(spark, docs, tmp_path):
 def test_stages_of_nothing(spark, docs):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), SF).collect() == []
+
+
+def test_near_dedup_takes_texts_apart_that_share_an_id(spark, monkeypatch):
+    a, b = "one two three four five six seven eight nine ten " * 5, "quite another text about something else entirely " * 6
+    rows = [(1, a, "en", "s", 1), (2, a, "en", "s", 2), (2, b, "en", "s", 3), (3, b, "en", "s", 4), (3, b, "en", "s", 4), (None, a, "en", "s", 5), (None, None, "en", None, 6), (None, None, "en", None, 6), (4, "third thing", None, None, 7)]
+    docs = spark.createDataFrame(rows, ", ".join(f"{c} {t}" for c, t in zip(corpus_pipeline.COLUMNS, ["long", "string", "string", "string", "long"], strict=True)))
+    want = sorted([(1, 1), (2, 3), (None, 6), (4, 7)], key=repr)
+    for most in (200_000, 0):  # broadcast and shuffled
+        monkeypatch.setattr(simhash, "BROADCAST_KEYS", most)
+        out = corpus_pipeline.near_dedup(spark, docs, SF)
+        assert out.columns == corpus_pipeline.COLUMNS and sorted([(r.doc_id, r.n_chars) for r in out.collect()], key=repr) == want
