@@ -20,16 +20,14 @@ MIN_SCORE = 0.5
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a letter, or whose best language is not probable."""
+    """Drops documents without a letter, and those that a background of equal pieces explains better than any language."""
     docs = docs.select(*COLUMNS)
     return langid.label(docs).where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SCORE)).select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps of each group the document with the smallest id; repeated rows count once."""
-    docs = docs.select(*COLUMNS)
-    gone = simhash.near_duplicates(docs).where("component_id < doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS).dropDuplicates(["doc_id", "text"])
+    return simhash.representatives(docs.select(*COLUMNS))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
