@@ -1,8 +1,8 @@
-"""Fundamentals and valuation over annual line items of suppliers' nations, and the as-of price join."""
+"""Annual line items of suppliers' nations, and the as-of price join; the rules on filings are in fundamentals.py."""
 
 from __future__ import annotations
 
-from quantloom.plans.engine import Base, Query, tally
+from quantloom.plans.engine import Base, Query
 from quantloom.sources.bars import BARS, from_table
 
 _FACTS = Query(
@@ -17,24 +17,7 @@ FACTS = _FACTS.as_base()
 _W = "PARTITION BY symbol ORDER BY fy"
 
 
-def _flag(condition: str) -> str:
-    return f"CASE WHEN coalesce({condition}, false) THEN 1 ELSE 0 END"
-
-
-_TESTS = [
-    "income > 0", "cash_flow > 0", "income / assets > p_income / p_assets", "cash_flow > income", "debt / assets < p_debt / p_assets",
-    "gross / debt > p_gross / p_debt", "shares <= p_shares", "gross / revenue > p_gross / p_revenue", "revenue / assets > p_revenue / p_assets",
-]
-_PAIRED = "SELECT *, " + ", ".join(f"lag({c}) OVER ({_W}) AS p_{c}" for c in ("income", "assets", "debt", "gross", "shares", "revenue")) + ", row_number() OVER (PARTITION BY symbol ORDER BY fy DESC) AS back FROM {t}"
-_SCORED = f"SELECT *, CASE WHEN p_revenue IS NULL THEN 0 ELSE {' + '.join(map(_flag, _TESTS))} END AS f_score FROM ({_PAIRED})"
-
-
-def dcf(years: int = 5, rate: float = 0.10, terminal: float = 0.025, top: float = 0.12) -> str:
-    flows = " + ".join(f"pow((1 + g) / {1 + rate}, {k})" for k in range(1, years + 1))
-    last = f"pow((1 + g) / {1 + rate}, {years}) * {1 + terminal} / {rate - terminal}"
-    return f"""SELECT symbol, round(g, 6) AS growth, round(cash * ({flows} + {last}) / shares, 4) AS value FROM
-        (SELECT symbol, max_by(cash_flow, fy) AS cash, max_by(shares, fy) AS shares, coalesce(CASE WHEN min(cash_flow) > 0 AND count(*) > 1
-            THEN least(greatest(pow(max_by(cash_flow, fy) / min_by(cash_flow, fy), 1.0 / (max(fy) - min(fy))) - 1, 0.0), {top}) END, 0.0) AS g FROM {{t}} GROUP BY symbol)"""
+_PAIRED = "SELECT *, " + ", ".join(f"lag({c}) OVER ({_W}) AS p_{c}" for c in ("income", "assets", "revenue")) + ", row_number() OVER (PARTITION BY symbol ORDER BY fy DESC) AS back FROM {t}"
 
 
 def as_of(targets: Base, prices: Base) -> Query:
@@ -52,20 +35,8 @@ _MONTHS = Query(from_table("orders"), [], "SELECT DISTINCT 'NO' AS symbol, CAST(
 
 
 def declared() -> dict[str, Query]:
-    pe = "market / nullif(CASE WHEN income > 0 THEN income END, 0)"
-    quality = f"(f_score / 9.0 + least(greatest(gross / assets, 0.0), 0.5) / 0.5 + ({_flag('debt / assets < 0.5')} + {_flag('cash_flow > 0')}) / 2.0) / 3"
     return {
         "annual_facts": Query(FACTS, [], "SELECT symbol, fy, round(revenue, 5) AS revenue, round(gross, 5) AS gross, round(income, 5) AS income, shares FROM {t}"),
         "snapshot": Query(FACTS, [], f"SELECT symbol, fy, round((revenue - p_revenue) / abs(p_revenue), 6) AS growth, round(gross / revenue, 6) AS gross_margin, round(income / revenue, 6) AS net_margin FROM ({_PAIRED}) WHERE back = 1"),
-        "f_score": Query(FACTS, [], f"SELECT symbol, fy, CAST(f_score AS BIGINT) AS f_score FROM ({_SCORED})"),
-        "quality_score": Query(FACTS, [], f"SELECT symbol, round({quality}, 6) AS quality FROM ({_SCORED}) WHERE back = 1"),
-        "gross_profitability": Query(FACTS, [], "SELECT symbol, fy, round(gross / nullif(assets, 0), 6) AS gp FROM {t}"),
-        "distress": Query(FACTS, [], "SELECT symbol, fy, coalesce(income < 0 AND cash_flow < 0 AND (debt / assets > 0.4 OR gross / debt < 1), false) AS distressed FROM {t}"),
-        "multiples": Query(FACTS, [], f"SELECT symbol, fy, round(pe, 6) AS pe, round(ps, 6) AS ps, round((rank() OVER (PARTITION BY symbol ORDER BY ps) - 1) / CAST(count(*) OVER (PARTITION BY symbol) AS DOUBLE), 6) AS ps_percentile FROM (SELECT *, {pe} AS pe, market / nullif(revenue, 0) AS ps FROM (SELECT *, shares * 40000.0 AS market FROM {{t}}))"),
-        "dcf": Query(FACTS, [], dcf()),
-        "undervaluation": Query(FACTS, [], f"SELECT symbol, value, round(least(greatest(1 - 40000.0 / nullif(value, 0), 0.0), 1.0), 6) AS safety FROM ({dcf()})"),
         "asof_price_join": as_of(_MONTHS, BARS),
-        "fundamental_rank": Query(FACTS, [], f"SELECT symbol, round({quality}, 6) AS quality FROM ({_SCORED}) WHERE back = 1 AND gross IS NOT NULL ORDER BY round({quality}, 6) DESC, symbol LIMIT 10"),
-        "screens": Query(FACTS, [], f"SELECT symbol, coalesce(gross / revenue >= 0.3, false) AS margin_ok, coalesce(debt / assets <= 0.3, false) AS debt_ok, coalesce(f_score >= 5, false) AS score_ok FROM ({_SCORED}) WHERE back = 1"),
-        "safety_counts": Query(FACTS, [], f"SELECT fy, {tally('income > 0')} AS n_profitable, count(*) AS n FROM {{t}} GROUP BY fy"),
     }
