@@ -1,14 +1,12 @@
-"""Normalisation, data-quality checks, gated and idempotent stores, validated scans."""
+"""Scans, universes and single checks over bars; the data-quality engine is in quality_checks.py."""
 
 from __future__ import annotations
 
 from quantloom.functions.windows import prev
-from quantloom.plans.engine import UPTO, Query, tally
-from quantloom.sources.bars import RAW_BARS, VENDOR_BARS, from_table
+from quantloom.plans.engine import Query, tally
+from quantloom.sources.bars import RAW_BARS, from_table
 
 JUMP = 0.20
-STALE = 5
-MIN_BARS = 2
 
 _GAPS = [
     {"pts": prev("ts"), "pclose": prev("close")},
@@ -19,7 +17,6 @@ _GAPS = [
     {"move": "abs(close / nullif(pclose, 0) - 1)"},
 ]
 
-_STALE = f"SELECT symbol, min(ts) AS since, count(*) AS n FROM {{t}} GROUP BY symbol, run HAVING count(*) >= {STALE}"
 
 
 def declared() -> dict[str, Query]:
@@ -27,20 +24,6 @@ def declared() -> dict[str, Query]:
     return {
         "dq_missing_bars": Query(RAW_BARS, _GAPS, "SELECT symbol, ts, CAST(weekdays AS BIGINT) AS n_missing FROM {t} WHERE weekdays > 0"),
         "dq_price_anomaly": Query(RAW_BARS, _GAPS, f"SELECT symbol, ts, round(move, 6) AS move FROM {{t}} WHERE move > {JUMP}"),
-        "dq_stale_runs": Query(RAW_BARS, [{"level": "floor(close / 400)"}, {"plevel": prev("level")}, {"run": f"sum(CASE WHEN level = plevel THEN 0 ELSE 1 END) OVER ({UPTO})"}], _STALE),
-        "dq_split": Query(
-            RAW_BARS, [{"factor": "open / close"}, {"ratio": f"factor / {prev('factor')}"}],
-            "SELECT symbol, ts, round(ratio, 6) AS ratio FROM {t} WHERE ratio < 0.5 OR ratio > 2.0",
-        ),
-        "dq_report": Query(
-            RAW_BARS, _GAPS,
-            f"""SELECT symbol, count(*) AS n_bars, CASE WHEN count(*) < {MIN_BARS} THEN 'error' ELSE 'ok' END AS insufficient_data,
-                {tally('weekdays > 0')} AS n_gaps,
-                {tally(f'move > {JUMP}')} AS n_anomalies, count(*) >= {MIN_BARS} AS passed FROM {{t}} GROUP BY symbol""",
-        ),
-        "gated_store": Query(
-            RAW_BARS, [], f"SELECT symbol, ts, round(close, 9) AS close FROM {{t}} WHERE symbol IN (SELECT symbol FROM {{t}} GROUP BY symbol HAVING count(*) >= 10 * {MIN_BARS})",
-        ),
         "bars_range_scan": Query(
             RAW_BARS, [], "SELECT symbol, ts, close FROM {t} WHERE symbol = 'NO' AND ts >= DATE '1996-01-01' AND ts < DATE '1997-01-01'",
         ),
@@ -48,19 +31,14 @@ def declared() -> dict[str, Query]:
             RAW_BARS, [],
             f"SELECT symbol, {tally('open > 0 AND high > 0 AND low > 0 AND volume >= 0 AND low <= least(open, close) AND high >= greatest(open, close)')} AS n_valid, count(*) AS n FROM {{t}} GROUP BY symbol",
         ),
-        "normalize_ohlcv": Query(
-            VENDOR_BARS, [{"factor": "CAST(CASE WHEN ts < DATE '1998-01-01' THEN '0.371122' ELSE '1.0' END AS DECIMAL(10, 6))"},
-                {x[0]: f"round(CAST({x} AS DECIMAL(18, 2)) * factor, 6)" for x in ("open", "high", "low", "close")}],
-            "SELECT symbol, ts, " + ", ".join(f"CAST({e} AS DOUBLE) AS {n}" for n, e in (("open", "o"), ("high", "greatest(h, o, c)"), ("low", "least(l, o, c)"), ("close", "c"), ("factor", "factor"))) + " FROM {t} WHERE c > 0",
-        ),
         "upsert_bars": Query(
             line, [],
             """SELECT symbol, ts, px FROM (SELECT l_returnflag AS symbol, CAST(l_shipdate AS DATE) AS ts, l_extendedprice AS px,
                 row_number() OVER (PARTITION BY l_returnflag, CAST(l_shipdate AS DATE) ORDER BY l_orderkey DESC, l_linenumber DESC, l_partkey DESC, l_suppkey DESC) AS k FROM {t}) WHERE k = 1""",
         ),
         "ticker_filter": Query(
-            from_table("part"), [],
-            "SELECT DISTINCT upper(trim(p_brand)) AS symbol, @fits(upper(substr(p_name, 1, 5)); ^[A-Z][A-Z]?[A-Z]?[A-Z]?[A-Z]?([.-][A-Z])?$)@ AS well_formed, substr(p_name, 1, 5) AS head FROM {t}",
+            line, [], """SELECT DISTINCT symbol FROM (SELECT upper(trim(l_returnflag || l_linestatus)) AS symbol FROM {t} UNION ALL SELECT upper(trim(p_brand)) FROM {p})
+                WHERE @fits(symbol; ^[A-Z][A-Z]?[A-Z]?[A-Z]?[A-Z]?([.-][A-Z])?$)@""", {"p": from_table("part")},
         ),
         "shard_universe": Query(
             from_table("customer"), [],

@@ -51,12 +51,6 @@ RAW_BARS = Base(
     _sql(_FLAG_SQL, _UNIT),
 )
 
-#: Vendor prices in exact cents, for the normaliser.
-VENDOR_BARS = Base(
-    lambda spark, sf_dir: ohlcv(table(spark, sf_dir, "lineitem"), _FLAG_SQL, "l_extendedprice"),
-    _sql(_FLAG_SQL, "l_extendedprice"),
-)
-
 
 def from_table(name: str) -> Base:
     return Base(lambda spark, sf_dir: table(spark, sf_dir, name), name)
