@@ -27,14 +27,14 @@ def _dated(q: Query) -> Query:
 def _declared() -> dict[str, Query]:
     out = {"bars_ohlcv": Query(BARS, [], "SELECT symbol, ts, round(open, 9) open, round(high, 9) high, round(low, 9) low, round(close, 9) close, volume FROM {t}")}
     out |= {f"sig_{name}": Query(BARS, make(), "SELECT symbol, ts, round(signal, 6) AS signal FROM {t}") for name, make in SIGNALS.items()}
-    for module in (kernel, data_quality, factors, validation, lab, book, valuation, search):
+    for module in (kernel, data_quality, factors, validation, lab, book, valuation):
         out |= module.declared()
     return {name: _dated(q) for name, q in out.items()}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {**_declared(), "sig_donchian_atr_trail": lambda spark, sf_dir: donchian_atr_trail(BARS.frame(spark, sf_dir)), **edgar.queries(), **fundamentals.queries(), **quality_checks.queries(), **simulation.queries()}
+    return {**_declared(), "sig_donchian_atr_trail": lambda spark, sf_dir: donchian_atr_trail(BARS.frame(spark, sf_dir)), **edgar.queries(), **fundamentals.queries(), **quality_checks.queries(), **search.queries(), **simulation.queries()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: q.sql() for name, q in _declared().items()} | edgar.oracle_sql() | fundamentals.oracle_sql() | quality_checks.oracle_sql()
+    return {name: q.sql() for name, q in _declared().items()} | edgar.oracle_sql() | fundamentals.oracle_sql() | quality_checks.oracle_sql() | search.oracle_sql()

@@ -31,3 +31,10 @@ def sign(x: str) -> str:
 
 def clip(x: str, low: float, high: float) -> str:
     return f"least(greatest({x}, {low}), {high})"
+
+
+def compounded(x: str) -> str:
+    """Compounded return of a group's returns, losses of the whole and more included."""
+    grown = f"(1 + {x})"
+    sign = f"(CASE WHEN sum(CASE WHEN {grown} < 0 THEN 1 ELSE 0 END) % 2 = 1 THEN -1 ELSE 1 END)"
+    return f"(CASE WHEN min(abs{grown}) = 0 THEN 0.0 ELSE {sign} * exp(sum(ln(nullif(abs{grown}, 0)))) END - 1)"

@@ -7,7 +7,7 @@ from statistics import NormalDist
 
 from quantloom.operators import validation
 from quantloom.operators.factors import PANEL
-from quantloom.operators.kernel import HELD, YEAR, moments, run
+from quantloom.operators.kernel import HELD, MARKET, YEAR, moments, run
 from quantloom.operators.lab import FINAL, FROZEN, TRIALS
 from quantloom.operators.statistics import expected_max_sharpe
 from quantloom.operators.validation import GRID, RETURNS
@@ -149,6 +149,9 @@ def declared() -> dict[str, Query]:
     shards = Query(TRIALS, [], "SELECT config % 3 AS shard, 'v1' AS version, 'iid' AS mode, symbol, sharpe, @days(until; since)@ / 365.25 AS years FROM {t}").as_base()
     book = Query(TRIALS, [], "SELECT symbol, config, CASE WHEN config = 4 THEN 'closed' ELSE 'open' END AS status FROM {t} WHERE config IN (0, 4)").as_base()
     graduates = Query(FINAL, [], "SELECT symbol, config FROM {t}").as_base()
+    upto = "PARTITION BY symbol ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+    # a portfolio that has lost everything stays at nothing
+    running = lambda x: f"CASE WHEN min(1 + {x}) OVER ({upto}) <= 0 THEN 0.0 ELSE exp(sum(ln(greatest(1 + {x}, 1e-300))) OVER ({upto})) END"
     begun = "first_value({x}) OVER (PARTITION BY symbol ORDER BY ts)"
     return {
         "lifecycle": states,
@@ -166,10 +169,9 @@ def declared() -> dict[str, Query]:
         ),
         "relative_drawdown": Query(
             run("sma"), [],
-            f"""SELECT symbol, round(greatest(exp(min(rel - peak)) - 1, -1.0), 6) AS drawdown FROM
-                (SELECT symbol, rel, max(rel) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS peak FROM
-                (SELECT a.symbol, a.ts, sum(ln((1 + a.net) / (1 + b.net))) OVER (PARTITION BY a.symbol ORDER BY a.ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS rel
-                FROM {{t}} a JOIN {{held}} b ON a.ts = b.ts WHERE b.symbol = 'NO')) GROUP BY symbol""",
-            {"held": HELD},
+            f"""SELECT symbol, round(greatest(min(rel / peak) - 1, -1.0), 6) AS drawdown FROM
+                (SELECT symbol, rel, max(rel) OVER ({upto}) AS peak FROM (SELECT symbol, ts, own / market AS rel FROM
+                (SELECT symbol, ts, {running('own')} AS own, {running('market')} AS market FROM (SELECT a.symbol, a.ts, a.net AS own, b.net AS market FROM {{t}} a JOIN {{market}} b ON a.ts = b.ts)))) GROUP BY symbol""",
+            {"market": MARKET},
         ),
     }

@@ -11,12 +11,13 @@ from quantloom.functions.windows import prev, roll
 from quantloom.plans.engine import Base, Query, Stage
 from quantloom.sources.bars import BARS, ohlcv, table
 
-MIN_BARS = 40
+#: A symbol of the panel has two years of bars at least.
+MIN_BARS = 504
 COST = 0.001
 
-#: A wider cross-section: the ship mode of a part's size class, monthly-dense at every scale.
-_SYMBOL = "concat(l_returnflag, l_linestatus, '-', cast(l_linenumber as string))"
-_SYMBOL_SQL = "concat(l_returnflag, l_linestatus, '-', CAST(l_linenumber AS VARCHAR))"
+#: A cross-section that trades nearly every day: the line numbers.
+_SYMBOL = "concat('L', cast(l_linenumber as string))"
+_SYMBOL_SQL = "concat('L', CAST(l_linenumber AS VARCHAR))"
 _PRICE = "100 + l_extendedprice / 100000.0"
 
 
@@ -24,9 +25,12 @@ def _panel_sql() -> str:
     return BARS.sql.replace("l_returnflag || l_linestatus", _SYMBOL_SQL)
 
 
-_ALL = Base(lambda spark, sf_dir: ohlcv(table(spark, sf_dir, "lineitem"), _SYMBOL, _PRICE), _panel_sql())
-#: Symbols with enough bars only.
-PANEL = Query(_ALL, [], f"SELECT symbol, ts, close, volume FROM (SELECT *, count(close) OVER (PARTITION BY symbol) AS n FROM {{t}}) WHERE n >= {MIN_BARS}").as_base()
+ALL_BARS = Base(lambda spark, sf_dir: ohlcv(table(spark, sf_dir, "lineitem"), _SYMBOL, _PRICE), _panel_sql())
+_LONG = Query(ALL_BARS, [], f"SELECT symbol, ts, close, volume FROM (SELECT *, count(close) OVER (PARTITION BY symbol) AS n FROM {{t}}) WHERE n >= {MIN_BARS}").as_base()
+#: Symbols with enough bars, on the dates on which all of them have one.
+PANEL = Query(
+    _LONG, [], "SELECT symbol, ts, close, volume FROM (SELECT *, count(close) OVER (PARTITION BY ts) AS present FROM {t}) WHERE present = (SELECT count(DISTINCT symbol) FROM {t})"
+).as_base()
 
 DATE = "PARTITION BY ts"
 
@@ -121,7 +125,7 @@ _PORTFOLIO: list[Stage] = [
     {"r": f"coalesce(close / {prev('close')} - 1, 0.0)", "pw": f"coalesce({prev('w')}, 0.0)"},
 ]
 _IC = f"""SELECT ts, count(*) AS n, corr(a, b) AS ic FROM (SELECT ts, {cs_rank('score')} AS a, {cs_rank('ahead')} AS b FROM {{t}} WHERE score IS NOT NULL AND ahead IS NOT NULL)
-    GROUP BY ts HAVING count(*) >= 3 AND stddev_samp(a) > 1e-9 AND stddev_samp(b) > 1e-9"""
+    GROUP BY ts HAVING count(*) >= 2 AND stddev_samp(a) > 1e-9 AND stddev_samp(b) > 1e-9"""
 _AHEAD: list[Stage] = [*reversal(), {"ahead": "lead(close, 1) OVER (PARTITION BY symbol ORDER BY ts) / close - 1"}]
 
 
@@ -133,7 +137,7 @@ def _static(name: str, value: str) -> Base:
 
 
 _VALUE, _QUALITY = _static("value", "avg(l_discount)"), _static("quality", "avg(l_tax)")
-_LINE = "CAST(substr(symbol, 4) AS INT)"
+_LINE = "CAST(substr(symbol, 2) AS INT)"
 
 
 def declared() -> dict[str, Query]:
@@ -153,7 +157,7 @@ def declared() -> dict[str, Query]:
         "ic_summary": Query(
             PANEL, _AHEAD,
             f"""SELECT count(*) AS n, round(avg(ic), 6) AS mean_ic, round(stddev_samp(ic), 6) AS std_ic, round(avg(ic) / greatest(stddev_samp(ic), 1e-12), 6) AS ir,
-                round(avg(ic) / greatest(stddev_samp(ic), 1e-12) * sqrt(count(*)), 6) AS t_stat, round(avg(CASE WHEN ic > 1e-9 THEN 1.0 ELSE 0.0 END), 6) AS hit_rate FROM ({_IC})""",
+                round(avg(ic) / greatest(stddev_samp(ic), 1e-12) * sqrt(count(*)), 6) AS t_stat, round(avg(CASE WHEN ic > 1e-9 THEN 1.0 ELSE 0.0 END), 6) AS hit_rate FROM ({_IC}) HAVING count(*) >= 2""",
         ),
         "xs_panel": Query(PANEL, [], "SELECT ts, count(*) AS n_symbols, round(avg(close), 13) AS mean_close FROM {t} GROUP BY ts"),
     }

@@ -282,22 +282,22 @@ def _six(*names: str) -> list[Column]:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     pool = lambda s, d: records(_priced(s, d), _last(s, d))
-    text = F.array_join("reasons", "; ").alias("reasons")
+    text = lambda: F.array_join("reasons", "; ").alias("reasons")
     return {
         "f_score": lambda s, d: f_score(latest_pairs(_history(s, d))).select("symbol", F.col("t.fy").alias("fy"), *SIGNALS, F.col("f_score").cast("long").alias("f_score")),
         "gross_profitability": lambda s, d: quality(_history(s, d)).select("symbol", *_six("gross_profitability")),
         "financial_safety": lambda s, d: safety(latest_pairs(_history(s, d))).select("symbol", *_six("leverage", "current_ratio"), "deficit"),
         "quality_score": lambda s, d: quality(_history(s, d)).select("symbol", *_six("quality"), F.array_join("quality_flags", "; ").alias("flags")),
-        "distress": lambda s, d: distress(latest_pairs(_history(s, d))).select("symbol", "distressed", text),
+        "distress": lambda s, d: distress(latest_pairs(_history(s, d))).select("symbol", "distressed", text()),
         "fiscal_prices": lambda s, d: _priced(s, d).select("symbol", "fy", *_six("price")),
         "multiples": lambda s, d: multiples(_priced(s, d), _last(s, d)).select("symbol", "fy", *_six("pe", "ps", "pe_percentile", "ps_percentile"), F.col("pe_n").cast("long").alias("pe_n"), F.col("ps_n").cast("long").alias("ps_n")),
         "dcf": lambda s, d: intrinsic(_history(s, d)).select("symbol", "is_proxy", *_six("growth"), F.round("value", 4).alias("value")),
         "valuation_score": lambda s, d: valuation(_priced(s, d), _last(s, d)).select("symbol", *_six("margin_of_safety", "undervaluation")),
         "fundamental_records": lambda s, d: pool(s, d).select("symbol", "fy", *_six("quality", "value", "combined"), F.col("f_score").cast("long").alias("f_score")),
         "fundamental_rank": lambda s, d: ranked(pool(s, d).select("symbol", *_six("combined")), top=10),
-        "screens": lambda s, d: screen_fundamentals(edgar.snapshot(filings(s, d))).select("symbol", "passed", text),
-        "screen_value": lambda s, d: screen_value(pool(s, d), margin=True).select("symbol", "passed", text),
-        "screen_quality": lambda s, d: screen_quality(pool(s, d), f_floor=4).select("symbol", "passed", text),
+        "screens": lambda s, d: screen_fundamentals(edgar.snapshot(filings(s, d))).select("symbol", "passed", text()),
+        "screen_value": lambda s, d: screen_value(pool(s, d), margin=True).select("symbol", "passed", text()),
+        "screen_quality": lambda s, d: screen_quality(pool(s, d), f_floor=4).select("symbol", "passed", text()),
     }
 
 

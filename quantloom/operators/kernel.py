@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from quantloom.functions.windows import clip, prev, roll
+from quantloom.functions.windows import clip, compounded, prev, roll
 from quantloom.operators.signals import SIGNALS
 from quantloom.plans.engine import UPTO, Base, Query, RunningProduct, Stage, tally
 from quantloom.sources.bars import BARS
@@ -34,6 +34,9 @@ def run(signal: str = "sma", base: Base = BARS, cost: float = COST, /, **params:
 
 HELD = Query(BARS, [{"signal": "1.0"}, *backtest(0.0)], "SELECT symbol, ts, close, ret, pos, turn, gross, net, equity, peak FROM {t}").as_base()
 
+#: The benchmark: all symbols held at equal weight.
+MARKET = Query(HELD, [], "SELECT ts, avg(net) AS net FROM {t} GROUP BY ts").as_base()
+
 #: Annualised Sharpe ratio of a return column; zero when it cannot be measured.
 SHARPE = f"coalesce({math.sqrt(YEAR)!r} * avg(net) / nullif(stddev_samp(net), 0), 0.0)"
 METRICS = f"""count(*) AS n_bars, round({SHARPE}, 6) AS sharpe, round(avg(net) * {YEAR}, 6) AS ann_return,
@@ -81,14 +84,14 @@ def declared() -> dict[str, Query]:
             sma, [],
             f"""SELECT symbol, n, round(beta, 6) AS beta, round((m - beta * mb) * {YEAR}, 6) AS alpha, round(te * {math.sqrt(YEAR)!r}, 6) AS tracking_error,
                 round((m - mb) / nullif(te, 0) * {math.sqrt(YEAR)!r}, 6) AS information_ratio FROM
-                (SELECT a.symbol, count(*) AS n, covar_samp(a.net, b.net) / nullif(var_samp(b.net), 0) AS beta, avg(a.net) AS m, avg(b.net) AS mb, stddev_samp(a.net - b.net) AS te
-                FROM {{t}} a JOIN {{held}} b ON a.ts = b.ts WHERE b.symbol = 'NO' GROUP BY a.symbol)""",
-            {"held": HELD},
+                (SELECT a.symbol, count(*) AS n, coalesce(covar_samp(a.net, b.net) / nullif(var_samp(b.net), 0), 0.0) AS beta, avg(a.net) AS m, avg(b.net) AS mb, stddev_samp(a.net - b.net) AS te
+                FROM {{t}} a JOIN {{market}} b ON a.ts = b.ts GROUP BY a.symbol)""",
+            {"market": MARKET},
         ),
         "regime_breakdown": Query(
             sma, [{"past": f"close / {prev('close', 20)} - 1"}],
             f"""SELECT symbol, CASE WHEN past < 0 THEN 'bear' ELSE 'bull' END AS regime, count(*) AS n, round({SHARPE}, 6) AS sharpe,
-                round(exp(sum(ln(1 + net))) - 1, 6) AS compounded FROM {{t}} GROUP BY symbol, CASE WHEN past < 0 THEN 'bear' ELSE 'bull' END""",
+                round({compounded('net')}, 6) AS compounded FROM {{t}} GROUP BY symbol, CASE WHEN past < 0 THEN 'bear' ELSE 'bull' END""",
         ),
         "latest_signal": Query(sma, [], "SELECT symbol, max(ts) AS ts, max_by(pos, ts) AS position, round(max_by(close, ts), 6) AS close FROM {t} GROUP BY symbol"),
         "track_record_years": Query(BARS, [], "SELECT symbol, round(@days(max(ts); min(ts))@ / 365.25, 6) AS years FROM {t} GROUP BY symbol"),

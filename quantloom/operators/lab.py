@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from dataclasses import replace
 
+from quantloom.functions.windows import compounded
 from quantloom.operators.kernel import HELD, SHARPE, run
 from quantloom.operators.statistics import expected_max_sharpe
 from quantloom.operators import validation
@@ -56,7 +57,7 @@ FROZEN = "DATE '1999-06-30'"
 
 def declared() -> dict[str, Query]:
     sma, held, validated = run("sma"), HELD, validation.declared()
-    forward = f"""SELECT f.symbol, count(*) AS n, round(exp(sum(ln(1 + f.net))) - 1, 6) AS total, round(exp(sum(ln(1 + h.net))) - 1, 6) AS held,
+    forward = f"""SELECT f.symbol, count(*) AS n, round({compounded('f.net')}, 6) AS total, round({compounded('h.net')}, 6) AS held,
         round(coalesce({YEAR!r} * avg(f.net) / nullif(stddev_samp(f.net), 0), 0.0), 6) AS sharpe FROM {{t}} f JOIN {{held}} h ON f.symbol = h.symbol AND f.ts = h.ts WHERE f.ts > {FROZEN} GROUP BY f.symbol"""
     return {
         "holdout_split": Query(_split(BARS), [], "SELECT symbol, part, count(*) AS n, min(ts) AS since, max(ts) AS until FROM {t} GROUP BY symbol, part"),

@@ -139,11 +139,11 @@ def _issues(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    context = F.array_join(F.array_sort(F.transform(F.map_entries("context"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), " ").alias("context")
-    of = lambda name: lambda s, d: _issues(s, d).where(F.col("check") == name).select("symbol", context)
+    context = lambda: F.array_join(F.array_sort(F.transform(F.map_entries("context"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), " ").alias("context")
+    of = lambda name: lambda s, d: _issues(s, d).where(F.col("check") == name).select("symbol", context())
     text = lambda *names: [F.col(n).cast("string").alias(n) for n in names]
     return {
-        "dq_issues": lambda s, d: _issues(s, d).select("symbol", "check", "severity", context),
+        "dq_issues": lambda s, d: _issues(s, d).select("symbol", "check", "severity", context()),
         "dq_stale_runs": of("stale_data"),
         "dq_split": of("split_dividend_consistency"),
         "dq_report": lambda s, d: report(_issues(s, d)),

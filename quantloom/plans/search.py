@@ -1,47 +1,395 @@
-"""Search over signal families: every candidate once, finalists by symbol, sealed holdout, gate."""
+"""Search over signal families: all candidates in one window pass, validation of each family, refinement, sealed holdout, gate.
+
+The bars are split first. Everything up to the finalist sees the head alone; the holdout is scored once, by the
+finalist, with its indicators warming up anew. Candidates are columns of one pass over the bars (a sort by symbol and time),
+then rows (symbol, family, config, bar); validation combines sufficient statistics of segments.
+"""
 
 from __future__ import annotations
 
 import math
+import re
+from collections.abc import Callable, Iterable
+from dataclasses import dataclass
+from functools import reduce
+from itertools import combinations
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
+
+from quantloom.operators import grid
+from quantloom.operators.factors import ALL_BARS
+from quantloom.operators.grid import CATALOG, Params, allocate, canonical, space_filling
+from quantloom.operators.kernel import COST, YEAR, run
+from quantloom.operators.signals import SIGNALS
+from quantloom.operators.stateful import donchian_atr_trail
+from quantloom.operators.statistics import expected_max_sharpe, probabilistic_sharpe
+from quantloom.plans.engine import Base, Ewm, RunningProduct, Stage, apply_stages
+
+ROOT = math.sqrt(YEAR)
+HOLDOUT, HOLDOUT_ROWS, HEAD_ROWS = 0.2, 252, 252
+GROUPS, WALKS, FOLDS, LEAST_EMBARGO = 10, 5, 5, 2
+#: A family is validated on no fewer candidates.
+LEAST_CONFIGS = 2
+
+
+@dataclass(frozen=True)
+class Gate:
+    """Graduation thresholds."""
+
+    margin: float = 0.0
+    pbo: float = 0.5
+    stability: float = 0.4
+    holdout: float = 0.0
+    beat_holding: bool = True
+    budget: int = 200
+
+    @property
+    def version(self) -> str:
+        return grid.parameter_hash(vars(self))
+
+
+def split(bars: DataFrame) -> DataFrame:
+    """``bars`` plus i, n and part ('head' or 'holdout'): the last fifth, a year at least; symbols whose head is under a year go."""
+    key = Window.partitionBy("symbol")
+    tail = F.greatest(F.floor(F.col("n") * HOLDOUT), F.lit(HOLDOUT_ROWS))
+    counted = bars.withColumns({"i": F.row_number().over(key.orderBy("ts")) - 1, "n": F.count("*").over(key)})
+    return counted.where(F.col("n") - tail >= HEAD_ROWS).withColumn("part", F.when(F.col("i") >= F.col("n") - tail, "holdout").otherwise("head"))
+
+
+def _numbered(stages: list[Stage], k: int) -> list[Stage]:
+    """The stages with every column that they make marked by k."""
+    names = sorted({name for stage in stages for name in stage}, key=len, reverse=True)
+    made = re.compile(rf"(?<![\w.'])({'|'.join(map(re.escape, names))})\b(?!\s*\()")
+    mark = lambda text: made.sub(rf"\1__{k}", text)
+
+    def moved(e: object) -> object:
+        if isinstance(e, Ewm):
+            return Ewm(mark(e.column), e.alpha)
+        return RunningProduct(mark(e.column)) if isinstance(e, RunningProduct) else mark(e)
+
+    return [{f"{name}__{k}": moved(e) for name, e in stage.items()} for stage in stages]
+
+
+def _net(position: Column, ret: Column, w: Window) -> Column:
+    """Net return of a position: it earns the next bar's return, a change of it costs."""
+    before = F.lag(position).over(w)
+    return F.coalesce(before, F.lit(0.0)) * ret - F.coalesce(F.abs(position - before), F.abs(position)) * COST
+
+
+def _clipped(signal: Column) -> Column:
+    return F.coalesce(F.greatest(F.least(signal, F.lit(1.0)), F.lit(-1.0)), F.lit(0.0))
+
 
-from quantloom.operators.grid import Params, candidates, canonical
-from quantloom.operators.kernel import SHARPE, run
-from quantloom.operators.lab import HEAD
-from quantloom.operators.statistics import expected_max_sharpe
-from quantloom.plans.engine import Base, Query
-from quantloom.sources.bars import BARS
-
-
-def trials(families: dict[str, list[Params]], bars: Base = HEAD) -> Base:
-    """(symbol, family, config, n, sharpe, n_trades) of each candidate on the head of the bars."""
-    parts, others = [], {}
-    for family, configs in families.items():
-        for k, params in enumerate(configs):
-            key = f"r{len(others)}"
-            others[key] = run(family, bars, **params)
-            parts.append(f"SELECT symbol, '{family}' AS family, {k} AS config, count(*) AS n, {SHARPE} AS sharpe FROM {{{key}}} GROUP BY symbol")
-    return Query(BARS, [], " UNION ALL ".join(parts), others).as_base()
-
-
-def finalists(families: dict[str, list[Params]]) -> Query:
-    """The best candidate of each symbol with its deflated margin over all candidates."""
-    n = sum(map(len, families.values()))
-    return Query(
-        trials(families), [],
-        f"""SELECT symbol, family, CAST(config AS BIGINT) AS config, round(sharpe, 6) AS sharpe, round(sharpe - greatest(sd * {expected_max_sharpe(1.0, n)!r}, 0.0), 6) AS margin,
-            sharpe > {math.sqrt(2 * math.log(n))!r} / sqrt(n / 252.0) AS clears_bar FROM
-            (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY round(sharpe, 12) DESC, family, config) AS place, stddev_samp(sharpe) OVER (PARTITION BY symbol) AS sd FROM {{t}}) WHERE place = 1""",
+def returns(bars: DataFrame, families: dict[str, list[Params]]) -> DataFrame:
+    """(symbol, family, config, ts, i, n, ret, net) of every candidate on these bars, whose i and n are numbered anew."""
+    w = Window.partitionBy("symbol").orderBy("ts")
+    based = bars.drop("i", "n", "part").withColumns({
+        "ret": F.coalesce(F.col("close") / F.lag("close").over(w) - 1, F.lit(0.0)), "i": F.row_number().over(w) - 1, "n": F.count("*").over(Window.partitionBy("symbol")),
+    })
+    listed = [(family, config, params) for family, configs in families.items() for config, params in enumerate(configs)]
+    native = [(k, *x) for k, x in enumerate(listed) if x[0] in SIGNALS]
+    parts = []
+    if native:
+        made = [_numbered(SIGNALS[family](**params), k) for k, family, _, params in native]
+        stages = [reduce(dict.__or__, (own[d] for own in made if d < len(own))) for d in range(max(map(len, made)))]
+        wide = apply_stages(based, stages).withColumns({f"pos__{k}": _clipped(F.col(f"signal__{k}")) for k, *_ in native})
+        rows = [F.struct(F.lit(f).alias("family"), F.lit(c).alias("config"), _net(F.col(f"pos__{k}"), F.col("ret"), w).alias("net")) for k, f, c, _ in native]
+        nets = wide.withColumn("rows", F.array(*rows)).select("symbol", "ts", "i", "n", "ret", F.explode("rows").alias("row"))
+        parts.append(nets.select("symbol", "row.family", "row.config", "ts", "i", "n", "ret", "row.net"))
+    for family, config, params in listed:
+        if family not in SIGNALS:  # the stateful signal comes by a fold
+            signal = donchian_atr_trail(bars.drop("i", "n", "part"), **params)
+            net = based.join(signal, ["symbol", "ts"]).withColumn("net", _net(_clipped(F.col("signal")), F.col("ret"), w))
+            parts.append(net.select("symbol", F.lit(family).alias("family"), F.lit(config).alias("config"), "ts", "i", "n", "ret", "net"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def sharpe_of(n: Column, s: Column, q: Column) -> Column:
+    """Mean over standard deviation from sums; zero without spread or under two rows."""
+    var = F.when(n > 1, (q - s * s / n) / (n - 1))
+    return F.coalesce(F.when(var > 1e-18, s / n / F.sqrt(var)), F.lit(0.0))
+
+
+def _sums(rows: DataFrame, *keys: str) -> DataFrame:
+    return rows.groupBy(*keys).agg(F.count("*").alias("c"), F.sum("net").alias("s"), F.sum(F.col("net") * F.col("net")).alias("q"))
+
+
+def _moments(rows: DataFrame) -> DataFrame:
+    """Per candidate: n, sharpe (annualised), skew and kurtosis (bias-corrected; null under four rows or without spread)."""
+    n = F.count("*")
+    skew = F.skewness("net") * F.sqrt(n * (n - 1)) / (n - 2)
+    kurtosis = (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * F.kurtosis("net") + 6) + 3
+    sound = (n >= 4) & (F.var_pop("net") > 1e-24)
+    return rows.groupBy("symbol", "family", "config").agg(
+        n.alias("n"), (F.coalesce(F.when(F.stddev_samp("net") > 1e-12, F.avg("net") / F.stddev_samp("net")), F.lit(0.0)) * ROOT).alias("sharpe"),
+        F.when(sound, skew).alias("skew"), F.when(sound, kurtosis).alias("kurtosis"), F.min("ts").alias("since"), F.max("ts").alias("until"),
     )
 
 
-FAMILIES = candidates(["sma", "momentum", "bollinger_bands", "donchian_breakout", "trix"], budget=12)
+def _first_best(score: str) -> Column:
+    """Order of the best candidate, of equals the first."""
+    return F.struct(F.round(score, 12).alias("score"), (-F.col("config")).alias("first"))
+
+
+def overfitting(rows: DataFrame) -> DataFrame:
+    """(symbol, family, pbo): the share of all splits of GROUPS segments in which the best half's winner is in the other half's lower part."""
+    small, extra = F.floor(F.col("n") / GROUPS), F.col("n") % GROUPS
+    edge = extra * (small + 1)
+    group = F.when(F.col("i") < edge, F.floor(F.col("i") / (small + 1))).otherwise(extra + F.floor((F.col("i") - edge) / small)).cast("int")
+    sums = _sums(rows.withColumn("g", group), "symbol", "family", "config", "g")
+    halves = list(combinations(range(GROUPS), GROUPS // 2))
+    spark = rows.sparkSession
+    splits = F.broadcast(spark.createDataFrame([(m, g, g in half) for m, half in enumerate(halves) for g in range(GROUPS)], "m int, g int, inside boolean"))
+    side = lambda x, inside: F.sum(F.when(F.col("inside") == inside, F.col(x)).otherwise(0))
+    both = sums.join(splits, "g").groupBy("symbol", "family", "config", "m").agg(
+        sharpe_of(side("c", True), side("s", True), side("q", True)).alias("tr"), sharpe_of(side("c", False), side("s", False), side("q", False)).alias("te")
+    )
+    key = ["symbol", "family", "m"]
+    place = F.row_number().over(Window.partitionBy(*key).orderBy(F.round("te", 12), "config"))
+    picked = both.withColumn("place", place).groupBy(*key).agg(F.max_by("place", _first_best("tr")).alias("place"), F.count("*").alias("configs"))
+    return picked.groupBy("symbol", "family").agg(F.avg(F.when(F.col("place") / (F.col("configs") + 1) <= 0.5, 1.0).otherwise(0.0)).alias("pbo"))
+
+
+def _judged(scored: DataFrame, name: str) -> DataFrame:
+    """Splits' winners by training score, averaged: (symbol, family, {name}_is, {name}_oos, {name}_consistency, {name}_efficiency)."""
+    best = scored.groupBy("symbol", "family", "k").agg(F.max_by(F.struct("tr", "te"), _first_best("tr")).alias("b"))
+    out = best.groupBy("symbol", "family").agg(
+        F.avg("b.tr").alias(f"{name}_is"), F.avg("b.te").alias(f"{name}_oos"), F.avg(F.when(F.col("b.te") > 0, 1.0).otherwise(0.0)).alias(f"{name}_consistency")
+    )
+    return out.withColumn(f"{name}_efficiency", F.when(F.col(f"{name}_is") > 0, F.col(f"{name}_oos") / F.col(f"{name}_is")))
+
+
+def walk_forward(rows: DataFrame) -> DataFrame:
+    """Expanding windows: trained on all segments before each of the last WALKS, the last of which takes the rest."""
+    segment = F.least(F.floor(F.col("i") / F.floor(F.col("n") / (WALKS + 1))), F.lit(WALKS)).cast("int")
+    upto = Window.partitionBy("symbol", "family", "config").orderBy("g").rowsBetween(Window.unboundedPreceding, -1)
+    sums = _sums(rows.withColumn("g", segment), "symbol", "family", "config", "g").withColumns({f"b{x}": F.sum(x).over(upto) for x in "csq"})
+    scored = sums.where("g > 0").select("symbol", "family", "config", F.col("g").alias("k"), (sharpe_of(*(F.col(f"b{x}") for x in "csq")) * ROOT).alias("tr"), (sharpe_of(*(F.col(x) for x in "csq")) * ROOT).alias("te"))
+    return _judged(scored, "walk")
+
+
+def embargoes(families: dict[str, list[Params]]) -> dict[str, int]:
+    """Per family, its longest whole-number parameter, two at least."""
+    return {f: max([LEAST_EMBARGO, *(v for p in configs for v in p.values() if isinstance(v, int) and not isinstance(v, bool))]) for f, configs in families.items()}
+
+
+def purged_folds(rows: DataFrame, embargo: dict[str, int]) -> DataFrame:
+    """Contiguous folds, trained on what is farther than the family's embargo from the fold; folds without training rows go.
+
+    A row belongs to one of at most 3 FOLDS segments (a fold's own rows, and the rows within an embargo before or after a
+    fold's edges), whose sums are combined: the rows are never multiplied by the folds.
+    """
+    spark = rows.sparkSession
+    sized = rows.join(F.broadcast(spark.createDataFrame(sorted(embargo.items()), "family string, embargo int")), "family")
+    start = lambda k: F.floor(F.lit(k) * F.col("n") / FOLDS)
+    inside = [((F.col("i") >= start(k)) & (F.col("i") < start(k + 1))) for k in range(FOLDS)]
+    train = [((F.col("i") < start(k) - F.col("embargo")) | (F.col("i") >= start(k + 1) + F.col("embargo"))) for k in range(FOLDS)]
+    marked = sized.withColumns({"own": F.concat(*[F.when(x, str(k)).otherwise("") for k, x in enumerate(inside)]), "far": F.concat(*[F.when(x, str(k)).otherwise("") for k, x in enumerate(train)])})
+    sums = _sums(marked, "symbol", "family", "config", "own", "far")
+    dealt = sums.withColumn("k", F.explode(F.array(*[F.lit(k) for k in range(FOLDS)])))  # a few sums by the folds
+    side = lambda x, column: F.sum(F.when(F.col(column).contains(F.col("k").cast("string")), F.col(x)).otherwise(0))
+    scored = dealt.groupBy("symbol", "family", "config", "k").agg(
+        side("c", "far").alias("train"), (sharpe_of(*(side(x, "far") for x in "csq")) * ROOT).alias("tr"), (sharpe_of(*(side(x, "own") for x in "csq")) * ROOT).alias("te")
+    )
+    return _judged(scored.where("train > 0"), "purged")
+
+
+def validated(rows: DataFrame, families: dict[str, list[Params]]) -> DataFrame:
+    """The validation report of each symbol and family: best candidate, margin, overfitting, stability, walk-forward, purged folds."""
+    trials = _moments(rows)
+    haircuts = {f: expected_max_sharpe(1.0, len(c)) for f, c in families.items()}
+    price = F.create_map(*[x for f, h in haircuts.items() for x in (F.lit(f), F.lit(h))])
+    best = trials.groupBy("symbol", "family").agg(
+        F.max_by(F.struct("config", "sharpe", "n", "skew", "kurtosis", "since", "until"), _first_best("sharpe")).alias("best"), F.count("*").alias("n_configs"),
+        F.stddev_samp("sharpe").alias("sd"), F.avg("sharpe").alias("mean"), F.collect_list("sharpe").alias("sharpes"),
+    )
+    report = best.select(
+        "symbol", "family", "best.*", "n_configs", "sharpes", (F.col("best.sharpe") - F.greatest(F.greatest("sd", F.lit(1e-6)) * price[F.col("family")], F.lit(0.0))).alias("margin"),
+        (1 / (1 + F.col("sd") / (F.abs("mean") + 1e-9))).alias("stability"),
+    )
+    return report.join(overfitting(rows), ["symbol", "family"]).join(walk_forward(rows), ["symbol", "family"]).join(purged_folds(rows, embargoes(families)), ["symbol", "family"], "left")
+
+
+@F.pandas_udf(DoubleType())
+def _probability(sharpe: pd.Series, bar: pd.Series, n: pd.Series, skew: pd.Series, kurtosis: pd.Series) -> pd.Series:
+    """Deflated probability of per-bar ratios; null where it cannot be measured."""
+
+    def one(*x: float) -> float | None:
+        try:
+            return None if any(pd.isna(v) for v in x) else probabilistic_sharpe(*x)
+        except ValueError:
+            return None
+
+    return pd.Series([one(*x) for x in zip(sharpe, bar, n, skew, kurtosis, strict=True)], dtype="float64")
+
+
+def repriced(reports: DataFrame, prior: DataFrame | None = None) -> DataFrame:
+    """``reports`` with the margin of the whole search, its probability, and trials, the lifetime count of candidates.
+
+    The dispersion is that of all candidates of the symbol (a quarter range by 1.34898 from four on); ``prior(symbol, trials)``
+    are the candidates of earlier searches.
+    """
+    key = Window.partitionBy("symbol")
+    every = F.flatten(F.collect_list("sharpes").over(key))
+    counted = reports.withColumn("all", F.array_sort(every))
+    if prior is not None:
+        counted = counted.join(prior.withColumnRenamed("trials", "prior"), "symbol", "left")
+    counted = counted.withColumn("trials", F.size("all") + (F.coalesce("prior", F.lit(0)) if prior is not None else 0))
+    m = F.size("all")
+    at = lambda p: (m - 1) * p
+    item = lambda k: F.get("all", k.cast("int"))
+    quantile = lambda p: item(F.floor(at(p))) + (item(F.ceil(at(p))) - item(F.floor(at(p)))) * (at(p) - F.floor(at(p)))
+    mean = F.aggregate("all", F.lit(0.0), lambda a, x: a + x) / m
+    plain = F.sqrt(F.aggregate("all", F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / (m - 1))
+    counted = counted.withColumn("dispersion", F.greatest(F.when(m < 4, plain).otherwise((quantile(0.75) - quantile(0.25)) / 1.34898), F.lit(1e-6)))
+    haircut = F.col("dispersion") * _expected_max("trials")
+    counted = counted.withColumn("margin", F.col("sharpe") - F.greatest(haircut, F.lit(0.0)))
+    return counted.withColumn("probability", _probability(F.col("sharpe") / ROOT, haircut / ROOT, F.col("n").cast("double"), "skew", "kurtosis")).drop("all", "sharpes")
+
+
+@F.pandas_udf(DoubleType())
+def _expected_max(trials: pd.Series) -> pd.Series:
+    return trials.map(lambda n: expected_max_sharpe(1.0, int(n))).astype("float64")
+
+
+def gated(finalists: DataFrame, gate: Gate = Gate()) -> DataFrame:
+    """``finalists`` plus the six verdicts, passed and the reasons against."""
+    years = F.datediff("until", "since") / 365.25
+    needed = F.when(F.col("sharpe") > 0, 2 * F.log("trials") / (F.col("sharpe") * F.col("sharpe")))  # null: no length would do
+    tests = {
+        "dsr_ok": F.col("margin") > gate.margin, "pbo_ok": F.col("pbo") < gate.pbo, "stability_ok": F.col("stability") >= gate.stability,
+        "mintrl_ok": F.coalesce(years >= needed, F.lit(False)), "holdout_ok": F.col("holdout_sharpe") > gate.holdout,
+        "beats_held_ok": (F.col("holdout_sharpe") > F.col("held_sharpe")) | F.lit(not gate.beat_holding),
+    }
+    judged = finalists.withColumns({**tests, "required_years": needed})
+    reasons = F.array_compact(F.array(*[F.when(~F.col(t), t.removesuffix("_ok")) for t in tests]))
+    return judged.withColumn("passed", reduce(Column.__and__, [F.col(t) for t in tests])).withColumn("reasons", reasons)
+
+
+def coarse(names: Iterable[str] = tuple(CATALOG), budget: int = Gate.budget, per_parameter: int = 3, *, refine: bool = True) -> tuple[dict[str, list[Params]], int]:
+    """Candidates of each family within the budget, and what is reserved for the refinement (its quota comes last)."""
+    grids = {name: found for name in names if len(found := grid.grid(name, per_parameter)) >= LEAST_CONFIGS}
+    largest = max((per_parameter ** len(CATALOG[name][1]) for name in grids), default=0)
+    sizes = {name: len(g) for name, g in grids.items()} | ({"~refined": largest} if refine else {})
+    quota = allocate(sizes, budget)
+    return {name: space_filling(grids[name], quota[name]) for name in grids}, quota.get("~refined", 0)
+
+
+def _holdout(rest: DataFrame, winners: DataFrame, families: dict[str, list[Params]]) -> DataFrame:
+    """(symbol, holdout_sharpe, holdout_return, holdout_bars, held_sharpe): each symbol's winner alone, on bars that no search saw."""
+    w = Window.partitionBy("symbol").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
+    own = returns(rest, families).join(winners.select("symbol", "family", "config"), ["symbol", "family", "config"])
+    sharpe = lambda x: F.coalesce(F.when(F.stddev_samp(x) > 1e-12, F.avg(x) / F.stddev_samp(x)), F.lit(0.0)) * ROOT
+    return own.withColumn("equity", F.product(1 + F.col("net")).over(w)).groupBy("symbol").agg(
+        sharpe("net").alias("holdout_sharpe"), (F.max_by("equity", "ts") / F.min_by("equity", "ts") - 1).alias("holdout_return"), F.count("*").alias("holdout_bars"), sharpe("ret").alias("held_sharpe")
+    )
+
+
+def search(bars: DataFrame, names: Iterable[str] = tuple(CATALOG), gate: Gate = Gate(), *, refine: bool = True, prior: DataFrame | None = None, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> tuple[DataFrame, DataFrame]:
+    """(trials, verdicts): each family's best candidate with its report, and the gated finalist of each symbol.
+
+    ``keep`` writes and rereads (or checkpoints) what is used again. The refinement goes a quarter around each symbol's coarse winner;
+    the distinct winners, at most as many as there are candidates, come to the driver to make the grids.
+    """
+    parts = split(bars)
+    head, rest = parts.where("part = 'head'"), parts.where("part = 'holdout'")
+    families, reserve = coarse(names, gate.budget, refine=refine)
+    reports = keep(validated(keep(returns(head, families)), families).withColumn("stage", F.lit("coarse")))
+    everything = dict(families)
+    if refine and reserve >= LEAST_CONFIGS:
+        top = Window.partitionBy("symbol").orderBy(F.desc(F.round("sharpe", 12)), "family")
+        winners = keep(reports.withColumn("place", F.row_number().over(top)).where("place = 1").select("symbol", "family", "config"))
+        zooms = {}
+        for r in winners.select("family", "config").distinct().orderBy("family", "config").collect():
+            near = space_filling(grid.refine(r["family"], families[r["family"]][r["config"]]), reserve)
+            if len(near) >= LEAST_CONFIGS:
+                zooms[r["family"], r["config"]] = near
+        for (family, config), near in zooms.items():
+            own = winners.where((F.col("family") == family) & (F.col("config") == config)).select("symbol")
+            base = len(everything[family])
+            everything[family] = [*everything[family], *near]
+            again = validated(keep(returns(head.join(own, "symbol", "left_semi"), {family: near})), {family: near})
+            reports = reports.unionByName(again.withColumns({"config": F.col("config") + base, "stage": F.lit("refined")}))
+    trials = keep(repriced(reports, prior))
+    top = Window.partitionBy("symbol").orderBy(F.desc(F.round("sharpe", 12)), F.col("stage"), "family")
+    finalists = keep(trials.withColumn("place", F.row_number().over(top)).where("place = 1").drop("place"))
+    used = {(r["family"], r["config"]) for r in finalists.select("family", "config").distinct().collect()}
+    picked = {f: sorted(c for g, c in used if g == f) for f in {f for f, _ in used}}
+    number = F.create_map(*[x for f, cs in picked.items() for k, c in enumerate(cs) for x in (F.lit(f"{f}/{c}"), F.lit(k))]) if used else F.create_map()
+    winners = finalists.select("symbol", "family", number[F.concat_ws("/", "family", F.col("config").cast("string"))].alias("config"))
+    scored = _holdout(rest, winners, {f: [everything[f][c] for c in cs] for f, cs in picked.items()}) if used else None
+    if scored is None:
+        return trials, finalists
+    return trials, gated(finalists.join(scored, "symbol"), gate)
+
+
+#: The registered searches: trials of the whole catalog, verdicts of a few families (a fold among them) with refinement.
+BUDGET = Gate(budget=72)
+FEW = ("bollinger_bands", "donchian_atr_trail", "donchian_breakout", "mean_reversion", "momentum", "sma")
+FEW_BUDGET = Gate(budget=20)
+
+
+def _kept(df: DataFrame) -> DataFrame:
+    """Cut by a checkpoint where the session has a folder for it, else cached."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
+
+
+def _run(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return search(ALL_BARS.frame(spark, sf_dir), FEW, FEW_BUDGET, keep=_kept)
+
+
+def _trials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    native = {f: c for f, c in coarse(budget=BUDGET.budget)[0].items() if f in SIGNALS}
+    return _moments(returns(split(ALL_BARS.frame(spark, sf_dir)).where("part = 'head'"), native))
+
+
+def finalists(trials: DataFrame) -> DataFrame:
+    """The best candidate of each symbol with its margin over the symbol's candidates, and whether it clears the null's bar."""
+    best = trials.groupBy("symbol").agg(
+        F.min_by(F.struct("family", "config", "sharpe", "n"), F.struct((-F.round("sharpe", 12)).alias("a"), "family", "config")).alias("best"), F.stddev_samp("sharpe").alias("sd"), F.count("*").alias("trials")
+    )
+    haircut = F.greatest(F.col("sd") * _expected_max("trials"), F.lit(0.0))
+    return best.select("symbol", "best.*", "trials", haircut.alias("haircut")).withColumns({
+        "margin": F.col("sharpe") - F.col("haircut"), "clears_bar": F.col("sharpe") > F.sqrt(2 * F.log("trials")) / F.sqrt(F.col("n") / YEAR),
+    }).drop("haircut")
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    six = lambda *names: [F.round(n, 6).alias(n) for n in names]
+    config = lambda: F.col("config").cast("long").alias("config")
+    return {
+        "search_candidates": lambda s, _: s.createDataFrame(_listed(), "family string, config long, params string"),
+        "search_trials": lambda s, d: _trials(s, d).select("symbol", "family", config(), "n", *six("sharpe")),
+        "search_finalists": lambda s, d: finalists(_trials(s, d)).select("symbol", "family", config(), *six("sharpe", "margin"), "clears_bar"),
+        "search_reports": lambda s, d: _run(s, d)[0].select("symbol", "family", "stage", config(), F.col("trials").cast("long").alias("trials"),
+            *six("sharpe", "margin", "probability", "pbo", "stability", "walk_oos", "purged_oos")),
+        "search_verdicts": lambda s, d: _run(s, d)[1].select("symbol", "family", "stage", "passed", F.array_join("reasons", ",").alias("reasons"), *six("sharpe", "margin", "holdout_sharpe", "held_sharpe", "holdout_return")),
+    }
+
+
+def _listed() -> list[tuple[str, int, str]]:
+    return [(f, k, canonical(p)) for f, configs in coarse(budget=BUDGET.budget)[0].items() for k, p in enumerate(configs)]
 
 
-def declared() -> dict[str, Query]:
-    listed = [(f, k, canonical(p)) for f, ps in FAMILIES.items() for k, p in enumerate(ps)]
-    sql = "(VALUES " + ", ".join(f"('{f}', {k}, '{c}')" for f, k, c in listed) + ") g(family, config, params)"
+def oracle_sql() -> dict[str, str]:
+    """Every candidate by itself, each in a query of its own, over the head of the bars."""
+    families, _ = coarse(budget=BUDGET.budget)
+    tail = f"greatest(CAST(floor({HOLDOUT} * n) AS BIGINT), {HOLDOUT_ROWS})"
+    head = Base(ALL_BARS.frame, "head")
+    sharpe = f"coalesce(CASE WHEN stddev_samp(net) > 1e-12 THEN {ROOT!r} * avg(net) / stddev_samp(net) END, 0.0)"
+    parts = [
+        f"SELECT symbol, '{family}' AS family, CAST({k} AS BIGINT) AS config, count(*) AS n, {sharpe} AS sharpe FROM {run(family, head, **p).sql} GROUP BY symbol"
+        for family, configs in families.items() if family in SIGNALS for k, p in enumerate(configs)
+    ]
+    base = f"""WITH head AS MATERIALIZED (SELECT symbol, ts, open, high, low, close, volume FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS i, count(*) OVER (PARTITION BY symbol) AS n FROM {ALL_BARS.sql})
+        WHERE n - {tail} >= {HEAD_ROWS} AND i < n - {tail}), trials AS MATERIALIZED ({" UNION ALL ".join(parts)}) """
+    values = ", ".join(f"('{f}', CAST({k} AS BIGINT), '{c}')" for f, k, c in _listed())
     return {
-        "search_trials": Query(trials(FAMILIES), [], "SELECT symbol, family, CAST(config AS BIGINT) AS config, n, round(sharpe, 6) AS sharpe FROM {t}"),
-        "search_finalists": finalists(FAMILIES),
-        "search_candidates": Query(Base(lambda spark, _: spark.createDataFrame(listed, "family string, config int, params string"), sql), [], "SELECT family, config, params FROM {t}"),
+        "search_candidates": f"SELECT family, config, params FROM (VALUES {values}) g(family, config, params)",
+        "search_trials": base + "SELECT symbol, family, config, n, round(sharpe, 6) AS sharpe FROM trials",
+        "search_finalists": base + f"""SELECT symbol, family, config, round(sharpe, 6) AS sharpe, round(sharpe - greatest(sd * {expected_max_sharpe(1.0, len(parts))!r}, 0.0), 6) AS margin, sharpe > sqrt(2 * ln(trials)) / sqrt(n / {YEAR}.0) AS clears_bar
+            FROM (SELECT *, row_number() OVER w AS place, stddev_samp(sharpe) OVER (PARTITION BY symbol) AS sd, count(*) OVER (PARTITION BY symbol) AS trials FROM trials WINDOW w AS (PARTITION BY symbol ORDER BY round(sharpe, 12) DESC, family, config)) WHERE place = 1""",
     }
