@@ -8,7 +8,7 @@ from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quantloom.operators import book, data_quality, factors, fundamentals, kernel, lab, quality_checks, simulation, validation, valuation
+from quantloom.operators import book, data_quality, factors, fundamentals, kernel, lab, pool, quality_checks, simulation, validation, valuation
 from quantloom.operators.signals import SIGNALS
 from quantloom.operators.stateful import donchian_atr_trail
 from quantloom.plans import search
@@ -33,8 +33,8 @@ def _declared() -> dict[str, Query]:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {**_declared(), "sig_donchian_atr_trail": lambda spark, sf_dir: donchian_atr_trail(BARS.frame(spark, sf_dir)), **edgar.queries(), **fundamentals.queries(), **quality_checks.queries(), **search.queries(), **simulation.queries()}
+    return {**_declared(), "sig_donchian_atr_trail": lambda spark, sf_dir: donchian_atr_trail(BARS.frame(spark, sf_dir)), **edgar.queries(), **fundamentals.queries(), **pool.queries(), **quality_checks.queries(), **search.queries(), **simulation.queries()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: q.sql() for name, q in _declared().items()} | edgar.oracle_sql() | fundamentals.oracle_sql() | quality_checks.oracle_sql() | search.oracle_sql()
+    return {name: q.sql() for name, q in _declared().items()} | edgar.oracle_sql() | fundamentals.oracle_sql() | pool.oracle_sql() | quality_checks.oracle_sql() | search.oracle_sql()

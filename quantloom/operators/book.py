@@ -12,7 +12,7 @@ from quantloom.operators.lab import FINAL, FROZEN, TRIALS
 from quantloom.operators.statistics import expected_max_sharpe
 from quantloom.operators.validation import GRID, RETURNS
 from quantloom.plans.engine import Base, Query, tally
-from quantloom.sources.bars import BARS
+from quantloom.sources.bars import BARS, from_table
 
 #: Exit rules: bars of grace, trailing window, least trailing Sharpe ratio, deepest drawdown.
 GRACE, WINDOW, MIN_SHARPE, MAX_DRAWDOWN = 21, 63, 0.0, 0.25
@@ -71,7 +71,7 @@ def separation(trials: Base, category: str) -> Query:
     gap = f"SELECT @pct(gap; 0.5)@ AS gap FROM (SELECT symbol, max(CASE WHEN place = 1 THEN best END) - max(CASE WHEN place = 2 THEN best END) AS gap FROM ({placed}) GROUP BY symbol)"
     return Query(
         trials, [],
-        f"""SELECT CAST(c.category AS BIGINT) AS category, c.n, round(c.median, 6) AS median, round(c.won / CAST(e.n AS DOUBLE), 6) AS winner_share, round(g.gap, 6) AS median_gap,
+        f"""SELECT c.category, c.n, round(c.median, 6) AS median, round(c.won / CAST(e.n AS DOUBLE), 6) AS winner_share, round(g.gap, 6) AS median_gap,
             g.gap > sqrt((1 + g.gap * g.gap / 2) / (e.bars / {YEAR}.0)) AS separable FROM
             (SELECT category, count(*) AS n, @pct(best; 0.5)@ AS median, sum(CASE WHEN place = 1 THEN 1.0 ELSE 0.0 END) AS won FROM ({placed}) GROUP BY category) c
             CROSS JOIN (SELECT count(DISTINCT symbol) AS n, @pct(n; 0.5)@ AS bars FROM ({best})) e CROSS JOIN ({gap}) g""",
@@ -145,9 +145,10 @@ def declared() -> dict[str, Query]:
     validated = validation.declared()
     states = lifecycle(run("sma"), HELD)
     oos = lambda name, stat: Query(validated[name].as_base(), [], f"SELECT '{stat}' AS statistic, symbol, oos_sharpe AS value, 1.0 AS bars FROM {{t}}").as_base()
-    null = Query(TRIALS, [], "SELECT CASE WHEN config % 2 = 0 THEN 'iid' ELSE 'bootstrap' END AS mode, 'walk-forward' AS statistic, sharpe AS value, 1.0 AS bars FROM {t}").as_base()
-    shards = Query(TRIALS, [], "SELECT config % 3 AS shard, 'v1' AS version, 'iid' AS mode, symbol, sharpe, @days(until; since)@ / 365.25 AS years FROM {t}").as_base()
-    book = Query(TRIALS, [], "SELECT symbol, config, CASE WHEN config = 4 THEN 'closed' ELSE 'open' END AS status FROM {t} WHERE config IN (0, 4)").as_base()
+    null = Query(from_table("events"), [], "SELECT event_type AS mode, 'walk-forward' AS statistic, value / 100 AS value, 1.0 AS bars FROM {t}").as_base()
+    shards = Query(from_table("events"), [], "SELECT event_type AS shard, 'v1' AS version, 'iid' AS mode, user_id AS symbol, value / 50 AS sharpe, 4.3 AS years FROM {t}").as_base()
+    book = Query(TRIALS, [], "SELECT symbol, config, CASE WHEN sharpe > 0 THEN 'open' ELSE 'closed' END AS status FROM {t}").as_base()
+    searched = Query(from_table("lineitem"), [], "SELECT l_orderkey AS symbol, l_returnflag AS category, l_tax * 50 - l_discount * 20 AS sharpe, 5400 AS n FROM {t}").as_base()
     graduates = Query(FINAL, [], "SELECT symbol, config FROM {t}").as_base()
     upto = "PARTITION BY symbol ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
     # a portfolio that has lost everything stays at nothing
@@ -156,7 +157,7 @@ def declared() -> dict[str, Query]:
     return {
         "lifecycle": states,
         "managed_book": managed(book, graduates, states.as_base()),
-        "category_separation": separation(TRIALS, "CAST(floor(config / 3) AS BIGINT)"),
+        "category_separation": separation(searched, "category"),
         "statistic_agreement": agreement(),
         "null_comparison": against_null(oos("walk_forward", "walk-forward"), null),
         "calibration_merge": merged_calibration(shards),

@@ -10,11 +10,11 @@ from quantloom.operators.kernel import HELD, SHARPE, run
 from quantloom.operators.statistics import expected_max_sharpe
 from quantloom.operators import validation
 from quantloom.operators.validation import GRID, RETURNS, returns
-from quantloom.plans.engine import Base, Query, tally
-from quantloom.sources.bars import BARS, from_table
+from quantloom.plans.engine import Base, Query
+from quantloom.sources.bars import BARS
 
 YEAR = math.sqrt(252)
-HOLDOUT, HOLDOUT_ROWS, RETAIN = 0.2, 252, 5
+HOLDOUT, HOLDOUT_ROWS = 0.2, 252
 
 _SHARPE = f"coalesce({YEAR!r} * avg(net) / nullif(stddev_samp(net), 0), 0.0)"
 
@@ -77,17 +77,7 @@ def declared() -> dict[str, Query]:
             },
         ),
         "leaderboard": Query(_SEARCHED, [], f"SELECT symbol, CAST(config AS BIGINT) AS config, round(sharpe, 6) AS sharpe, round(margin, 6) AS margin, margin > sqrt(1 / years) * sqrt(2 * ln(n_symbols)) AS survives, CAST(row_number() OVER (ORDER BY margin > 0 DESC, round(margin, 9) DESC, symbol) AS BIGINT) AS place FROM {{t}} CROSS JOIN (SELECT count(DISTINCT symbol) AS n_symbols FROM {{t}})"),
-        "retain_recent": Query(TRIALS, [], f"SELECT symbol, CAST(config AS BIGINT) AS config FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY config DESC) AS k FROM {{t}}) WHERE k <= {RETAIN} OR sharpe > 0"),
-        "pool_report": Query(TRIALS, [], f"SELECT count(*) AS n_trials, count(DISTINCT symbol) AS n_symbols, {tally('sharpe > 0')} AS n_positive, round(@pct(sharpe; 0.5)@, 6) AS median, round(@pct(sharpe; 0.95)@, 6) AS p95, round(max(sharpe), 6) AS top FROM {{t}}"),
-        "power_compare": Query(TRIALS, [], "SELECT coalesce(a.symbol, b.symbol) AS symbol, CAST(coalesce(a.config, b.config) AS BIGINT) AS config, round(a.sharpe - b.sharpe, 6) AS gain, a.sharpe IS NOT NULL AND b.sharpe IS NOT NULL AS attributable FROM (SELECT * FROM {t} WHERE config < 6) a FULL OUTER JOIN (SELECT * FROM {t} WHERE config > 2) b ON a.symbol = b.symbol AND a.config = b.config"),
         "forward_score": Query(sma, [], forward, {"held": held}),
-        "book_merge": Query(TRIALS, [], "SELECT symbol, CAST(config AS BIGINT) AS config FROM {t} a WHERE NOT EXISTS (SELECT 1 FROM {t} b WHERE b.symbol = a.symbol AND b.config = a.config AND b.config % 2 = 0)"),
-        "cohorts": Query(TRIALS, [], "SELECT CASE WHEN sharpe > 0 THEN 'positive' WHEN sharpe <= 0 THEN 'negative' ELSE 'unknown' END AS cohort, count(*) AS n, round(avg(sharpe), 6) AS mean_sharpe FROM {t} GROUP BY CASE WHEN sharpe > 0 THEN 'positive' WHEN sharpe <= 0 THEN 'negative' ELSE 'unknown' END"),
         "sizing": Query(sma, [], "SELECT symbol, CAST(CASE WHEN shares < 0 THEN ceil(shares) ELSE floor(shares) END AS BIGINT) AS shares FROM (SELECT symbol, 100000.0 / sum(CASE WHEN p <> 0 THEN 1 ELSE 0 END) OVER (ORDER BY symbol ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) * p / c AS shares FROM (SELECT symbol, max_by(pos, ts) AS p, max_by(close, ts) AS c FROM {t} GROUP BY symbol))"),
-        "reconcile": Query(from_table("customer"), [], """SELECT coalesce(h.k, w.k) AS symbol, coalesce(h.n, 0) AS held, coalesce(w.n, 0) AS wanted, coalesce(w.n, 0) - coalesce(h.n, 0) AS diff,
-            CASE WHEN coalesce(h.n, 0) * coalesce(w.n, 0) < 0 THEN 2 WHEN coalesce(h.n, 0) = coalesce(w.n, 0) THEN 0 ELSE 1 END AS n_orders
-            FROM (SELECT c_nationkey AS k, CAST(sum(sign(c_acctbal)) AS BIGINT) AS n FROM {t} WHERE c_custkey % 2 = 0 GROUP BY c_nationkey) h
-            FULL OUTER JOIN (SELECT c_nationkey AS k, CAST(sum(-sign(c_acctbal)) AS BIGINT) AS n FROM {t} WHERE c_custkey % 3 = 0 GROUP BY c_nationkey) w ON h.k = w.k"""),
         "inception_return": Query(BARS, [], "SELECT symbol, round(max_by(close, ts) / min_by(close, ts) - 1, 6) AS total FROM {t} GROUP BY symbol HAVING count(*) >= 2"),
-        "yield_rate": Query(from_table("orders"), [], f"SELECT round(sum(CASE WHEN o_orderstatus = 'F' THEN 1.0 ELSE 0.0 END) / count(*), 6) AS yield_rate, {tally('o_totalprice > 100000')} AS n_large FROM {{t}}"),
     }
