@@ -159,7 +159,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "retain_recent": lambda s, d: retain_recent(experiments(s, d)).select("experiment_id", "symbol"),
         "pool_merge": lambda s, d: merged(experiments(s, d).select("experiment_id", "version"), trials(s, d).groupBy("experiment_id").agg(F.max("family").alias("version"))),
         "prior_trials": lambda s, d: prior_trials(experiments(s, d)),
-        "rank_experiments": lambda s, d: leaderboard(*both(s, d)).select("symbol", "family", "graduated", "survives", *six("deflated", "holdout_sharpe")),
+        "rank_experiments": lambda s, d: leaderboard(*both(s, d)).select("symbol", "family", "graduated", F.col("survives").cast("string").alias("survives"), *six("deflated", "holdout_sharpe")),
         "near_misses": lambda s, d: near_misses(*both(s, d)).select("symbol", "family", *six("ratio")),
         "pool_report": lambda s, d: summary(*both(s, d)).select("n_experiments", "n_symbols", "n_trials", "n_graduates", "n_leaderboard_graduates", "n_surviving", *six("median_bars", "median_years", "walk_finalists", "walk_graduates")),
         "search_versions": lambda s, d: experiments(s, d).groupBy("version").agg(F.count("*").alias("n")),
@@ -189,7 +189,7 @@ def oracle_sql() -> dict[str, str]:
         "retain_recent": "SELECT experiment_id, symbol FROM e WHERE graduated UNION ALL SELECT experiment_id, symbol FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY created DESC, experiment_id DESC) AS k FROM e WHERE NOT graduated) WHERE k <= 5",
         "pool_merge": "SELECT experiment_id, coalesce(family, version) AS version FROM (SELECT experiment_id, version FROM e) FULL JOIN (SELECT experiment_id, max(family) AS family FROM t GROUP BY 1) USING (experiment_id)",
         "prior_trials": "SELECT symbol, max(lifetime_trials) AS trials FROM e GROUP BY symbol",
-        "rank_experiments": "SELECT symbol, family, graduated, survives, round(deflated, 6) AS deflated, round(holdout_sharpe, 6) AS holdout_sharpe FROM l",
+        "rank_experiments": "SELECT symbol, family, graduated, survives::VARCHAR AS survives, round(deflated, 6) AS deflated, round(holdout_sharpe, 6) AS holdout_sharpe FROM l",
         "near_misses": "SELECT symbol, family, round(ratio, 6) AS ratio FROM (SELECT symbol, family, max(holdout_sharpe / bar) AS ratio FROM j WHERE graduated AND holdout_sharpe <= bar GROUP BY symbol, family) ORDER BY round(ratio, 9) DESC, symbol, family LIMIT 10",
         "pool_report": """SELECT (SELECT count(*) FROM e) AS n_experiments, (SELECT n_symbols FROM n) AS n_symbols, (SELECT CAST(sum(lifetime_trials) AS BIGINT) FROM e) AS n_trials, (SELECT count(*) FROM e WHERE graduated) AS n_graduates,
             (SELECT count(*) FROM l WHERE graduated) AS n_leaderboard_graduates, (SELECT count(*) FROM l WHERE survives) AS n_surviving, (SELECT round(median(n_bars), 6) FROM e) AS median_bars,

@@ -197,7 +197,7 @@ def purged_folds(rows: DataFrame, embargo: dict[str, int]) -> DataFrame:
     return _judged(scored.where("train > 0"), "purged")
 
 
-def validated(rows: DataFrame, families: dict[str, list[Params]]) -> DataFrame:
+def validated(rows: DataFrame, families: dict[str, list[Params]], embargo: dict[str, int] | None = None) -> DataFrame:
     """The validation report of each symbol and family: best candidate, margin, overfitting, stability, walk-forward, purged folds."""
     trials = _moments(rows)
     haircuts = {f: expected_max_sharpe(1.0, len(c)) for f, c in families.items()}
@@ -210,7 +210,7 @@ def validated(rows: DataFrame, families: dict[str, list[Params]]) -> DataFrame:
         "symbol", "family", "best.*", "n_configs", "sharpes", (F.col("best.sharpe") - F.greatest(F.greatest("sd", F.lit(1e-6)) * price[F.col("family")], F.lit(0.0))).alias("margin"),
         (1 / (1 + F.col("sd") / (F.abs("mean") + 1e-9))).alias("stability"),
     )
-    return report.join(overfitting(rows), ["symbol", "family"]).join(walk_forward(rows), ["symbol", "family"]).join(purged_folds(rows, embargoes(families)), ["symbol", "family"], "left")
+    return report.join(overfitting(rows), ["symbol", "family"]).join(walk_forward(rows), ["symbol", "family"]).join(purged_folds(rows, embargo or embargoes(families)), ["symbol", "family"], "left")
 
 
 @F.pandas_udf(DoubleType())
