@@ -184,22 +184,36 @@ def bootstrap(bars: DataFrame, seed: int = 3) -> DataFrame:
     )
 
 
+def _normal_or_none(sharpe: float, bar: float, n: float, skew: float, kurtosis: float) -> float | None:
+    try:
+        return None if any(pd.isna(x) for x in (sharpe, bar, n, skew, kurtosis)) else probabilistic_sharpe(sharpe, bar, int(n), skew, kurtosis)
+    except ValueError:
+        return None
+
+
 @F.pandas_udf(DoubleType())
-def _psr(sharpe: pd.Series, n: pd.Series, skew: pd.Series, kurtosis: pd.Series) -> pd.Series:
-    out = [probabilistic_sharpe(*row) if all(map(np.isfinite, row)) else None for row in zip(sharpe, sharpe * 0, n, skew, kurtosis, strict=True)]
-    return pd.Series(out, dtype="float64")
+def _psr(sharpe: pd.Series, bar: pd.Series, n: pd.Series, skew: pd.Series, kurtosis: pd.Series) -> pd.Series:
+    """Null where the standard error cannot be measured."""
+    return pd.Series([_normal_or_none(*row) for row in zip(sharpe, bar, n, skew, kurtosis, strict=True)], dtype="float64")
+
 
+def probabilistic(returns: DataFrame, bar: float = 0.0) -> DataFrame:
+    """(symbol, psr): probability that the true per-bar Sharpe ratio of ``returns(symbol, net)`` exceeds the bar.
 
-def probabilistic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Probability that each symbol's true Sharpe ratio is above zero; one row per symbol meets Python."""
-    net = run("sma").frame(spark, sf_dir)
-    own = net.groupBy("symbol").agg((F.avg("net") / F.stddev_samp("net")).alias("sharpe"), F.count("*").alias("n"), F.skewness("net").alias("skew"), (F.kurtosis("net") + 3).alias("kurt"))
-    return own.select("symbol", F.round(_psr("sharpe", F.col("n").cast("double"), "skew", "kurt"), 6).alias("psr"))
+    With the bias-corrected moments of the returns; one row a symbol meets Python. A symbol without spread, or of under four bars, has none.
+    """
+    n = F.count("*")
+    own = returns.groupBy("symbol").agg(
+        F.when(F.stddev_samp("net") > 1e-12, F.avg("net") / F.stddev_samp("net")).alias("sharpe"), n.alias("n"),
+        F.when(n >= 4, F.skewness("net") * F.sqrt(n * (n - 1)) / (n - 2)).alias("skew"),
+        F.when(n >= 4, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * F.kurtosis("net") + 6) + 3).alias("kurt"),
+    )
+    return own.select("symbol", F.round(_psr("sharpe", F.lit(bar), F.col("n").cast("double"), "skew", "kurt"), 6).alias("psr"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
-        "probabilistic_sharpe": probabilistic,
+        "probabilistic_sharpe": lambda spark, sf_dir: probabilistic(run("sma").frame(spark, sf_dir)),
         "monte_carlo_risk": lambda spark, _: risk(spark, 0.05, 0.2),
         "null_iid": lambda spark, _: autocorrelated(spark, phi=0.0),
         "ar1_edge": lambda spark, _: autocorrelated(spark),

@@ -9,18 +9,20 @@ from quantloom.operators.signals import trail_inputs
 from quantloom.plans.engine import apply_stages
 
 
+def stepped(held: float, close: float, up: float, down: float, stop: float, cover: float) -> float:
+    """Enter on a breakout, leave on the trailing stop, perhaps re-enter on the same bar; flat while a bound is unknown."""
+    if pd.isna(up) or pd.isna(stop) or pd.isna(cover):
+        return 0.0
+    if held > 0 and close < stop or held < 0 and close > cover:
+        held = 0.0
+    return held or (1.0 if close > up else -1.0 if close < down else 0.0)
+
+
 def _walk(rows: pd.DataFrame) -> pd.DataFrame:
-    """Enter on a breakout, leave on the trailing stop, perhaps re-enter on the same bar."""
     rows = rows.sort_values("ts")
     held, out = 0.0, []
-    for close, up, down, stop, cover in rows[["close", "eh", "el", "long_stop", "short_stop"]].itertuples(index=False):
-        if pd.isna(up) or pd.isna(stop) or pd.isna(cover):
-            held = 0.0
-        else:
-            if held > 0 and close < stop or held < 0 and close > cover:
-                held = 0.0
-            if held == 0:
-                held = 1.0 if close > up else -1.0 if close < down else 0.0
+    for row in rows[["close", "eh", "el", "long_stop", "short_stop"]].itertuples(index=False):
+        held = stepped(held, *row)
         out.append(held)
     return rows[["symbol", "ts"]].assign(signal=out)
 
