@@ -35,7 +35,6 @@ LEAST = 50
 GRAM = 16
 LONGEST = 128
 SHARD_BYTES = 3 << 20
-MAX_BUCKET_BITS = 20
 SORT_STRINGS = 1 << 17
 _SPAN = LEAST - GRAM + 1
 _U = np.uint64
@@ -379,7 +378,7 @@ def repeated_spans(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
     size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = int(size // shard_bytes) + 1
-    bits = min(MAX_BUCKET_BITS, max(3, (shards - 1).bit_length() + 1))
+    bits = min(31, max(3, (shards - 1).bit_length() + 1))  # buckets grow with the shards; 31 bits are six petabytes
     dealt = own.select(F.pmod(F.xxhash64(F.coalesce("doc_id", F.xxhash64("text"))), F.lit(shards)).alias("shard"), "doc_id", "text")
     dealt = dealt.repartition(max(shards, 8), "shard")
     keys = dealt.groupBy("shard").applyInArrow(_send_keys(bits), _SENT)
