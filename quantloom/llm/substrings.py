@@ -380,10 +380,11 @@ def repeated_spans(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame
     shards = int(size // shard_bytes) + 1
     bits = min(31, max(3, (shards - 1).bit_length() + 1))  # buckets grow with the shards; 31 bits are six petabytes
     dealt = own.select(F.pmod(F.xxhash64(F.coalesce("doc_id", F.xxhash64("text"))), F.lit(shards)).alias("shard"), "doc_id", "text")
-    dealt = dealt.repartition(max(shards, 8), "shard")
-    keys = dealt.groupBy("shard").applyInArrow(_send_keys(bits), _SENT)
+    tasks = max(shards, 8)  # fixed, so that a task's input stays a shard's size and is not coalesced with others
+    dealt = dealt.repartition(tasks, "shard")
+    keys = dealt.groupBy("shard").applyInArrow(_send_keys(bits), _SENT).repartition(tasks, "bucket")
     shared = keys.groupBy("bucket").applyInArrow(_shared_keys, _REPLY)
-    sent = dealt.groupBy("shard").cogroup(shared.groupBy("shard")).applyInArrow(_send_phrases(bits), _SENT)
+    sent = dealt.groupBy("shard").cogroup(shared.groupBy("shard")).applyInArrow(_send_phrases(bits), _SENT).repartition(tasks, "bucket")
     lowest = sent.groupBy("bucket").applyInArrow(_lowest_docs, _REPLY)
     return dealt.groupBy("shard").cogroup(shared.unionByName(lowest).groupBy("shard")).applyInArrow(_mark(bits), RESULT)
 
