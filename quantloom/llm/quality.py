@@ -6,7 +6,7 @@ language counts. Short documents have noisy histograms: the word rule only judge
 ``MIN_WORDS`` words on, the class rule from ``MIN_CHARS`` characters on.
 
 Text is scanned by few passes: what is not a lower-case or non-ASCII letter is cut out once and the classes are
-counted in that fifth of the text; the common words are picked out once and counted in what was picked.
+counted in that fifth of the text; the common words are picked out once, and only those that occur are counted.
 """
 
 from __future__ import annotations
@@ -103,11 +103,23 @@ def js_distance(counts: str, shares: list[float], total: str) -> Column:
     return F.expr(f"sqrt(greatest(aggregate(zip_with({counts}, {reference}, (n, q) -> {term}), 0D, (a, x) -> a + x) / 2, 0D))")
 
 
-def _word_counts(words: list[str]) -> str:
-    """Counts of the words in q_common, where each word stands between spaces of its own, and of all others."""
-    listed = ", ".join(f"' {w} '" for w in words)
-    counts = f"transform(array({listed}), w -> (octet_length(q_common) - octet_length(replace(q_common, w, ''))) div octet_length(w))"
-    return f"concat({counts}, array(n_words - aggregate({counts}, 0L, (a, n) -> a + n)))"
+#: Each common word that occurs, with its count: as many as the array loses without it.
+_COUNTED = "transform(array_distinct(q_common), w -> struct(w, CAST(size(q_common) - size(array_remove(q_common, w)) AS BIGINT) AS n))"
+
+
+def word_distance(language: Language) -> Column:
+    """Jensen-Shannon distance of the common words' counts q_counts, and of all other words, over n_words.
+
+    A word that does not occur adds its reference share, so only those that do are gone through.
+    """
+    *shares, other = language.word_shares()
+    total = "greatest(n_words, 1L)"
+    share = f"map({', '.join(f"'{w}', {q!r}D" for w, q in zip(language.common, shares, strict=True))})"
+    both = lambda n, q: f"({n} / {total} * log2({n} / {total} / (({n} / {total} + {q}) / 2)) + {q} * log2({q} / (({n} / {total} + {q}) / 2)))"
+    known = f"filter(transform(q_counts, x -> struct(x.n AS n, try_element_at({share}, x.w) AS q)), x -> x.q IS NOT NULL)"
+    step = f"(a, x) -> named_struct('d', a.d + {both('x.n', 'x.q')}, 'q', a.q + x.q, 'n', a.n + x.n)"
+    rest = f"(CASE WHEN n_words > a.n THEN {both('(n_words - a.n)', f'{other!r}D')} ELSE {other!r}D END)"
+    return F.expr(f"aggregate({known}, named_struct('d', 0D, 'q', 0D, 'n', 0L), {step}, a -> sqrt(greatest((a.d + {sum(shares)!r}D - a.q + {rest}) / 2, 0D)))")
 
 
 def judged(docs: DataFrame, languages: dict[str, Language] | None = None) -> DataFrame:
@@ -130,14 +142,14 @@ def judged(docs: DataFrame, languages: dict[str, Language] | None = None) -> Dat
     staged = staged.withColumns({
         "q_hashes": F.expr(_HASHES),
         "q_bare": F.regexp_replace("q_rest", f"[{_SPACE}]+", ""),
-        "q_common": F.concat(F.lit(" "), F.array_join(F.filter(F.transform("q_words", lambda w: F.lower(w)), lambda w: w.isin(every)), "  "), F.lit(" ")),
+        "q_common": F.filter(F.transform("q_words", lambda w: F.lower(w)), lambda w: w.isin(every)),
         "n_words": F.size("q_words").cast("long"),
     })
     staged = staged.withColumns({
         "q_sorted": F.expr(f"CASE WHEN size(array_distinct(q_hashes)) < size(q_hashes) THEN {_SORTED} END"),
         **{f"q_{k}": count_of(F.col("q_bare"), c).cast("long") for k, c in CLASSES.items()},
         "q_space": (F.length("q_rest") - F.length("q_bare")).cast("long"),
-        **{f"q_in_{x}": F.expr(_word_counts(own.common)) for x, own in languages.items()},
+        "q_counts": F.expr(_COUNTED),
     })
     staged = staged.withColumns({
         "word_chars": F.col("q_chars") - F.col("q_space"),
@@ -148,14 +160,14 @@ def judged(docs: DataFrame, languages: dict[str, Language] | None = None) -> Dat
         ),
     })
     by_class = [js_distance("q_classes", x.class_shares(), "greatest(q_chars, 1L)") for x in languages.values()]
-    by_word = [js_distance(f"q_in_{k}", x.word_shares(), "greatest(n_words, 1L)") for k, x in languages.items()]
+    by_word = [word_distance(x) for x in languages.values()]
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return (
         staged.withColumns({"class_distance": F.round(F.least(*by_class), 6), "word_distance": F.round(F.least(*by_word), 6), "base_failed": failed})
         .withColumn("kept", ~F.col("base_failed")
             & ((F.col("q_chars") < MIN_CHARS) | (F.col("class_distance") <= MAX_CLASS_DISTANCE))
             & ((F.col("n_words") < MIN_WORDS) | (F.col("word_distance") <= MAX_WORD_DISTANCE)))
-        .drop("q_text", "q_words", "q_hashes", "q_sorted", "q_common", "q_chars", "q_rest", "q_bare", "q_space", "q_classes", *[f"q_{k}" for k in CLASSES], *[f"q_in_{k}" for k in languages])
+        .drop("q_text", "q_words", "q_hashes", "q_sorted", "q_common", "q_chars", "q_rest", "q_bare", "q_space", "q_classes", "q_counts", *[f"q_{k}" for k in CLASSES])
     )
 
 
