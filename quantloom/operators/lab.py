@@ -78,6 +78,8 @@ def declared() -> dict[str, Query]:
         ),
         "leaderboard": Query(_SEARCHED, [], f"SELECT symbol, CAST(config AS BIGINT) AS config, round(sharpe, 6) AS sharpe, round(margin, 6) AS margin, margin > sqrt(1 / years) * sqrt(2 * ln(n_symbols)) AS survives, CAST(row_number() OVER (ORDER BY margin > 0 DESC, round(margin, 9) DESC, symbol) AS BIGINT) AS place FROM {{t}} CROSS JOIN (SELECT count(DISTINCT symbol) AS n_symbols FROM {{t}})"),
         "forward_score": Query(sma, [], forward, {"held": held}),
-        "sizing": Query(sma, [], "SELECT symbol, CAST(CASE WHEN shares < 0 THEN ceil(shares) ELSE floor(shares) END AS BIGINT) AS shares FROM (SELECT symbol, 100000.0 / sum(CASE WHEN p <> 0 THEN 1 ELSE 0 END) OVER (ORDER BY symbol ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) * p / c AS shares FROM (SELECT symbol, max_by(pos, ts) AS p, max_by(close, ts) AS c FROM {t} GROUP BY symbol))"),
+        "sizing": Query(sma, [], """SELECT symbol, CAST(CASE WHEN shares < 0 THEN ceil(shares) ELSE floor(shares) END AS BIGINT) AS shares FROM (SELECT symbol, 100000.0 / k * p / c AS shares
+            FROM (SELECT symbol, max_by(pos, ts) AS p, max_by(close, ts) AS c FROM {t} GROUP BY symbol)
+            CROSS JOIN (SELECT sum(CASE WHEN p <> 0 THEN 1 ELSE 0 END) AS k FROM (SELECT max_by(pos, ts) AS p FROM {t} GROUP BY symbol)))"""),
         "inception_return": Query(BARS, [], "SELECT symbol, round(max_by(close, ts) / min_by(close, ts) - 1, 6) AS total FROM {t} GROUP BY symbol HAVING count(*) >= 2"),
     }

@@ -17,7 +17,9 @@ from quantloom.sources.bars import BARS
 
 GRID = [(f, s) for f in (10, 20, 30) for s in (50, 100, 200)]
 YEAR = math.sqrt(252)
-GROUPS, FOLDS, EMBARGO = 10, 5, 200
+GROUPS, FOLDS = 10, 5
+#: The longest lookback of the grid, two bars at least.
+EMBARGO = max(2, *(w for g in GRID for w in g))
 
 
 def grid_stages() -> list[Stage]:
@@ -67,11 +69,12 @@ def _selected(scored: str, split: str) -> str:
 
 
 def _purged() -> str:
-    start, end = f"floor(k * n / {FOLDS})", f"floor((k + 1) * n / {FOLDS})"
-    inside = f"i >= {start} AND i < {end}"
-    train = f"i < {start} - {EMBARGO} OR i >= {end} + {EMBARGO}"
-    rows = "SELECT symbol, config, i, n, k, 1 AS c, net AS s, net * net AS q FROM {t} CROSS JOIN {steps}"
-    agg = f"SELECT symbol, config, k, {sums(train, 'a')}, {sums(inside, 'b')} FROM ({rows}) GROUP BY symbol, config, k"
+    """Rows fall into the fold that they belong to and the set of folds that may train on them; only those sums meet the folds."""
+    start = [f"floor({k} * n / {FOLDS})" for k in range(FOLDS + 1)]
+    own = "CASE " + " ".join(f"WHEN i < {start[k + 1]} THEN {k}" for k in range(FOLDS)) + " END"
+    far = " + ".join(f"CASE WHEN i < {start[k]} - {EMBARGO} OR i >= {start[k + 1]} + {EMBARGO} THEN {1 << k} ELSE 0 END" for k in range(FOLDS))
+    dealt = f"SELECT symbol, config, own, far, count(*) AS c, sum(net) AS s, sum(net * net) AS q FROM (SELECT symbol, config, net, {own} AS own, {far} AS far FROM {{t}}) GROUP BY symbol, config, own, far"
+    agg = f"SELECT symbol, config, k, {sums('@bit(far; CAST(k AS INT))@ = 1', 'a')}, {sums('own = k', 'b')} FROM ({dealt}) CROSS JOIN {{steps}} GROUP BY symbol, config, k"
     return f"SELECT symbol, config, k, {ratio('a_n', 'a_s', 'a_q')} * {YEAR!r} AS tr, {ratio('b_n', 'b_s', 'b_q')} * {YEAR!r} AS te FROM ({agg}) WHERE a_n > 0"
 
 
