@@ -12,6 +12,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table of fewer filled partitions than the cluster has cores (a few row groups), dealt out to all of them; any other as it is.
+
+    Only small tables are moved; a table of many files is not even counted.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if len(df.inputFiles()) >= cores or df.select(F.spark_partition_id().alias("p")).distinct().count() >= cores:
+        return df
+    return df.repartition(cores)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's checkpoint folder; only a local session that sets none (tests) gets one here."""
     sc = spark.sparkContext

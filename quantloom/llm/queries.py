@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quantloom.llm import decontam, html, langid, licenses, mixing, quality, secrets, sharding, simhash, substrings
-from quantloom.llm.common import table
+from quantloom.llm.common import spread, table
 
 
 def _over(name: str, operator: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: operator(table(spark, sf_dir, name))
+    return lambda spark, sf_dir: operator(spread(table(spark, sf_dir, name)))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,7 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_substring_dedup": _over("documents", substrings.deduplicate),
         "op6_quality_rules": _over("documents", quality.quality),
         "op7_simhash_dedup": _over("documents", simhash.near_duplicates),
-        "op8_decontamination": lambda spark, sf_dir: decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
+        "op8_decontamination": lambda spark, sf_dir: decontam.decontaminate(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark")),
         "op9_language_id": _over("documents", langid.identify),
         "op10_secret_scan": _over("documents", secrets.scan_secrets),
     }

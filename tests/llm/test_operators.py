@@ -536,6 +536,16 @@ def test_shared_lines_is_a_longest_common_subsequence():
         assert len(kept) == best[-1][-1] and all(x in it for x in kept)
 
 
+def test_spread_deals_out_small_tables_only(spark, tmp_path):
+    from quantloom.llm.common import spread
+
+    spark.range(100).coalesce(1).write.parquet(str(tmp_path / "one"))
+    spark.range(100).repartition(4).write.parquet(str(tmp_path / "many"))
+    one, many = (spark.read.parquet(str(tmp_path / n)) for n in ("one", "many"))
+    assert spread(one).select(mixing.F.spark_partition_id()).distinct().count() == 4 and spread(one).count() == 100
+    assert spread(many) is many
+
+
 def test_connected_components(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, x) for x in range(101, 140)] + [(7, 7), (200, 201), (201, 200)]
     out = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
