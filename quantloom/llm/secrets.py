@@ -12,7 +12,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cache, cached_property
+from functools import cache, cached_property, reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -154,6 +155,13 @@ def parse(pattern: str) -> tuple:
     return choice()
 
 
+def _bits(x: int) -> Iterator[int]:
+    while x:
+        low = x & -x
+        yield low.bit_length() - 1
+        x ^= low
+
+
 def compile_dfa(patterns: list[str], *, search: bool, backwards: bool = False) -> tuple[np.ndarray, np.ndarray, int]:
     """(next state [states, 256], accepted patterns as bits, start); state 0 is dead.
 
@@ -166,38 +174,42 @@ def compile_dfa(patterns: list[str], *, search: bool, backwards: bool = False) -
         nfa.eps[root].append(a)
         nfa.accept[b] = 1 << k
 
-    def close(states: set[int]) -> frozenset[int]:
-        todo, seen = list(states), set(states)
+    keep = sum(1 << s for s in range(len(nfa.eps)) if nfa.arcs[s] or s in nfa.accept)
+
+    def close(state: int) -> int:
+        """States reachable without a byte, as bits; only those that read or accept count."""
+        todo, seen = [state], 1 << state
         while todo:
             for t in nfa.eps[todo.pop()]:
-                if t not in seen:
-                    seen.add(t)
+                if not seen >> t & 1:
+                    seen |= 1 << t
                     todo.append(t)
-        return frozenset(s for s in seen if nfa.arcs[s] or s in nfa.accept)
+        return seen & keep
 
     # bytes that no set tells apart form one class
     sets = list({s for arcs in nfa.arcs for s, _ in arcs})
     signature: dict[tuple[bool, ...], int] = {}
     cls = np.array([signature.setdefault(tuple(b in s for s in sets), len(signature)) for b in range(256)])
     sample = [int(np.flatnonzero(cls == k)[0]) for k in range(len(signature))]
-    start = close({root})
-    number, rows, order = {frozenset(): 0, start: 1}, [], [frozenset(), start]
+    start = close(root)
+    # what each state reads: (class, states behind it)
+    moves = [[(k, reduce(or_, own)) for k, c in enumerate(sample) if (own := [close(t) for members, t in arcs if c in members])] for arcs in nfa.arcs]
+    number, rows, order = {0: 0, start: 1}, [], [0, start]
     for now in order:
         if not now:
             rows.append([0] * len(sample))
             continue
-        row = []
-        for b in sample:
-            to = close({t for s in now for members, t in nfa.arcs[s] if b in members})
-            if search:
-                to |= start
-            if to not in number:
-                number[to] = len(order)
-                order.append(to)
-            row.append(number[to])
-        rows.append(row)
+        to = [start if search else 0] * len(sample)
+        for s in _bits(now):
+            for k, behind in moves[s]:
+                to[k] |= behind
+        for x in to:
+            if x not in number:
+                number[x] = len(order)
+                order.append(x)
+        rows.append([number[x] for x in to])
     step = np.array(rows)
-    bits = np.array([sum({nfa.accept[s] for s in now if s in nfa.accept}) for now in order])
+    bits = np.array([sum({nfa.accept[s] for s in _bits(now) if s in nfa.accept}) for now in order])
 
     # minimise: refine the partition by accepted patterns until no step tells two states apart
     block = np.unique(bits, return_inverse=True)[1]
