@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quantloom.llm import decontam, html, langid, licenses, mixing, quality, secrets, sharding, simhash, spelling, substrings
+from quantloom.llm import decontam, html, langid, licenses, mixing, negatives, phrases, quality, secrets, sharding, simhash, spelling, substrings
 from quantloom.llm.common import spread, table
 
 
@@ -26,6 +26,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_decontamination": lambda spark, sf_dir: decontam.decontaminate(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark")),
         "op9_language_id": _over("documents", langid.identify),
         "op10_secret_scan": _over("documents", secrets.scan_secrets),
+        "op11_phrase_fingerprints": _over("documents", phrases.neighbours),
+        "op12_hard_negatives": _over("embeddings", negatives.mined),
         "op13_spelling_variants": _over("documents", spelling.variants),
     }
 
@@ -36,5 +38,6 @@ def oracle_sql() -> dict[str, str]:
         "op3_source_mixing": mixing.oracle_sql(),
         "op4_sharding": sharding.oracle_sql(),
         "op6_quality_rules": quality.oracle_sql(),
+        "op12_hard_negatives": negatives.oracle_sql(),
         "op13_spelling_variants": spelling.oracle_sql(),
     }
