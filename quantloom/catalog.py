@@ -9,9 +9,8 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 
 from quantloom.operators import book, data_quality, factors, fundamentals, kernel, lab, pool, quality_checks, simulation, validation, valuation
-from quantloom.operators.signals import SIGNALS
-from quantloom.operators.stateful import donchian_atr_trail
-from quantloom.plans import calibration, panel_search, search
+from quantloom.operators.signals import SIGNALS, trail_fold_sql
+from quantloom.plans import calibration, hunt, panel_search, search
 from quantloom.plans.engine import Query
 from quantloom.sources import edgar
 from quantloom.sources.bars import BARS
@@ -33,8 +32,8 @@ def _declared() -> dict[str, Query]:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {**_declared(), "sig_donchian_atr_trail": lambda spark, sf_dir: donchian_atr_trail(BARS.frame(spark, sf_dir)), **edgar.queries(), **fundamentals.queries(), **pool.queries(), **quality_checks.queries(), **search.queries(), **panel_search.queries(), **calibration.queries(), **simulation.queries()}
+    return {**_declared(), **edgar.queries(), **fundamentals.queries(), **pool.queries(), **quality_checks.queries(), **search.queries(), **panel_search.queries(), **hunt.queries(), **calibration.queries(), **simulation.queries()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: q.sql() for name, q in _declared().items()} | edgar.oracle_sql() | fundamentals.oracle_sql() | pool.oracle_sql() | quality_checks.oracle_sql() | search.oracle_sql() | panel_search.oracle_sql()
+    return {name: q.sql() for name, q in _declared().items()} | {"sig_donchian_atr_trail": trail_fold_sql(BARS.sql)} | edgar.oracle_sql() | fundamentals.oracle_sql() | pool.oracle_sql() | quality_checks.oracle_sql() | search.oracle_sql() | panel_search.oracle_sql() | hunt.oracle_sql() | simulation.oracle_sql()

@@ -6,9 +6,8 @@ from quantloom.plans.engine import KEYED
 
 
 def roll(agg: str, x: str, n: int, least: int | None = None) -> str:
-    """Aggregate of the last n rows, null until n (or ``least``) of them have a value."""
-    frame = f"({KEYED} ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
-    return f"CASE WHEN count({x}) OVER {frame} >= {least or n} THEN {agg}({x}) OVER {frame} END"
+    """Aggregate of the last n rows of a column, null until n (or ``least``) of them have a value."""
+    return f"@roll({agg}; {x}; {n}; {least or n})@"
 
 
 def before(agg: str, x: str, n: int) -> str:

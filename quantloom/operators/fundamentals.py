@@ -301,13 +301,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
-def oracle_sql() -> dict[str, str]:
-    """The rules in the other engine's SQL, from the line items on."""
+def base_sql() -> str:
+    """The rules in the other engine's SQL, from the line items on: the common tables, r the records."""
     filed = {"revenue": "Revenues", "cogs": "CostOfRevenue", "ni": "NetIncomeLoss", "ocf": "NetCashProvidedByUsedInOperatingActivities", "capex": "PaymentsToAcquirePropertyPlantAndEquipment", "ta": "Assets",
         "ca": "AssetsCurrent", "cl": "LiabilitiesCurrent", "ltd": "LongTermDebtNoncurrent", "re": "RetainedEarningsAccumulatedDeficit", "eq": "StockholdersEquity",
         "sh": "WeightedAverageNumberOfDilutedSharesOutstanding", "eps": "EarningsPerShareDiluted"}
     sums = ", ".join(f"round(CAST({_FILED[tag]} AS DOUBLE), 4) AS {c}" for c, tag in filed.items())
-    base = f"""WITH y AS (SELECT 'S' || lpad(l_suppkey::VARCHAR, 6, '0') AS symbol, CAST(year(l_shipdate) AS INT) AS fy, {sums} FROM lineitem GROUP BY ALL),
+    return f"""WITH y AS (SELECT 'S' || lpad(l_suppkey::VARCHAR, 6, '0') AS symbol, CAST(year(l_shipdate) AS INT) AS fy, {sums} FROM lineitem GROUP BY ALL),
         h AS (SELECT *, revenue - cogs AS gp, ocf - capex AS fcf, row_number() OVER (PARTITION BY symbol ORDER BY fy DESC) AS back FROM y),
         t AS (SELECT * FROM h WHERE back = 1), p AS (SELECT * FROM h WHERE back = 2),
         d AS (SELECT 'S' || lpad(l_suppkey::VARCHAR, 6, '0') AS symbol, CAST(l_shipdate AS DATE) AS ts, round(avg(l_extendedprice / l_quantity) / 100 + 1e-9, 6) AS close FROM lineitem GROUP BY ALL),
@@ -335,6 +335,10 @@ def oracle_sql() -> dict[str, str]:
             FROM mm JOIN v USING (symbol)),
         r AS (SELECT fs.symbol, fs.fy, quality, undervaluation AS value, quality * undervaluation AS combined, f_score, margin_of_safety FROM fs JOIN qs USING (symbol) LEFT JOIN vs USING (symbol))
         """
+
+
+def oracle_sql() -> dict[str, str]:
+    base = base_sql()
     six = lambda *names: ", ".join(f"round({n}, 6) AS {n}" for n in names)
     joined = lambda *pairs: "array_to_string(list_filter([" + ", ".join(f"CASE WHEN {c} THEN '{name}' END" for name, c in pairs) + "], lambda x: x IS NOT NULL), '; ')"
     hard = "coalesce(t.ni < 0 AND t.ocf < 0, false) AND (coalesce(leverage > 1, false) OR coalesce(current_ratio < 1, false))"

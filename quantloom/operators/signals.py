@@ -9,7 +9,7 @@ from __future__ import annotations
 import math
 
 from quantloom.functions.windows import before, clip, prev, roll, side, sign
-from quantloom.plans.engine import UPTO, Ewm, Stage
+from quantloom.plans.engine import UPTO, Ewm, Stage, stages_sql
 
 TRUE_RANGE = f"greatest(high - low, abs(high - {prev('close')}), abs(low - {prev('close')}))"
 YEAR = 252
@@ -313,6 +313,49 @@ def trail_inputs(entry: int = 20, atr: int = 22, multiplier: float = 3.0) -> lis
     ]
 
 
+def donchian_atr_trail(entry: int = 20, atr: int = 22, multiplier: float = 3.0) -> list[Stage]:
+    """Enter on a breakout, leave on the trailing stop, perhaps re-enter on the same bar; flat while a bound is unknown.
+
+    The position is an automaton of three states that needs no fold, for it is a cascade of two that only ever reset.
+    A bar maps positions: a bound unknown, both stops hit, or an entry while the other side's stop is hit (``fixed``) leave one; else
+    an entry takes only the flat to its side, and a stop takes only its own side to flat. What is left possible after an entry is
+    long or short (pair 0), after a long stop flat or short (1), after a short stop long or flat (2): the last event tells the
+    pair. Within it the position is the upper or the lower one, and a bar either keeps that or, if what it moves is all
+    that the pair before held, sets it: again the last such event tells.
+    """
+    up, down = "close > eh", "close < el"
+    return [
+        *trail_inputs(entry, atr, multiplier),
+        {
+            "known": "eh IS NOT NULL AND long_stop IS NOT NULL AND short_stop IS NOT NULL",
+            "side": side(up, down), "out_long": "coalesce(close < long_stop, false)", "out_short": "coalesce(close > short_stop, false)",
+        },
+        {"fixed": "CASE WHEN NOT known THEN 0.0 WHEN out_long AND out_short OR side > 0 AND out_short OR side < 0 AND out_long THEN side END"},
+        {"event": "CASE WHEN fixed = 0 THEN 1 WHEN fixed IS NOT NULL OR side <> 0 THEN 0 WHEN out_long THEN 1 WHEN out_short THEN 2 END"},
+        {"pair": "coalesce(@ffill(event)@, 1)"},
+        {"was": f"coalesce({prev('pair')}, 1)"},
+        {
+            "set_upper": "CASE WHEN fixed IS NOT NULL THEN CASE WHEN fixed < 0 THEN 0 ELSE 1 END WHEN was = 2 AND (side > 0 OR side = 0 AND out_long) THEN 1 "
+            "WHEN was = 1 AND (side < 0 OR side = 0 AND out_short) THEN 0 END",
+        },
+        {"upper": "coalesce(@ffill(set_upper)@, 1)"},
+        {"signal": "CASE WHEN pair = 0 THEN CASE WHEN upper = 1 THEN 1.0 ELSE -1.0 END WHEN pair = 1 THEN CASE WHEN upper = 1 THEN 0.0 ELSE -1.0 END ELSE CASE WHEN upper = 1 THEN 1.0 ELSE 0.0 END END"},
+    ]
+
+
+def trail_fold_sql(bars: str) -> str:
+    """The same rule in the other engine as what it says, bar after bar: a fold over each symbol's list of bars."""
+    step = """list_append(a, CASE WHEN v[1].eh IS NULL OR v[1].ls IS NULL OR v[1].ss IS NULL THEN {'c': 0.0, 'eh': 0.0, 'el': 0.0, 'ls': 0.0, 'ss': 0.0, 'p': 0.0}
+        WHEN NOT (a[-1].p > 0 AND v[1].c < v[1].ls OR a[-1].p < 0 AND v[1].c > v[1].ss) AND a[-1].p <> 0 THEN {'c': 0.0, 'eh': 0.0, 'el': 0.0, 'ls': 0.0, 'ss': 0.0, 'p': a[-1].p}
+        WHEN v[1].c > v[1].eh THEN {'c': 0.0, 'eh': 0.0, 'el': 0.0, 'ls': 0.0, 'ss': 0.0, 'p': 1.0}
+        WHEN v[1].c < v[1].el THEN {'c': 0.0, 'eh': 0.0, 'el': 0.0, 'ls': 0.0, 'ss': 0.0, 'p': -1.0} ELSE {'c': 0.0, 'eh': 0.0, 'el': 0.0, 'ls': 0.0, 'ss': 0.0, 'p': 0.0} END)"""
+    fed = stages_sql(bars, trail_inputs())
+    first = "[[{'c': 0.0, 'eh': 0.0, 'el': 0.0, 'ls': 0.0, 'ss': 0.0, 'p': 0.0}]]"
+    rows = "list_transform(list({'c': close, 'eh': eh, 'el': el, 'ls': long_stop, 'ss': short_stop, 'p': 0.0} ORDER BY ts), lambda v: [v])"
+    return f"""SELECT symbol, CAST(ts AS VARCHAR) AS ts, row.p AS signal FROM (SELECT symbol, unnest(tss) AS ts, unnest(walked[2:]) AS row FROM
+        (SELECT symbol, list(ts ORDER BY ts) AS tss, list_reduce(list_concat({first}, {rows}), lambda a, v: {step}) AS walked FROM {fed} GROUP BY symbol))"""
+
+
 SIGNALS = {
     f.__name__: f
     for f in (
@@ -320,6 +363,6 @@ SIGNALS = {
         vol_targeted_sma, trend_filtered_mean_reversion, triple_ma_alignment, williams_r, cci, stochastic_oscillator, trix, aroon,
         chaikin_money_flow, vwap_reversion, adx, connors_rsi, fifty_two_week_high, ultimate_oscillator, vol_managed_momentum,
         residual_momentum, overnight_gap, squeeze_breakout, atr_channel_breakout, dual_momentum, regime_filtered_trend,
-        coppock_curve, true_strength_index, chande_momentum, narrow_range_breakout,
+        coppock_curve, true_strength_index, chande_momentum, narrow_range_breakout, donchian_atr_trail,
     )
 }

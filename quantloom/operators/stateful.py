@@ -1,12 +1,8 @@
-"""Signals that walk a state machine: native windows feed one fold per symbol."""
+"""The trailing stop's position one bar at a time, for streams; over stored bars it is a signal of windows."""
 
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
-
-from quantloom.operators.signals import trail_inputs
-from quantloom.plans.engine import apply_stages
 
 
 def stepped(held: float, close: float, up: float, down: float, stop: float, cover: float) -> float:
@@ -16,18 +12,3 @@ def stepped(held: float, close: float, up: float, down: float, stop: float, cove
     if held > 0 and close < stop or held < 0 and close > cover:
         held = 0.0
     return held or (1.0 if close > up else -1.0 if close < down else 0.0)
-
-
-def _walk(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values("ts")
-    held, out = 0.0, []
-    for row in rows[["close", "eh", "el", "long_stop", "short_stop"]].itertuples(index=False):
-        held = stepped(held, *row)
-        out.append(held)
-    return rows[["symbol", "ts"]].assign(signal=out)
-
-
-def donchian_atr_trail(bars: DataFrame, **params: float) -> DataFrame:
-    """(symbol, ts, signal). The fold has one symbol's bars at a time: a few thousand rows."""
-    fed = apply_stages(bars, trail_inputs(**params)).select("symbol", "ts", "close", "eh", "el", "long_stop", "short_stop")
-    return fed.groupBy("symbol").applyInPandas(_walk, "symbol string, ts date, signal double")

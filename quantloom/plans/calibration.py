@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quantloom.operators.factors import ALL_BARS
 from quantloom.operators.kernel import YEAR
 from quantloom.operators.pool import null_bar
 from quantloom.operators.simulation import autocorrelated
@@ -55,8 +56,8 @@ def power(verdicts: DataFrame, oracle: DataFrame) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     six = lambda df: df.select(*[F.round(c, 6).alias(c) if t == "double" else c for c, t in df.dtypes])
-    run = lambda s, phi: judged(autocorrelated(s, phi=phi), FAMILIES, BUDGET, keep=search._kept)
+    run = lambda s, d, phi: judged(autocorrelated(ALL_BARS.frame(s, d), phi=phi), FAMILIES, BUDGET, keep=search._kept)
     return {
-        "calibrate_gate": lambda s, _: six(calibrated(run(s, 0.0))),
-        "measure_power": lambda s, _: six(calibrated(run(s, 0.3))),
+        "calibrate_gate": lambda s, d: six(calibrated(run(s, d, 0.0))),
+        "measure_power": lambda s, d: six(calibrated(run(s, d, 0.3))),
     }

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import itertools
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -53,11 +52,10 @@ def returns(panel: DataFrame, families: dict[str, list[Params]], cost: float = f
     listed = [(f, c, dict(p)) for f, configs in families.items() for c, p in enumerate(configs)]
     signals: dict[tuple, int] = {}
     at = [signals.setdefault((f, *sorted((k, v) for k, v in p.items() if k != "quantile")), len(signals)) for f, _, p in listed]
-    made = [search._numbered(FACTORS[key[0]][0](**dict(key[1:])), k) for key, k in signals.items()]
-    stages = [reduce(dict.__or__, (own[d] for own in made if d < len(own))) for d in range(max(map(len, made)))]
+    stages, scores = search.shared([FACTORS[key[0]][0](**dict(key[1:])) for key in signals], "score")
     by_time = Window.partitionBy("symbol").orderBy("ts")
     wide = apply_stages(panel.withColumn("own", F.coalesce(F.col("close") / F.lag("close").over(by_time) - 1, F.lit(0.0))), stages)
-    rows = F.array(*[F.struct(F.lit(k).alias("signal"), F.col(f"score__{k}").alias("score")) for k in signals.values()])
+    rows = F.array(*[F.struct(F.lit(k).alias("signal"), F.col(score).alias("score")) for k, score in enumerate(scores)])
     long = wide.select("symbol", "ts", "own", F.explode(rows).alias("row")).select("symbol", "ts", "own", "row.*")
     date = Window.partitionBy("signal", "ts")
     place = F.row_number().over(Window.partitionBy("signal", "ts", F.col("score").isNull()).orderBy(F.round("score", 12), "symbol"))

@@ -24,7 +24,6 @@ from quantloom.operators.factors import ALL_BARS
 from quantloom.operators.grid import CATALOG, Params, allocate, canonical, space_filling
 from quantloom.operators.kernel import COST, YEAR, run
 from quantloom.operators.signals import SIGNALS
-from quantloom.operators.stateful import donchian_atr_trail
 from quantloom.operators.statistics import expected_max_sharpe, probabilistic_sharpe
 from quantloom.plans.engine import Base, Ewm, RunningProduct, Stage, apply_stages
 
@@ -59,18 +58,36 @@ def split(bars: DataFrame) -> DataFrame:
     return counted.where(F.col("n") - tail >= HEAD_ROWS).withColumn("part", F.when(F.col("i") >= F.col("n") - tail, "holdout").otherwise("head"))
 
 
-def _numbered(stages: list[Stage], k: int) -> list[Stage]:
-    """The stages with every column that they make marked by k."""
-    names = sorted({name for stage in stages for name in stage}, key=len, reverse=True)
-    made = re.compile(rf"(?<![\w.'])({'|'.join(map(re.escape, names))})\b(?!\s*\()")
-    mark = lambda text: made.sub(rf"\1__{k}", text)
+def _renamed(e: object, names: dict[str, str]) -> object:
+    """The expression with the columns of earlier stages by their shared names."""
+    if not names:
+        return e
+    made = re.compile(rf"(?<![\w.'])({'|'.join(map(re.escape, sorted(names, key=len, reverse=True)))})\b(?!\s*\()")
+    mark = lambda text: made.sub(lambda m: names[m[1]], text)
+    if isinstance(e, Ewm):
+        return Ewm(mark(e.column), e.alpha)
+    return RunningProduct(mark(e.column)) if isinstance(e, RunningProduct) else mark(e)
 
-    def moved(e: object) -> object:
-        if isinstance(e, Ewm):
-            return Ewm(mark(e.column), e.alpha)
-        return RunningProduct(mark(e.column)) if isinstance(e, RunningProduct) else mark(e)
 
-    return [{f"{name}__{k}": moved(e) for name, e in stage.items()} for stage in stages]
+def shared(candidates: list[list[Stage]], last: str = "signal") -> tuple[list[Stage], list[str]]:
+    """The stages of all candidates as one list, and the column of each one's ``last``.
+
+    What several candidates compute alike (true ranges, averages of the same window) is computed once.
+    """
+    stages: list[Stage] = [{} for _ in range(max(map(len, candidates)))]
+    known: dict[object, str] = {}
+    names: list[dict[str, str]] = [{} for _ in candidates]
+    for depth in range(len(stages)):
+        for k, own in enumerate(candidates):
+            if depth >= len(own):
+                continue
+            moved = {name: _renamed(e, names[k]) for name, e in own[depth].items()}
+            for name, e in moved.items():
+                if e not in known:
+                    known[e] = f"{name}__{len(known)}"
+                    stages[depth][known[e]] = e
+            names[k] |= {name: known[e] for name, e in moved.items()}
+    return [stage for stage in stages if stage], [own[last] for own in names]
 
 
 def _net(position: Column, ret: Column, w: Window) -> Column:
@@ -90,21 +107,11 @@ def returns(bars: DataFrame, families: dict[str, list[Params]]) -> DataFrame:
         "ret": F.coalesce(F.col("close") / F.lag("close").over(w) - 1, F.lit(0.0)), "i": F.row_number().over(w) - 1, "n": F.count("*").over(Window.partitionBy("symbol")),
     })
     listed = [(family, config, params) for family, configs in families.items() for config, params in enumerate(configs)]
-    native = [(k, *x) for k, x in enumerate(listed) if x[0] in SIGNALS]
-    parts = []
-    if native:
-        made = [_numbered(SIGNALS[family](**params), k) for k, family, _, params in native]
-        stages = [reduce(dict.__or__, (own[d] for own in made if d < len(own))) for d in range(max(map(len, made)))]
-        wide = apply_stages(based, stages).withColumns({f"pos__{k}": _clipped(F.col(f"signal__{k}")) for k, *_ in native})
-        rows = [F.struct(F.lit(f).alias("family"), F.lit(c).alias("config"), _net(F.col(f"pos__{k}"), F.col("ret"), w).alias("net")) for k, f, c, _ in native]
-        nets = wide.withColumn("rows", F.array(*rows)).select("symbol", "ts", "i", "n", "ret", F.explode("rows").alias("row"))
-        parts.append(nets.select("symbol", "row.family", "row.config", "ts", "i", "n", "ret", "row.net"))
-    for family, config, params in listed:
-        if family not in SIGNALS:  # the stateful signal comes by a fold
-            signal = donchian_atr_trail(bars.drop("i", "n", "part"), **params)
-            net = based.join(signal, ["symbol", "ts"]).withColumn("net", _net(_clipped(F.col("signal")), F.col("ret"), w))
-            parts.append(net.select("symbol", F.lit(family).alias("family"), F.lit(config).alias("config"), "ts", "i", "n", "ret", "net"))
-    return reduce(DataFrame.unionByName, parts)
+    stages, signals = shared([SIGNALS[family](**params) for family, _, params in listed])
+    wide = apply_stages(based, stages).withColumns({f"pos__{k}": _clipped(F.col(signal)) for k, signal in enumerate(signals)})
+    rows = [F.struct(F.lit(f).alias("family"), F.lit(c).alias("config"), _net(F.col(f"pos__{k}"), F.col("ret"), w).alias("net")) for k, (f, c, _) in enumerate(listed)]
+    nets = wide.withColumn("rows", F.array(*rows)).select("symbol", "ts", "i", "n", "ret", F.explode("rows").alias("row"))
+    return nets.select("symbol", "row.family", "row.config", "ts", "i", "n", "ret", "row.net")
 
 
 def sharpe_of(n: Column, s: Column, q: Column) -> Column:
@@ -342,8 +349,7 @@ def _run(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def _trials(spark: SparkSession, sf_dir: str) -> DataFrame:
-    native = {f: c for f, c in coarse(budget=BUDGET.budget)[0].items() if f in SIGNALS}
-    return _moments(returns(split(ALL_BARS.frame(spark, sf_dir)).where("part = 'head'"), native))
+    return _moments(returns(split(ALL_BARS.frame(spark, sf_dir)).where("part = 'head'"), coarse(budget=BUDGET.budget)[0]))
 
 
 def finalists(trials: DataFrame) -> DataFrame:
@@ -382,7 +388,7 @@ def oracle_sql() -> dict[str, str]:
     sharpe = f"coalesce(CASE WHEN stddev_samp(net) > 1e-12 THEN {ROOT!r} * avg(net) / stddev_samp(net) END, 0.0)"
     parts = [
         f"SELECT symbol, '{family}' AS family, CAST({k} AS BIGINT) AS config, count(*) AS n, {sharpe} AS sharpe FROM {run(family, head, **p).sql} GROUP BY symbol"
-        for family, configs in families.items() if family in SIGNALS for k, p in enumerate(configs)
+        for family, configs in families.items() for k, p in enumerate(configs)
     ]
     base = f"""WITH head AS MATERIALIZED (SELECT symbol, ts, open, high, low, close, volume FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS i, count(*) OVER (PARTITION BY symbol) AS n FROM {ALL_BARS.sql})
         WHERE n - {tail} >= {HEAD_ROWS} AND i < n - {tail}), trials AS MATERIALIZED ({" UNION ALL ".join(parts)}) """

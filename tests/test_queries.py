@@ -11,7 +11,6 @@ from quantloom import catalog
 from quantloom.operators import statistics
 from quantloom.operators.kernel import backtest
 from quantloom.operators.signals import SIGNALS
-from quantloom.operators.stateful import donchian_atr_trail
 from quantloom.operators.validation import GRID
 from quantloom.plans.engine import apply_stages
 from quantloom.sources.bars import BARS
@@ -77,10 +76,10 @@ def test_gate_scores_the_heads_finalist_on_the_sealed_holdout(spark):
     assert any(best != whole[s] for s, (best, *_) in want.items())  # the holdout would have changed the choice
 
 
-@pytest.mark.parametrize("name", [*SIGNALS, "donchian_atr_trail"])
+@pytest.mark.parametrize("name", SIGNALS)
 def test_signal_has_no_look_ahead(bars, name):
     cut = pd.Timestamp("1998-01-01").date()
-    run = (lambda d: apply_stages(d, SIGNALS[name]())) if name in SIGNALS else donchian_atr_trail
+    run = lambda d: apply_stages(d, SIGNALS[name]())
     whole, part = (run(d).select("symbol", "ts", "signal").toPandas() for d in (bars, bars.where(f"ts < DATE '{cut}'")))
     whole = whole[whole.ts < cut]
     both = whole.merge(part, on=["symbol", "ts"], suffixes=("", "_cut"))
@@ -144,10 +143,40 @@ def test_stream_appends_closed_hours(spark, tmp_path):
 def test_simulations_repeat(spark):
     q = catalog.queries()
     for name in ("null_iid", "ar1_edge"):
-        a, b = (q[name](spark, SF).toPandas().sort_values(["symbol", "ts"]).close.to_numpy() for _ in range(2))
+        a, b = (q[name](spark, SF).repartition(n).toPandas().sort_values(["symbol", "ts"]).close.to_numpy() for n in (1, 3))
         assert (a == b).all() and (a > 0).all()
-    r = q["monte_carlo_risk"](spark, SF).first()
-    assert r.p5 < r.p50 < r.p95 and 0 <= r.p_loss <= r.p_drawdown <= 1
+
+
+def test_risk_of_returns(spark):
+    from quantloom.operators.simulation import risk
+
+    rng = np.random.default_rng(0)
+    nets = {"calm": rng.normal(0.001, 0.002, 400), "wild": rng.normal(0.0, 0.03, 400), "one": [0.1]}
+    rows = [(s, float(x)) for s, own in nets.items() for x in own]
+    r = {x.symbol: x for x in risk(spark.createDataFrame(rows, "symbol string, net double"), n_paths=300).collect()}
+    assert set(r) == {"calm", "wild"}
+    for x in r.values():
+        assert x.p5 < x.p50 < x.p95 and 0 <= x.p_loss <= x.p_drawdown <= 1
+    mu, sigma = np.mean(nets["calm"]), np.std(nets["calm"], ddof=1)
+    assert abs(r["calm"].mean - (np.exp(252 * mu) - 1)) < 4 * sigma * 252**0.5 / 300**0.5 * np.exp(252 * mu) and r["calm"].p_drawdown == 0
+    assert r["wild"].p_loss > 0.2 and r["wild"].p_drawdown > 0.8
+    with pytest.raises(ValueError, match="loss"):
+        risk(spark.createDataFrame(rows, "symbol string, net double"), loss=0.0)
+
+
+@pytest.mark.parametrize("phi", [0.0, 0.3, -0.4])
+def test_autocorrelated_bars(spark, phi):
+    from quantloom.operators.simulation import autocorrelated
+
+    had = BARS.frame(spark, SF).toPandas().sort_values(["symbol", "ts"])
+    got = autocorrelated(BARS.frame(spark, SF), phi).toPandas().sort_values(["symbol", "ts"])
+    assert list(got.ts) == list(had.ts) and list(got.volume) == list(had.volume)
+    assert ((got.high >= got[["open", "close"]].max(axis=1)) & (got.low <= got[["open", "close"]].min(axis=1))).all()
+    both = [np.log(d.close).groupby(d.symbol).diff() for d in (had, got)]
+    spread = [r.groupby(had.symbol.to_numpy()).std() for r in both]
+    assert (abs(spread[1] / spread[0] - 1) < 0.15).all()
+    own = both[1].groupby(got.symbol.to_numpy())
+    assert abs(np.mean([r.autocorr() for _, r in own if len(r) > 500]) - phi) < 0.06
 
 
 def test_store_keeps_what_passed_and_migrates_whole(spark, tmp_path):
@@ -212,12 +241,25 @@ def test_band_reversion_and_its_filter(spark):
     from quantloom.operators import simulation as sim
 
     band = sim.Band(5.0)
-    d = sim.reverting(spark, band, n_symbols=2, n_bars=4000).toPandas().sort_values(["symbol", "ts"])
+    days = pd.bdate_range("2000-01-03", periods=4000).date
+    rng = np.random.default_rng(2)
+    own = pd.concat([pd.DataFrame({"symbol": s, "ts": days, "open": 1.0, "high": 1.0, "low": 1.0, "close": 50 * np.exp(np.cumsum(rng.normal(0.0003, 0.012, 4000))), "volume": 5.0}) for s in "AB"])
+    d = sim.reverting(spark.createDataFrame(own), band).toPandas().sort_values(["symbol", "ts"])
     assert ((d.high >= d[["open", "close"]].max(axis=1)) & (d.low <= d[["open", "close"]].min(axis=1))).all()
     r = np.log(d.close).groupby(d.symbol).diff()
-    assert abs(r.std() / band.vol - 1) < 0.05
-    assert d.deviation.corr(d.groupby("symbol").oracle_mean.shift(-1)) < -0.999
+    assert abs(r.std() / 0.012 - 1) < 0.05
+    assert abs(d.deviation.std() / 0.012 / band.deviation - 1) < 0.15
+    assert all(o.deviation.corr(o.oracle_mean.shift(-1)) < -0.999 for _, o in d.groupby("symbol"))
     assert d.oracle_mean.corr(d.achievable_mean) > 0.3
+    # the steady gain is where the filter with a gain of its own at every step ends
+    for one in (band, sim.Band(1.0, 0.3)):
+        move, see = np.array([[one.rho, 0.0], [1.0, 0.0]]), np.array([[1.0, -1.0]])
+        p = np.eye(2) * one.deviation**2
+        for _ in range(2000):
+            p = move @ p @ move.T + np.diag([one.deviation**2 * (1 - one.rho**2), 0.0])
+            k = p @ see.T / (see @ p @ see.T + 1 - one.share)
+            p = p - k @ see @ p
+        assert abs(k[0, 0] - one.gain) < 1e-12
     bars = spark.createDataFrame(d)
     gross, net = (sim.oracle_sharpe(bars, "oracle_mean", c).agg({"sharpe": "avg"}).first()[0] for c in (0.0, 0.001))
     known = sim.oracle_sharpe(bars, "achievable_mean", 0.0)
