@@ -29,7 +29,7 @@ DIGITS = 10
 #: Of an edited text, one in so many letters is other.
 SHARE = 3
 #: Text in a range, and ranges (those of more text than both allow grow).
-RANGE_CHARS, LEAST_RANGES, MOST_RANGES = 1 << 24, 64, 20_000
+RANGE_CHARS, LEAST_RANGES, MOST_RANGES = 1 << 22, 16, 20_000
 BROADCAST_KEYS = 200_000
 _LAST = -(1 << 63)
 _U = np.uint64
