@@ -94,3 +94,28 @@ def test_candidates_share_what_they_compute_alike():
     assert len(columns) == len(set(columns)) < sum(len(s) for own in families for s in own)
     assert sum("_roll" not in c and c.startswith("tr__") for c in columns) == 1  # one true range for all
     assert len(set(signals)) == len(families)
+
+
+def test_long_series_in_chunks(spark):
+    """One series of many chunks, and short ones beside it, against running it through; it is spread over tasks by chunk."""
+    from pyspark.sql import functions as F
+
+    from quantloom.functions.long_series import chunked, recursive_average, wealth
+
+    rng = np.random.default_rng(4)
+    rows = pd.concat([pd.DataFrame({"symbol": s, "day": np.arange(n), "net": rng.normal(0, 0.01, n)}) for s, n in (("long", 5000), ("short", 70), ("one", 1))])
+    series = spark.createDataFrame(rows.sample(frac=1, random_state=1)).repartition(5)
+    cut = chunked(series, ["day"], F.expr("day div 97"), rows=64)
+    assert cut.where("i <> day OR chunk <> i div 64").count() == 0
+    curve = wealth(cut.withColumn("growth", 1 + F.col("net")), "growth").toPandas().sort_values(["symbol", "i"])
+    for alpha in (0.5, 0.02, 0.001):
+        average = recursive_average(cut, "net", alpha, "average", rows=64)
+        assert set(average.columns) == {*cut.columns, "average"}
+        for symbol, own in average.toPandas().sort_values(["symbol", "i"]).groupby("symbol"):
+            np.testing.assert_allclose(own.average, rows[rows.symbol == symbol].net.ewm(alpha=alpha, adjust=False).mean(), rtol=1e-9, atol=1e-15)
+    for symbol, own in curve.groupby("symbol"):
+        equity = (1 + rows[rows.symbol == symbol].net).cumprod()
+        np.testing.assert_allclose(own.equity, equity, rtol=1e-10)
+        np.testing.assert_allclose(own.drawdown, equity / equity.cummax() - 1, rtol=1e-9, atol=1e-12)
+    plan = wealth(cut.withColumn("growth", 1 + F.col("net")), "growth")._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(symbol" in plan and "chunk" in plan and "SinglePartition" not in plan
