@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quantloom.sources import documents
 from quantloom.sources.bars import table
 
 YEAR = 252
@@ -67,12 +68,22 @@ def near_misses(experiments: DataFrame, trials: DataFrame, top: int = 10) -> Dat
     return best.orderBy(F.desc(F.round("ratio", 9)), "symbol", "family").limit(top)
 
 
+def _diagnostic(x: Column | str, name: str) -> list[Column]:
+    """Median, number, 95th percentile and greatest of what is not null; without any, the number is 0 and the rest null."""
+    return [F.median(x).alias(name), F.count(x).alias(f"{name}_n"), F.percentile(x, 0.95).alias(f"{name}_p95"), F.max(x).alias(f"{name}_max")]
+
+
+def versions(experiments: DataFrame) -> DataFrame:
+    """(version, n): how many experiments each family of hypotheses has, the most first."""
+    return experiments.groupBy("version").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "version")
+
+
 def summary(experiments: DataFrame, trials: DataFrame) -> DataFrame:
-    """One row: the funnel from trials to symbols whose best survives, and medians."""
+    """One row: the funnel from trials to symbols whose best survives, medians, and the diagnostics of finalists and graduates."""
     marked = _with_bar(experiments)
     board = F.broadcast(leaderboard(experiments, trials).agg(F.count_if("graduated").alias("n_leaderboard_graduates"), F.count_if(F.col("survives")).alias("n_surviving")))
     oos = experiments.select("experiment_id", "graduated").join(best_trials(trials), "experiment_id")
-    diagnostics = F.broadcast(oos.agg(F.median("best.walk_oos").alias("walk_finalists"), F.median(F.when(F.col("graduated"), F.col("best.walk_oos"))).alias("walk_graduates")))
+    diagnostics = F.broadcast(oos.agg(*_diagnostic("best.walk_oos", "walk_finalists"), *_diagnostic(F.when(F.col("graduated"), F.col("best.walk_oos")), "walk_graduates")))
     return marked.agg(
         F.count("*").alias("n_experiments"), F.countDistinct("symbol").alias("n_symbols"), F.sum("lifetime_trials").alias("n_trials"), F.count_if("graduated").alias("n_graduates"),
         F.median("n_bars").alias("median_bars"), F.median(F.when(F.col("graduated"), F.col("years"))).alias("median_years"),
@@ -102,7 +113,11 @@ def yield_rates(runs: DataFrame) -> DataFrame:
     return runs.groupBy("run").agg((got + lost).alias("attempted"), F.when(got + lost == 0, 1.0).otherwise(got / (got + lost)).alias("rate"))
 
 
-def require_yield(rates: DataFrame, least: float = 0.5) -> DataFrame:
+#: Fixed value: a run that produces less than this share of what it fetched has failed.
+LEAST_YIELD = 0.25
+
+
+def require_yield(rates: DataFrame, least: float = LEAST_YIELD) -> DataFrame:
     """``rates``, or an error where a run's rate is under ``least``: a vendor that fails is no empty result."""
     low = F.raise_error(F.concat(F.lit("the yield is too low in run "), F.col("run").cast("string"))).cast("double")
     return rates.withColumn("rate", F.when(F.col("rate") >= least, F.col("rate")).otherwise(low))
@@ -143,6 +158,17 @@ def trials(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("l_tax") * 50 - F.col("l_discount") * 20).alias("deflated"), (F.col("l_quantity") / 25 - 1).alias("walk_oos"))
 
 
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pool as documents and back: each order is written as one, with its line items as trials, and parsed."""
+    rows = experiments(spark, sf_dir)
+    each = trials(spark, sf_dir).groupBy("experiment_id").agg(F.collect_list(F.struct(F.col("family").alias("strategy_name"), F.col("deflated").alias("deflated_sharpe"), F.col("walk_oos").alias("walk_forward_oos_sharpe"))).alias("trials"))
+    graduate = F.when(F.col("graduated"), F.struct("holdout_sharpe", F.col("holdout_bars").alias("holdout_n_bars")))
+    whole = rows.join(each, "experiment_id", "left").select(F.to_json(F.struct(
+        F.col("experiment_id").cast("string").alias("experiment_id"), F.col("created").cast("date").cast("string").alias("created_at"), "symbol", F.col("version").alias("search_config_version"),
+        "lifetime_trials", "n_bars", "trials", graduate.alias("graduate"))).alias("json"))
+    return documents.parsed(whole, "json", documents.EXPERIMENT)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     six = lambda *names: [F.round(n, 6).alias(n) for n in names]
     both = lambda s, d: (experiments(s, d), trials(s, d))
@@ -161,8 +187,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "prior_trials": lambda s, d: prior_trials(experiments(s, d)),
         "rank_experiments": lambda s, d: leaderboard(*both(s, d)).select("symbol", "family", "graduated", F.col("survives").cast("string").alias("survives"), *six("deflated", "holdout_sharpe")),
         "near_misses": lambda s, d: near_misses(*both(s, d)).select("symbol", "family", *six("ratio")),
-        "pool_report": lambda s, d: summary(*both(s, d)).select("n_experiments", "n_symbols", "n_trials", "n_graduates", "n_leaderboard_graduates", "n_surviving", *six("median_bars", "median_years", "walk_finalists", "walk_graduates")),
-        "search_versions": lambda s, d: experiments(s, d).groupBy("version").agg(F.count("*").alias("n")),
+        "pool_report": lambda s, d: summary(*both(s, d)).select("n_experiments", "n_symbols", "n_trials", "n_graduates", "n_leaderboard_graduates", "n_surviving", *[f"walk_{w}_n" for w in ("finalists", "graduates")],
+            *six("median_bars", "median_years", *(f"walk_{w}{x}" for w in ("finalists", "graduates") for x in ("", "_p95", "_max")))),
+        "search_versions": lambda s, d: versions(experiments(s, d)),
+        "documents_experiments": lambda s, d: documents.experiments(_documents(s, d)).select("experiment_id", "symbol", "created", "version", "lifetime_trials", "n_bars", "graduated", "holdout_bars", *six("holdout_sharpe")),
+        "documents_trials": lambda s, d: documents.trials(_documents(s, d)).select("experiment_id", "symbol", "family", "n_configs", *six("deflated", "walk_oos")),
+        "documents_latest": lambda s, d: documents.latest(_documents(s, d)).select("experiment_id", "symbol", F.col("created_at").alias("created")),
         "freeze_graduates": lambda s, d: frozen(*both(s, d), at()).select("experiment_id", "symbol", "family", "frozen_at", "survives", "n_symbols", *six("bar")),
         "newly_promoted": lambda s, d: newly_promoted(frozen(*both(s, d), at()), leaderboard(*both(s, d))).select("symbol", "family"),
         "cohorts": lambda s, d: cohorts(scored(s, d)).select("cohort", "n", *six("mean_sharpe", "median_sharpe")),
@@ -193,7 +223,13 @@ def oracle_sql() -> dict[str, str]:
         "near_misses": "SELECT symbol, family, round(ratio, 6) AS ratio FROM (SELECT symbol, family, max(holdout_sharpe / bar) AS ratio FROM j WHERE graduated AND holdout_sharpe <= bar GROUP BY symbol, family) ORDER BY round(ratio, 9) DESC, symbol, family LIMIT 10",
         "pool_report": """SELECT (SELECT count(*) FROM e) AS n_experiments, (SELECT n_symbols FROM n) AS n_symbols, (SELECT CAST(sum(lifetime_trials) AS BIGINT) FROM e) AS n_trials, (SELECT count(*) FROM e WHERE graduated) AS n_graduates,
             (SELECT count(*) FROM l WHERE graduated) AS n_leaderboard_graduates, (SELECT count(*) FROM l WHERE survives) AS n_surviving, (SELECT round(median(n_bars), 6) FROM e) AS median_bars,
-            (SELECT round(median(years), 6) FROM e WHERE graduated) AS median_years, (SELECT round(median(walk_oos), 6) FROM j) AS walk_finalists, (SELECT round(median(walk_oos), 6) FROM j WHERE graduated) AS walk_graduates""",
+            (SELECT round(median(years), 6) FROM e WHERE graduated) AS median_years, (SELECT round(median(walk_oos), 6) FROM j) AS walk_finalists, (SELECT round(median(walk_oos), 6) FROM j WHERE graduated) AS walk_graduates,
+            (SELECT count(walk_oos) FROM j) AS walk_finalists_n, (SELECT count(walk_oos) FROM j WHERE graduated) AS walk_graduates_n, (SELECT round(quantile_cont(walk_oos, 0.95), 6) FROM j) AS walk_finalists_p95,
+            (SELECT round(quantile_cont(walk_oos, 0.95), 6) FROM j WHERE graduated) AS walk_graduates_p95, (SELECT round(max(walk_oos), 6) FROM j) AS walk_finalists_max, (SELECT round(max(walk_oos), 6) FROM j WHERE graduated) AS walk_graduates_max""",
+        "documents_experiments": """SELECT experiment_id::VARCHAR AS experiment_id, symbol, CAST(CAST(created AS DATE) AS VARCHAR) AS created, version, lifetime_trials, CAST(n_bars AS BIGINT) AS n_bars, graduated,
+            CASE WHEN graduated THEN CAST(years * 252 AS BIGINT) END AS holdout_bars, CASE WHEN graduated THEN round(holdout_sharpe, 6) END AS holdout_sharpe FROM e""",
+        "documents_trials": "SELECT experiment_id::VARCHAR AS experiment_id, symbol, family, CAST(1 AS BIGINT) AS n_configs, round(deflated, 6) AS deflated, round(walk_oos, 6) AS walk_oos FROM t JOIN e USING (experiment_id)",
+        "documents_latest": "SELECT experiment_id::VARCHAR AS experiment_id, symbol, CAST(CAST(created AS DATE) AS VARCHAR) AS created FROM e ORDER BY CAST(created AS DATE) DESC, experiment_id::VARCHAR DESC LIMIT 1",
         "search_versions": "SELECT version, count(*) AS n FROM e GROUP BY version",
         "freeze_graduates": "SELECT experiment_id, symbol, family, '2001-08-02' AS frozen_at, survives, n_symbols, round(bar, 6) AS bar FROM j WHERE graduated",
         "newly_promoted": "SELECT symbol, family FROM l WHERE NOT EXISTS (SELECT 1 FROM j WHERE j.graduated AND j.symbol = l.symbol AND j.family = l.family)",
