@@ -5,6 +5,9 @@ from __future__ import annotations
 import math
 from statistics import NormalDist
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from quantloom.operators import validation
 from quantloom.operators.factors import PANEL
 from quantloom.operators.kernel import HELD, MARKET, YEAR, moments, run
@@ -123,6 +126,12 @@ def merged_calibration(shards: Base) -> Query:
     )
 
 
+def require_mergeable(merged: DataFrame) -> DataFrame:
+    """``merged`` of ``merged_calibration``, or an error where its shards have different versions or modes."""
+    refused = F.raise_error(F.lit("shards of different versions or modes cannot be merged")).cast("long")
+    return merged.withColumn("n", F.when(F.col("mergeable"), F.col("n")).otherwise(refused))
+
+
 def interpreted(pbo: Base, deflated: Base, stability: Base) -> Query:
     """A verdict for each headline metric of a symbol."""
     def rule(metric: str, key: str, good: str, warning: str) -> str:

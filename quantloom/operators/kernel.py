@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import math
 
+from pyspark.sql import functions as F
+
 from quantloom.functions.windows import clip, compounded, prev, roll
 from quantloom.operators.signals import SIGNALS
 from quantloom.plans.engine import UPTO, Base, Query, RunningProduct, Stage, tally
-from quantloom.sources.bars import BARS
+from quantloom.sources.bars import BARS, table
 
 COST = 0.001
 CAPITAL = 100_000.0
@@ -52,10 +54,54 @@ def moments(x: str, relation: str, key: str) -> str:
             FROM (SELECT {key}, {x} - avg({x}) OVER (PARTITION BY {key}) AS d FROM {relation}) GROUP BY {key})"""
 
 
+#: A market of its own beside the symbols: the mean order of a day.
+MARKET_PRICES = Base(
+    lambda spark, sf_dir: table(spark, sf_dir, "orders").groupBy(F.col("o_orderdate").cast("date").alias("ts")).agg(F.avg("o_totalprice").alias("close")).select(F.lit("market").alias("symbol"), "ts", "close"),
+    "(SELECT 'market' AS symbol, CAST(o_orderdate AS DATE) AS ts, avg(o_totalprice) AS close FROM orders GROUP BY 2)",
+)
+
+
+def by_regime(book: Base, market: Base, window: int = 20) -> Query:
+    """Per symbol and regime of ``market(symbol, ts, close)``: bars, compounded return, ratio. A bear's trailing return is negative; all else, the first bars too, is bull.
+
+    Only times that both have count; the market's window runs over those.
+    """
+    aligned = Query(book, [], "SELECT b.symbol, b.ts, b.net, m.close FROM {t} b JOIN {m} m ON b.ts = m.ts", {"m": market}).as_base()
+    return Query(
+        aligned, [{"past": f"close / {prev('close', window)} - 1"}],
+        f"""SELECT symbol, CASE WHEN past < 0 THEN 'bear' ELSE 'bull' END AS regime, count(*) AS n, round({compounded('net')}, 6) AS total, round({SHARPE}, 6) AS sharpe
+            FROM {{t}} GROUP BY symbol, CASE WHEN past < 0 THEN 'bear' ELSE 'bull' END""",
+    )
+
+
+def against(book: Base, benchmark: Base) -> Query:
+    """Per symbol against ``benchmark(ts, net)``, over the times that both have: alpha, beta, tracking error, information ratio, and the
+    drawdown of the symbol's wealth in units of the benchmark's. What has no spread counts as 0."""
+    aligned = Query(book, [], "SELECT b.symbol, b.ts, b.net, m.net AS other FROM {t} b JOIN {m} m ON b.ts = m.ts", {"m": benchmark}).as_base()
+    stages: list[Stage] = [{"g": "1 + net", "h": "1 + other"}, {"own": RunningProduct("g"), "its": RunningProduct("h")}, {"rel": "own / its"}, {"top": f"max(rel) OVER ({UPTO})"}]
+    return Query(
+        aligned, stages,
+        f"""SELECT symbol, n, round(beta, 6) AS beta, round((m - beta * mb) * {YEAR}, 6) AS alpha, round(te * {math.sqrt(YEAR)!r}, 6) AS tracking_error,
+            round(CASE WHEN te > 0 THEN (m - mb) / nullif(te, 0) * {math.sqrt(YEAR)!r} ELSE 0.0 END, 6) AS information_ratio, round(worst, 6) AS relative_drawdown FROM
+            (SELECT symbol, count(*) AS n, coalesce(covar_samp(net, other) / nullif(var_samp(other), 0), 0.0) AS beta, avg(net) AS m, avg(other) AS mb, coalesce(stddev_samp(net - other), 0.0) AS te,
+                greatest(min(rel / top - 1), -1.0) AS worst FROM {{t}} GROUP BY symbol)""",
+    )
+
+
+def shape(x: str, relation: str, key: str) -> str:
+    """Skewness and excess kurtosis as a distribution's picture shows them: mean powers over powers of the sample deviation; 0 without spread."""
+    return f"""SELECT {key}, n, round(CASE WHEN sd > 0 THEN m3 / nullif(pow(sd, 3), 0) ELSE 0.0 END, 6) AS skew, round(CASE WHEN sd > 0 THEN m4 / nullif(pow(sd, 4), 0) - 3 ELSE 0.0 END, 6) AS kurtosis FROM
+        (SELECT {key}, count(*) AS n, coalesce(stddev_samp(d), 0.0) AS sd, avg(pow(d, 3)) AS m3, avg(pow(d, 4)) AS m4 FROM (SELECT {key}, {x} - avg({x}) OVER (PARTITION BY {key}) AS d FROM {relation}) GROUP BY {key})"""
+
+
 def declared() -> dict[str, Query]:
     sma = run("sma")
     bins = 30
+    market = Query(MARKET_PRICES, [{"net": f"coalesce(close / {prev('close')} - 1, 0.0)"}], "SELECT ts, net FROM {t}").as_base()
     return {
+        "market_regimes": by_regime(sma, MARKET_PRICES),
+        "market_compare": against(sma, market),
+        "return_shape": Query(sma, [], shape("net", "{t}", "symbol")),
         "backtest_sma": Query(sma, [], f"SELECT symbol, {METRICS} FROM {{t}} GROUP BY symbol"),
         "backtest_metrics": Query(run("momentum"), [], f"SELECT symbol, {METRICS} FROM {{t}} GROUP BY symbol"),
         "buy_and_hold": Query(HELD, [], f"SELECT symbol, {METRICS} FROM {{t}} GROUP BY symbol"),

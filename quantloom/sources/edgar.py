@@ -32,14 +32,15 @@ ITEMS: dict[str, tuple[tuple[str, ...], str]] = {
 
 
 def line_items(documents: DataFrame, items: dict[str, tuple[tuple[str, ...], str]] = ITEMS) -> DataFrame:
-    """(symbol, item, fy, value, period_end, form, accession) of ``documents(json)``.
+    """(symbol, item, fy, value, period_end, form, accession) of ``documents(json)``, whose symbol is a column of theirs, else the name in the document.
 
     Fiscal-year 10-K rows in the item's unit, of the first tag that has any; the latest filing of
     a year wins. One exchange by symbol and item serves both windows.
     """
     known = [F.struct(F.lit(item).alias("item"), F.lit(tag).alias("tag"), F.lit(unit).alias("unit"), F.lit(k).alias("rank")) for item, (tags, unit) in items.items() for k, tag in enumerate(tags)]
     wanted = F.create_map(*[x for k in known for x in (k.getField("tag"), k)])
-    parsed = documents.select(F.from_json("json", SCHEMA).alias("d")).select(F.col("d.entityName").alias("symbol"), F.explode("d.facts.us-gaap").alias("tag", "fact"))
+    symbol = F.col("symbol") if "symbol" in documents.columns else F.col("d.entityName")
+    parsed = documents.withColumn("d", F.from_json("json", SCHEMA)).select(symbol.alias("symbol"), F.explode("d.facts.us-gaap").alias("tag", "fact"))
     rows = (
         parsed.withColumn("w", wanted[F.col("tag")]).where("w IS NOT NULL")
         .select("symbol", "w.item", "w.rank", F.explode(F.try_element_at("fact.units", F.col("w.unit"))).alias("r"))
@@ -80,6 +81,27 @@ def snapshot(documents: DataFrame) -> DataFrame:
     )
 
 
+#: The fields of the file that lists companies.
+TICKERS = "map<string, struct<cik_str: bigint, ticker: string, title: string>>"
+
+
+def tickers(spark: SparkSession, path: str) -> DataFrame:
+    """(symbol, cik, title) of the file of companies, an object of numbered entries; upper-cased, of equal symbols the first."""
+    each = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", TICKERS)).alias("nth", "c"))
+    first = F.min_by(F.struct(F.col("c.cik_str").alias("cik"), F.col("c.title").alias("title")), F.col("nth").cast("long")).alias("c")
+    return each.where("c.ticker IS NOT NULL AND c.cik_str IS NOT NULL").groupBy(F.upper(F.trim("c.ticker")).alias("symbol")).agg(first).select("symbol", "c.*")
+
+
+def company_facts(spark: SparkSession, folder: str, companies: DataFrame) -> DataFrame:
+    """(symbol, json) of a folder with a company-facts document a company, named by its number (CIK0000000001.json), for ``companies(symbol, cik)``.
+
+    A company without a file has no row, a file that no company asks for is not parsed. Share classes of one company share its document.
+    """
+    number = F.regexp_extract(F.col("_metadata.file_name"), r"^CIK0*(\d+)\.json$", 1).try_cast("long")
+    files = spark.read.text(folder, wholetext=True).select(number.alias("cik"), F.col("value").alias("json")).where("cik IS NOT NULL")
+    return files.join(companies.select("symbol", "cik"), "cik").select("symbol", "json")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents made of the annual facts, each year with a restatement and a quarterly row to ignore."""
     row = lambda val, fp, form, filed: F.struct(F.lit("x").alias("end"), val.cast("double").alias("val"), F.col("fy"), F.lit(fp).alias("fp"), F.lit(form).alias("form"), F.concat("fy", F.lit(filed)).alias("filed"), F.concat(F.lit("a"), F.col("fy")).alias("accn"))

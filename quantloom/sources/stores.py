@@ -8,9 +8,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def upsert(new: DataFrame, path: str, keys: list[str], partition: str = "symbol") -> None:
-    """Last write wins by key; only the partitions that new rows touch are rewritten."""
+def upsert(new: DataFrame, path: str, keys: list[str], partition: str = "symbol", order: str | None = None) -> None:
+    """Last write wins by key; only the partitions that new rows touch are rewritten.
+
+    Of new rows that share a key the one with the greatest ``order`` counts; without an order, or where that ties, they are an error.
+    """
     spark = new.sparkSession
+    if order:
+        new = new.withColumn("_top", F.max(order).over(Window.partitionBy(*keys))).where(F.col(order).eqNullSafe(F.col("_top"))).drop("_top")
+    if not new.groupBy(*keys).count().where("count > 1").isEmpty():
+        raise ValueError(f"rows share a key of {keys}")
     had = read(spark, path, new)
     touched = had.join(new.select(partition).distinct(), partition, "left_semi")
     both = touched.withColumn("_age", F.lit(1)).unionByName(new.withColumn("_age", F.lit(0)))

@@ -1,16 +1,10 @@
-"""Streams into stores and through state: idempotent ingest, forward scores as bars arrive, the trailing stop's position."""
+"""Streams into stores: idempotent ingest."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from quantloom.operators.stateful import stepped
 from quantloom.sources.stores import upsert
 
 
@@ -20,29 +14,4 @@ def ingest(bars: DataFrame, path: str, keys: list[str], late: str = "7 days") ->
     A batch that is replayed after a failure writes the same rows.
     """
     unique = bars.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
-    return unique.writeStream.foreachBatch(lambda batch, _: upsert(batch, path, keys)).outputMode("append")
-
-
-def forward_scores(returns: DataFrame) -> DataFrame:
-    """(symbol, n, mean, spread) of ``returns(symbol, ts, net, frozen_at)``, updated as bars arrive; rows up to the freeze do not count."""
-    after = returns.where(F.col("ts") > F.col("frozen_at"))
-    return after.groupBy("symbol").agg(F.count("*").alias("n"), F.avg("net").alias("mean"), F.stddev_samp("net").alias("spread"))
-
-
-def trailing_positions(fed: DataFrame) -> DataFrame:
-    """(symbol, ts, signal) of a stream of (symbol, ts, close, eh, el, long_stop, short_stop); the held side is each symbol's state.
-
-    A symbol's bars must arrive in order across batches; within one they are sorted.
-    """
-
-    def walk(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = state.get[0] if state.exists else 0.0
-        rows = pd.concat(list(batches)).sort_values("ts")
-        out = []
-        for row in rows[["close", "eh", "el", "long_stop", "short_stop"]].itertuples(index=False):
-            held = stepped(held, *row)
-            out.append(held)
-        state.update((held,))
-        yield rows[["symbol", "ts"]].assign(signal=out)
-
-    return fed.groupBy("symbol").applyInPandasWithState(walk, "symbol string, ts timestamp, signal double", "held double", "append", GroupStateTimeout.NoTimeout)
+    return unique.writeStream.foreachBatch(lambda batch, _: upsert(batch.dropDuplicates(keys), path, keys)).outputMode("append")

@@ -318,15 +318,6 @@ def test_streams_ingest_once_and_keep_state(spark, tmp_path):
         held = stepped(held, *b)
         want.append(held)
     assert want == [1.0, 1.0, 0.0, -1.0]
-    schema = "symbol string, ts timestamp, close double, eh double, el double, long_stop double, short_stop double"
-    (tmp_path / "fed").mkdir()
-    q = ingest.trailing_positions(spark.readStream.schema(schema).parquet(str(tmp_path / "fed"))).writeStream.format("memory").queryName("held").outputMode("append").option("checkpointLocation", str(tmp_path / "s")).start()
-    for k in (0, 2):  # two batches: the second goes on from the first one's state
-        part = [("A", dt.datetime(2024, 1, k + j + 1), *bounds[k + j]) for j in range(2)]
-        spark.createDataFrame(part, schema).write.mode("append").parquet(str(tmp_path / "fed"))
-        q.processAllAvailable()
-    q.stop()
-    assert [r.signal for r in spark.table("held").orderBy("ts").collect()] == want
 
 
 def test_calibration_counts(spark):
