@@ -19,7 +19,7 @@ YEAR = 252
 def backtest(cost: float = COST) -> list[Stage]:
     """From close and signal: the position earns the next bar's return, a change of it costs."""
     return [
-        {"ret": f"coalesce(close / {prev('close')} - 1, 0.0)", "pos": f"coalesce({clip('signal', -1.0, 1.0)}, 0.0)"},
+        {"ret": f"coalesce(close / {prev('close')} - 1, 0.0)", "pos": f"CASE WHEN signal IS NULL THEN 0.0 ELSE {clip('signal', -1.0, 1.0)} END"},
         {"turn": f"coalesce(abs(pos - {prev('pos')}), abs(pos))", "gross": f"coalesce({prev('pos')}, 0.0) * ret"},
         {"net": f"gross - turn * {cost}"},
         {"growth": "1 + net"},

@@ -97,7 +97,7 @@ def _net(position: Column, ret: Column, w: Window) -> Column:
 
 
 def _clipped(signal: Column) -> Column:
-    return F.coalesce(F.greatest(F.least(signal, F.lit(1.0)), F.lit(-1.0)), F.lit(0.0))
+    return F.when(signal.isNotNull(), F.greatest(F.least(signal, F.lit(1.0)), F.lit(-1.0))).otherwise(0.0)
 
 
 def returns(bars: DataFrame, families: dict[str, list[Params]]) -> DataFrame:
