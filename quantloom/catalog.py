@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quantloom.operators import book, data_quality, factors, fundamentals, kernel, lab, pool, quality_checks, simulation, tape, validation, valuation
 from quantloom.operators.signals import SIGNALS, trail_fold_sql
-from quantloom.plans import calibration, hunt, panel_search, search
+from quantloom.plans import calibration, factor_book, hunt, panel_search, search
 from quantloom.plans.engine import Query
 from quantloom.sources import edgar
 from quantloom.sources.bars import BARS
@@ -32,7 +32,7 @@ def _declared() -> dict[str, Query]:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {**_declared(), **edgar.queries(), **fundamentals.queries(), **pool.queries(), **quality_checks.queries(), **search.queries(), **panel_search.queries(), **hunt.queries(), **tape.queries(), **calibration.queries(), **simulation.queries()}
+    return {**_declared(), **edgar.queries(), **fundamentals.queries(), **pool.queries(), **quality_checks.queries(), **search.queries(), **panel_search.queries(), **hunt.queries(), **factor_book.queries(), **tape.queries(), **calibration.queries(), **simulation.queries()}
 
 
 def oracle_sql() -> dict[str, str]:
