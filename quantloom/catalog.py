@@ -8,7 +8,7 @@ from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quantloom.operators import book, data_quality, factors, fundamentals, kernel, lab, pool, quality_checks, simulation, tape, validation, valuation
+from quantloom.operators import book, data_quality, factors, forward, fundamentals, kernel, lab, pool, quality_checks, simulation, tape, validation, valuation
 from quantloom.operators.signals import SIGNALS, trail_fold_sql
 from quantloom.plans import calibration, factor_book, hunt, panel_search, search
 from quantloom.plans.engine import Query
@@ -32,8 +32,8 @@ def _declared() -> dict[str, Query]:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {**_declared(), **edgar.queries(), **fundamentals.queries(), **pool.queries(), **quality_checks.queries(), **search.queries(), **panel_search.queries(), **hunt.queries(), **factor_book.queries(), **tape.queries(), **calibration.queries(), **simulation.queries()}
+    return {**_declared(), **edgar.queries(), **fundamentals.queries(), **pool.queries(), **quality_checks.queries(), **search.queries(), **panel_search.queries(), **hunt.queries(), **factor_book.queries(), **tape.queries(), **forward.queries(), **calibration.queries(), **simulation.queries()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: q.sql() for name, q in _declared().items()} | {"sig_donchian_atr_trail": trail_fold_sql(BARS.sql)} | edgar.oracle_sql() | fundamentals.oracle_sql() | pool.oracle_sql() | quality_checks.oracle_sql() | search.oracle_sql() | panel_search.oracle_sql() | hunt.oracle_sql() | tape.oracle_sql() | simulation.oracle_sql()
+    return {name: q.sql() for name, q in _declared().items()} | {"sig_donchian_atr_trail": trail_fold_sql(BARS.sql)} | edgar.oracle_sql() | fundamentals.oracle_sql() | pool.oracle_sql() | quality_checks.oracle_sql() | search.oracle_sql() | panel_search.oracle_sql() | hunt.oracle_sql() | tape.oracle_sql() | forward.oracle_sql() | simulation.oracle_sql()

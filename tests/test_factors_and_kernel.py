@@ -171,3 +171,26 @@ def test_backtest_curves_and_markers(spark, backtest, book):
         change = change[change.fillna(0) != 0]
         own = markers[markers.symbol == symbol].sort_values("ts")
         assert list(pd.to_datetime(own.ts)) == list(change.index) and list(own.side) == ["buy" if c > 0 else "sell" for c in change]
+
+
+def test_forward_evaluation(spark, prices, book):
+    from quantloom.operators.forward import closed, evaluated
+
+    net, ret = book[3], prices.pct_change().fillna(0.0)
+    rows = pd.concat([pd.DataFrame({"symbol": s, "ts": DAYS.date, "net": net[s].to_numpy(), "ret": ret[s].to_numpy()}) for s in "AB"])
+    returns = spark.createDataFrame(rows)
+    frozen = [("A", DAYS[300].date(), "x"), ("A", DAYS[500].date(), "y"), ("B", DAYS[-1].date(), "x"), ("Z", DAYS[0].date(), "x")]
+    got = {(r.symbol, r.frozen_at): r for r in evaluated(spark.createDataFrame(frozen, "symbol string, frozen_at date, family string"), returns).collect()}
+    assert len(got) == 4 and got["A", DAYS[500].date()].family == "y"
+    for k in (300, 500):
+        r, x, h = got["A", DAYS[k].date()], net.A[k + 1 :], ret.A[k + 1 :]
+        want = (len(x), (1 + x).prod() - 1, x.mean() / x.std() * 252**0.5, (1 + h).prod() - 1, h.mean() / h.std() * 252**0.5)
+        np.testing.assert_allclose((r.forward_bars, r.forward_return, r.forward_sharpe, r.held_return, r.held_sharpe), want, rtol=1e-9)
+        assert r.as_of == DAYS[-1].date() and r.beats_held == (want[2] > want[4])
+    for key in (("B", DAYS[-1].date()), ("Z", DAYS[0].date())):
+        assert (got[key].forward_bars, got[key].as_of, got[key].forward_return, got[key].beats_held) == (0, None, 0.0, False)
+    from pyspark.sql import functions as F
+
+    assert closed(returns, F.lit(str(DAYS[2].date()))).count() == 4
+    with pytest.raises(ValueError, match="closed"):
+        closed(returns, F.lit(str(DAYS[0].date())))
