@@ -91,8 +91,9 @@ def declared() -> dict[str, Query]:
     spread = "CASE WHEN count(*) < 4 THEN stddev_samp(sharpe) ELSE (@pct(sharpe; 0.75)@ - @pct(sharpe; 0.25)@) / 1.34898 END"
     haircut = expected_max_sharpe(1.0, len(GRID))
     return {
-        "grid_expand": Query(Base(lambda spark, _: spark.createDataFrame([(k, *g) for k, g in enumerate(GRID)], "config int, fast int, slow int"),
-            "(VALUES " + ", ".join(f"({k}, {f}, {s})" for k, (f, s) in enumerate(GRID)) + ") g(config, fast, slow)"), [], "SELECT config, fast, slow FROM {t} WHERE fast < slow"),
+        "grid_expand": Query(BARS, [], "SELECT s.symbol, s.n, g.config, g.fast, g.slow FROM (SELECT symbol, count(*) AS n FROM {t} GROUP BY symbol) s CROSS JOIN {g} g WHERE g.fast < g.slow", {"g": Base(
+            lambda spark, _: spark.createDataFrame([(k, *g) for k, g in enumerate(GRID)], "config int, fast int, slow int"),
+            "(SELECT * FROM (VALUES " + ", ".join(f"({k}, {f}, {s})" for k, (f, s) in enumerate(GRID)) + ") g(config, fast, slow))")}),
         "grid_sharpes": Query(RETURNS, [], f"SELECT symbol, CAST(config AS BIGINT) AS config, n, round(sharpe, 6) AS sharpe FROM ({grid})"),
         "parameter_stability": Query(RETURNS, [], f"""SELECT symbol, round(avg(sharpe), 6) AS mean, round(stddev_samp(sharpe), 6) AS sd, round(min(sharpe), 6) AS low, round(max(sharpe), 6) AS high,
             round(avg(CASE WHEN sharpe > 0 THEN 1.0 ELSE 0.0 END), 6) AS positive, round(1 / (1 + stddev_samp(sharpe) / (abs(avg(sharpe)) + 1e-9)), 6) AS stability FROM ({grid}) GROUP BY symbol"""),

@@ -367,7 +367,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     six = lambda *names: [F.round(n, 6).alias(n) for n in names]
     config = lambda: F.col("config").cast("long").alias("config")
     return {
-        "search_candidates": lambda s, _: s.createDataFrame(_listed(), "family string, config long, params string"),
+        "search_candidates": lambda s, d: planned(split(ALL_BARS.frame(s, d)).where("part = 'head'"), coarse(budget=BUDGET.budget)[0]),
         "search_trials": lambda s, d: _trials(s, d).select("symbol", "family", config(), "n", *six("sharpe")),
         "search_finalists": lambda s, d: finalists(_trials(s, d)).select("symbol", "family", config(), *six("sharpe", "margin"), "clears_bar"),
         "search_reports": lambda s, d: _run(s, d)[0].select("symbol", "family", "stage", config(), F.col("trials").cast("long").alias("trials"),
@@ -376,6 +376,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+def planned(head: DataFrame, families: dict[str, list[Params]]) -> DataFrame:
+    """(symbol, n, family, config, params): what the search of each symbol will try, and on how many bars."""
+    listed = [F.struct(F.lit(f).alias("family"), F.lit(k).cast("long").alias("config"), F.lit(canonical(p)).alias("params")) for f, configs in families.items() for k, p in enumerate(configs)]
+    return head.groupBy("symbol").agg(F.count("*").alias("n")).select("symbol", "n", F.explode(F.array(*listed)).alias("c")).select("symbol", "n", "c.*")
+
+
 def _listed() -> list[tuple[str, int, str]]:
     return [(f, k, canonical(p)) for f, configs in coarse(budget=BUDGET.budget)[0].items() for k, p in enumerate(configs)]
 
@@ -384,17 +390,18 @@ def oracle_sql() -> dict[str, str]:
     """Every candidate by itself, each in a query of its own, over the head of the bars."""
     families, _ = coarse(budget=BUDGET.budget)
     tail = f"greatest(CAST(floor({HOLDOUT} * n) AS BIGINT), {HOLDOUT_ROWS})"
-    head = Base(ALL_BARS.frame, "head")
+    head_base = Base(ALL_BARS.frame, "head")
     sharpe = f"coalesce(CASE WHEN stddev_samp(net) > 1e-12 THEN {ROOT!r} * avg(net) / stddev_samp(net) END, 0.0)"
     parts = [
-        f"SELECT symbol, '{family}' AS family, CAST({k} AS BIGINT) AS config, count(*) AS n, {sharpe} AS sharpe FROM {run(family, head, **p).sql} GROUP BY symbol"
+        f"SELECT symbol, '{family}' AS family, CAST({k} AS BIGINT) AS config, count(*) AS n, {sharpe} AS sharpe FROM {run(family, head_base, **p).sql} GROUP BY symbol"
         for family, configs in families.items() for k, p in enumerate(configs)
     ]
-    base = f"""WITH head AS MATERIALIZED (SELECT symbol, ts, open, high, low, close, volume FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS i, count(*) OVER (PARTITION BY symbol) AS n FROM {ALL_BARS.sql})
-        WHERE n - {tail} >= {HEAD_ROWS} AND i < n - {tail}), trials AS MATERIALIZED ({" UNION ALL ".join(parts)}) """
+    head = f"""WITH head AS MATERIALIZED (SELECT symbol, ts, open, high, low, close, volume FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS i, count(*) OVER (PARTITION BY symbol) AS n FROM {ALL_BARS.sql})
+        WHERE n - {tail} >= {HEAD_ROWS} AND i < n - {tail}) """
+    base = head.rstrip() + f""", trials AS MATERIALIZED ({" UNION ALL ".join(parts)}) """
     values = ", ".join(f"('{f}', CAST({k} AS BIGINT), '{c}')" for f, k, c in _listed())
     return {
-        "search_candidates": f"SELECT family, config, params FROM (VALUES {values}) g(family, config, params)",
+        "search_candidates": head + f"SELECT symbol, n, family, config, params FROM (SELECT symbol, count(*) AS n FROM head GROUP BY symbol), (VALUES {values}) g(family, config, params)",
         "search_trials": base + "SELECT symbol, family, config, n, round(sharpe, 6) AS sharpe FROM trials",
         "search_finalists": base + f"""SELECT symbol, family, config, round(sharpe, 6) AS sharpe, round(sharpe - greatest(sd * {expected_max_sharpe(1.0, len(parts))!r}, 0.0), 6) AS margin, sharpe > sqrt(2 * ln(trials)) / sqrt(n / {YEAR}.0) AS clears_bar
             FROM (SELECT *, row_number() OVER w AS place, stddev_samp(sharpe) OVER (PARTITION BY symbol) AS sd, count(*) OVER (PARTITION BY symbol) AS trials FROM trials WINDOW w AS (PARTITION BY symbol ORDER BY round(sharpe, 12) DESC, family, config)) WHERE place = 1""",
