@@ -148,5 +148,5 @@ def _book(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     six = lambda *names: [F.round(n, 6).alias(n) for n in names]
-    days = [F.col(c).cast("string").alias(c) for c in ("frozen_at", "retired_at", "valid_from", "valid_to")]
-    return {"xs_book": lambda s, d: _book(s, d).select("family", "status", F.array_join("reasons", ",").alias("reasons"), F.coalesce("n", F.lit(0)).alias("n"), *days, *six("sharpe", "held_sharpe", "drawdown"))}
+    days = lambda: [F.col(c).cast("string").alias(c) for c in ("frozen_at", "retired_at", "valid_from", "valid_to")]
+    return {"xs_book": lambda s, d: _book(s, d).select("family", "status", F.array_join("reasons", ",").alias("reasons"), F.coalesce("n", F.lit(0)).alias("n"), *days(), *six("sharpe", "held_sharpe", "drawdown"))}

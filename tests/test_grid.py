@@ -41,3 +41,14 @@ def test_budget_is_level_filled():
 
 def test_parameter_hash_ignores_order():
     assert grid.parameter_hash({"a": 1, "b": 2}) == grid.parameter_hash({"b": 2, "a": 1})
+
+
+def test_queries_are_listed_without_a_session():
+    import os
+    import subprocess
+    import sys
+
+    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = "from quantloom import catalog; q, o = catalog.queries(), catalog.oracle_sql(); assert set(o) <= set(q) and len(q) > 170; print('listed')"
+    done = subprocess.run([sys.executable, "-c", code], cwd=top, capture_output=True, text=True, timeout=120)
+    assert done.stdout == "listed\n", done.stderr[-500:]
