@@ -12,7 +12,7 @@ from quantloom.operators import validation
 from quantloom.operators.factors import PANEL
 from quantloom.operators.kernel import HELD, MARKET, YEAR, moments, run
 from quantloom.operators.lab import FINAL, FROZEN, TRIALS
-from quantloom.operators.statistics import expected_max_sharpe
+from quantloom.operators.statistics import SQUARED, expected_max_sharpe
 from quantloom.operators.validation import GRID, RETURNS
 from quantloom.plans.engine import Base, Query, tally
 from quantloom.sources.bars import BARS, from_table
@@ -75,7 +75,7 @@ def separation(trials: Base, category: str) -> Query:
     return Query(
         trials, [],
         f"""SELECT c.category, c.n, round(c.median, 6) AS median, round(c.won / CAST(e.n AS DOUBLE), 6) AS winner_share, round(g.gap, 6) AS median_gap,
-            g.gap > sqrt((1 + g.gap * g.gap / 2) / (e.bars / {YEAR}.0)) AS separable FROM
+            g.gap > sqrt((1 + g.gap * g.gap / {SQUARED}) / (e.bars / {YEAR}.0)) AS separable FROM
             (SELECT category, count(*) AS n, @pct(best; 0.5)@ AS median, sum(CASE WHEN place = 1 THEN 1.0 ELSE 0.0 END) AS won FROM ({placed}) GROUP BY category) c
             CROSS JOIN (SELECT count(DISTINCT symbol) AS n, @pct(n; 0.5)@ AS bars FROM ({best})) e CROSS JOIN ({gap}) g""",
     )

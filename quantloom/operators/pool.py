@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quantloom.operators.statistics import SQUARED, quantile
 from quantloom.sources import documents
 from quantloom.sources.bars import table
 
@@ -90,6 +91,21 @@ def summary(experiments: DataFrame, trials: DataFrame) -> DataFrame:
     ).crossJoin(board).crossJoin(diagnostics)
 
 
+def frontier(experiments: DataFrame, power: float = 0.8) -> DataFrame:
+    """One row: the bar of the pool's symbols at its graduates' median holdout, and the true ratio that clears it with a power.
+
+    That ratio is the bar and so many of its own standard errors, a quadratic equation; null where the holdout is too short for a solution, or
+    nothing has graduated.
+    """
+    z2 = quantile(power) ** 2
+    own = experiments.agg(F.countDistinct("symbol").alias("n_symbols"), (F.median(F.when(F.col("graduated"), F.col("holdout_bars"))) / YEAR).alias("years"))
+    own = own.withColumn("bar", F.when(F.col("years") > 0, null_bar(F.col("n_symbols"), F.col("years"))))
+    rest = 1 - z2 / (SQUARED * F.col("years"))
+    root = F.sqrt(F.col("bar") * F.col("bar") - rest * (F.col("bar") * F.col("bar") - z2 / F.col("years")))
+    own = own.withColumn("detectable", F.when(rest > 0, (F.col("bar") + (root if power >= 0.5 else -root)) / rest))
+    return own.withColumn("error", F.sqrt((1 + F.col("detectable") * F.col("detectable") / SQUARED) / F.col("years")))
+
+
 def frozen(experiments: DataFrame, trials: DataFrame, at: Column) -> DataFrame:
     """The positions of the graduates, frozen at a time, with the bar and the verdict that they were taken with."""
     rows = _with_bar(experiments.withColumn("_at", at)).where("graduated").join(best_trials(trials), "experiment_id")
@@ -189,6 +205,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "near_misses": lambda s, d: near_misses(*both(s, d)).select("symbol", "family", *six("ratio")),
         "pool_report": lambda s, d: summary(*both(s, d)).select("n_experiments", "n_symbols", "n_trials", "n_graduates", "n_leaderboard_graduates", "n_surviving", *[f"walk_{w}_n" for w in ("finalists", "graduates")],
             *six("median_bars", "median_years", *(f"walk_{w}{x}" for w in ("finalists", "graduates") for x in ("", "_p95", "_max")))),
+        "frontier": lambda s, d: frontier(experiments(s, d)).select("n_symbols", *six("years", "bar", "detectable", "error")),
         "search_versions": lambda s, d: versions(experiments(s, d)),
         "documents_experiments": lambda s, d: documents.experiments(_documents(s, d)).select("experiment_id", "symbol", "created", "version", "lifetime_trials", "n_bars", "graduated", "holdout_bars", *six("holdout_sharpe")),
         "documents_trials": lambda s, d: documents.trials(_documents(s, d)).select("experiment_id", "symbol", "family", "n_configs", *six("deflated", "walk_oos")),
@@ -230,6 +247,9 @@ def oracle_sql() -> dict[str, str]:
             CASE WHEN graduated THEN CAST(years * 252 AS BIGINT) END AS holdout_bars, CASE WHEN graduated THEN round(holdout_sharpe, 6) END AS holdout_sharpe FROM e""",
         "documents_trials": "SELECT experiment_id::VARCHAR AS experiment_id, symbol, family, CAST(1 AS BIGINT) AS n_configs, round(deflated, 6) AS deflated, round(walk_oos, 6) AS walk_oos FROM t JOIN e USING (experiment_id)",
         "documents_latest": "SELECT experiment_id::VARCHAR AS experiment_id, symbol, CAST(CAST(created AS DATE) AS VARCHAR) AS created FROM e ORDER BY CAST(created AS DATE) DESC, experiment_id::VARCHAR DESC LIMIT 1",
+        "frontier": f"""SELECT n_symbols, round(years, 6) AS years, round(bar, 6) AS bar, round(sr, 6) AS detectable, round(sqrt((1 + sr * sr / {SQUARED}) / years), 6) AS error FROM
+            (SELECT *, list_reduce(list_prepend(bar, list_transform(range(12), lambda k: bar)), lambda a, b: b + {quantile(0.8)!r} * sqrt((1 + a * a / {SQUARED}) / years)) AS sr FROM
+                (SELECT n_symbols, years, sqrt(1 / years) * sqrt(2 * ln(n_symbols)) AS bar FROM n, (SELECT median(years) AS years FROM e WHERE graduated)))""",
         "search_versions": "SELECT version, count(*) AS n FROM e GROUP BY version",
         "freeze_graduates": "SELECT experiment_id, symbol, family, '2001-08-02' AS frozen_at, survives, n_symbols, round(bar, 6) AS bar FROM j WHERE graduated",
         "newly_promoted": "SELECT symbol, family FROM l WHERE NOT EXISTS (SELECT 1 FROM j WHERE j.graduated AND j.symbol = l.symbol AND j.family = l.family)",

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from quantloom.operators.kernel import COST, run
-from quantloom.operators.statistics import probabilistic_sharpe
+from quantloom.operators.statistics import SQUARED, probabilistic_sharpe
 from quantloom.plans.engine import Ewm, with_ewms
 from quantloom.sources.bars import BARS
 
@@ -168,7 +168,7 @@ def capture(finalists: DataFrame, oracle: DataFrame) -> DataFrame:
     """
     both = finalists.select("symbol", F.col("sharpe").alias("found")).join(oracle, "symbol")
     own = both.agg(F.count("*").alias("n"), F.median("found").alias("found"), F.median("sharpe").alias("known"), (F.median("n") / YEAR).alias("years"))
-    error = F.sqrt((1 + F.col("known") ** 2 / 2) / F.col("years"))
+    error = F.sqrt((1 + F.col("known") ** 2 / SQUARED) / F.col("years"))
     return own.select("n", "found", "known", error.alias("error"), F.when(F.col("known") > error, F.col("found") / F.col("known")).alias("capture"))
 
 

@@ -6,6 +6,8 @@ import math
 from statistics import NormalDist
 
 _EULER = 0.5772156649015329
+#: The variance of an annualised ratio of daily bars grows by its square over this: twice the bars of a year.
+SQUARED = 2 * 252
 _normal = NormalDist()
 
 
@@ -32,11 +34,20 @@ def null_bar(years: float, n: int) -> float:
     return math.sqrt(1 / years) * math.sqrt(2 * math.log(n)) if n >= 2 and years > 0 else 0.0
 
 
+def standard_error(sharpe: float, years: float) -> float:
+    """Of an annualised Sharpe ratio that was measured over so many years of daily bars."""
+    return math.sqrt((1 + sharpe**2 / SQUARED) / years)
+
+
 def detectable_sharpe(n_trials: int, years: float, power: float = 0.8) -> float:
     """Smallest true Sharpe ratio found with this power, by fixed-point iteration."""
     bar = null_bar(years, n_trials)
     found = bar
     for _ in range(8):
-        error = math.sqrt((1 + found**2 / 2) / years)
-        found = bar + _normal.inv_cdf(power) * error
+        found = bar + _normal.inv_cdf(power) * standard_error(found, years)
     return found
+
+
+def quantile(p: float) -> float:
+    """Of the standard normal distribution."""
+    return _normal.inv_cdf(p)

@@ -11,6 +11,7 @@ from quantloom.operators.factors import ALL_BARS
 from quantloom.operators.kernel import YEAR
 from quantloom.operators.pool import null_bar
 from quantloom.operators.simulation import autocorrelated
+from quantloom.operators.statistics import SQUARED
 from quantloom.plans import search
 from quantloom.plans.search import Gate
 
@@ -47,7 +48,7 @@ def power(verdicts: DataFrame, oracle: DataFrame) -> DataFrame:
     The capture is null where the oracle's own median is within its standard error of nothing.
     """
     both = verdicts.join(oracle.select("symbol", F.col("sharpe").alias("oracle")), "symbol")
-    error = F.sqrt((1 + F.pow(F.median("oracle"), 2) / 2) / F.median("years"))
+    error = F.sqrt((1 + F.pow(F.median("oracle"), 2) / SQUARED) / F.median("years"))
     return both.agg(
         F.count("*").alias("n_symbols"), F.avg(F.col("passed").cast("double")).alias("detected"), F.count_if("clears").alias("n_clear"),
         F.when(F.median("oracle") > error, F.median("holdout_sharpe") / F.median("oracle")).alias("capture"),

@@ -116,6 +116,19 @@ def test_statistics():
     assert math.isclose(statistics.probabilistic_sharpe(0.1, 0.1, 100, 0, 3), 0.5)
     assert statistics.minimum_backtest_years(0.0, 10) == math.inf
     assert statistics.detectable_sharpe(100, 4.3) > statistics.null_bar(4.3, 100)
+    assert round(statistics.detectable_sharpe(607, 4.3), 2) == 2.13
+
+
+def test_frontier(spark):
+    from quantloom.operators.pool import frontier
+
+    rows = [(f"S{k}", k < 3, 1000 + 84 * k) for k in range(607)]  # the median holdout of the graduates is 4.3 years
+    pool = spark.createDataFrame(rows, "symbol string, graduated boolean, holdout_bars long")
+    for power in (0.8, 0.95, 0.3):
+        r = frontier(pool, power).first()
+        want = statistics.detectable_sharpe(607, r.years, power)
+        assert abs(r.years - 1084 / 252) < 1e-12 and abs(r.detectable - want) < 1e-9 and abs(r.error - statistics.standard_error(want, r.years)) < 1e-9
+    assert frontier(pool.where("NOT graduated")).first().detectable is None
 
 
 def test_upsert_is_idempotent(spark, tmp_path):
