@@ -1,6 +1,7 @@
 """Ties, and what a task or an exchange holds as tables grow."""
 
 from quantloom.operators import pool
+from quantloom.plans import search
 
 
 def test_best_trial_of_ties_is_the_same_in_any_order(spark):
@@ -8,3 +9,9 @@ def test_best_trial_of_ties_is_the_same_in_any_order(spark):
     for own in (rows, rows[::-1]):
         trials = spark.createDataFrame(own, "experiment_id long, family string, deflated double, walk_oos double").coalesce(1)
         assert {r.experiment_id: tuple(r.best) for r in pool.best_trials(trials).collect()} == {1: ("A-1", 0.5, -0.2), 2: ("A-1", None, 1.0)}
+
+
+def test_splits_of_the_segments_are_not_exchanged(spark):
+    rows = spark.range(400).selectExpr("'A' AS symbol", "'f' AS family", "CAST(id % 4 AS int) AS config", "CAST(id div 4 AS int) AS i", "100L AS n", "sin(id) AS net")
+    plan = search.overfitting(rows)._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Broadcast") < plan.index("hashpartitioning")
