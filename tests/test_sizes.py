@@ -2,6 +2,9 @@
 
 from quantloom.operators import pool
 from quantloom.plans import search
+from quantloom.sources.bars import BARS
+
+SF = "/root/testdata/sf0.001"
 
 
 def test_best_trial_of_ties_is_the_same_in_any_order(spark):
@@ -15,3 +18,8 @@ def test_splits_of_the_segments_are_not_exchanged(spark):
     rows = spark.range(400).selectExpr("'A' AS symbol", "'f' AS family", "CAST(id % 4 AS int) AS config", "CAST(id div 4 AS int) AS i", "100L AS n", "sin(id) AS net")
     plan = search.overfitting(rows)._jdf.queryExecution().executedPlan().toString()
     assert plan.index("Broadcast") < plan.index("hashpartitioning")
+
+
+def test_searched_bars_are_made_once(spark):
+    verdicts = search.search(BARS.frame(spark, SF), ("sma",), search.Gate(budget=4), refine=False, keep=lambda df: df.localCheckpoint())[1]
+    assert verdicts.count() > 0 and "parquet" not in verdicts._jdf.queryExecution().toString()
