@@ -1,7 +1,9 @@
 """Ties, and what a task or an exchange holds as tables grow."""
 
-from quantloom.operators import pool
+from quantloom import catalog
+from quantloom.operators import pool, quality_checks
 from quantloom.plans import search
+from quantloom.sources import bars
 from quantloom.sources.bars import BARS
 
 SF = "/root/testdata/sf0.001"
@@ -23,3 +25,33 @@ def test_splits_of_the_segments_are_not_exchanged(spark):
 def test_searched_bars_are_made_once(spark):
     verdicts = search.search(BARS.frame(spark, SF), ("sma",), search.Gate(budget=4), refine=False, keep=lambda df: df.localCheckpoint())[1]
     assert verdicts.count() > 0 and "parquet" not in verdicts._jdf.queryExecution().toString()
+
+
+def _exchanges(df):
+    return [line for line in df._jdf.queryExecution().executedPlan().toString().splitlines() if "hashpartitioning" in line]
+
+
+def _dealt_by(df, key):
+    """Exchanges by a key are for a number of rows, not for the session's number of partitions."""
+    own = [line for line in _exchanges(df) if f"hashpartitioning({key}" in line]
+    return own and all("REPARTITION_BY_NUM" in line for line in own)
+
+
+def test_tasks_grow_with_the_rows(spark):
+    least = spark.sparkContext.defaultParallelism
+    assert (bars.tasks_of(spark.range(10)), bars.tasks_of(spark.range(100 * bars.TASK_ROWS + 1))) == (least, 101)
+
+
+def test_merged_trials_are_dealt_by_rows(spark):
+    grouped = pool.trials(spark, SF).groupBy("experiment_id").count()
+    assert _dealt_by(grouped, "experiment_id")
+
+
+def test_checked_bars_are_dealt_by_rows(spark):
+    assert _dealt_by(quality_checks._issues(spark, SF), "symbol")
+
+
+def test_tape_is_dealt_by_rows(spark):
+    own = _exchanges(catalog.queries()["tape_average"](spark, SF))
+    wide = [line for line in own if "_bucket" in line and "chunk" not in line]
+    assert any("REPARTITION_BY_NUM" in line for line in wide) and sum("REPARTITION_BY_NUM" in line for line in own) >= 2
