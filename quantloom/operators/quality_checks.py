@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType, TimestampType
 
-from quantloom.sources.bars import ohlcv, table
+from quantloom.sources.bars import ohlcv, table, tasks_of
 
 
 @dataclass(frozen=True)
@@ -118,15 +118,17 @@ _SPLIT = "CASE WHEN ts < DATE '1998-01-01' THEN 0.371122 ELSE 1.0 END"
 
 
 def part_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(symbol, ts, close, adj_factor): a part's largest quantity of a day, in tens, as close."""
-    line = table(spark, sf_dir, "lineitem").select(F.format_string("P%07d", "l_partkey").alias("symbol"), F.col("l_shipdate").cast("date").alias("ts"), "l_quantity")
-    return line.groupBy("symbol", "ts").agg(F.ceil(F.max("l_quantity") / 10).cast("double").alias("close")).withColumn("adj_factor", F.expr(_SPLIT))
+    """(symbol, ts, close, adj_factor): a part's largest quantity of a day, in tens, as close; by symbol, in tasks of a bounded size."""
+    line = table(spark, sf_dir, "lineitem")
+    rows = line.select(F.format_string("P%07d", "l_partkey").alias("symbol"), F.col("l_shipdate").cast("date").alias("ts"), "l_quantity").repartition(tasks_of(line), "symbol")
+    return rows.groupBy("symbol", "ts").agg(F.ceil(F.max("l_quantity") / 10).cast("double").alias("close")).withColumn("adj_factor", F.expr(_SPLIT))
 
 
 def requested_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All parts, and the nations, which have no bars."""
+    """All parts, and the nations, which have no bars; by symbol, as the bars are."""
     parts = table(spark, sf_dir, "part").select(F.format_string("P%07d", "p_partkey").alias("symbol"))
-    return parts.unionByName(table(spark, sf_dir, "nation").select(F.col("n_name").alias("symbol")))
+    both = parts.unionByName(table(spark, sf_dir, "nation").select(F.col("n_name").alias("symbol")))
+    return both.repartition(tasks_of(table(spark, sf_dir, "lineitem")), "symbol")
 
 
 def vendor_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
