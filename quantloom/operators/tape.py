@@ -8,27 +8,35 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quantloom.functions.long_series import chunked, recursive_average, wealth
-from quantloom.sources.bars import table
+from quantloom.sources.bars import table, tasks_of
 
 ORDER = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 ALPHA, SEEN = 2 / 51, 1200
+#: Order keys of a bucket of a day: a larger market has more of them a day.
+KEYS = 1 << 20
 
 
 def tape(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(symbol, i, chunk, year, net, growth) of all line items in the order of their shipping; the discount over its mean is what a trade earns, in basis points."""
-    rows = table(spark, sf_dir, "lineitem").select(F.lit("tape").alias("symbol"), *ORDER, ((F.col("l_discount") - 0.05) / 100).alias("net"))
+    symbol = F.when(F.col("l_shipdate").isNotNull(), "tape")  # a constant would be dropped from the windows' keys, and the rows dealt again
+    rows = table(spark, sf_dir, "lineitem").select(symbol.alias("symbol"), *ORDER, ((F.col("l_discount") - 0.05) / 100).alias("net"))
     day = F.col("l_shipdate").cast("date")
-    return chunked(rows, ORDER, F.year(day) * 12 + F.month(day)).select("symbol", "i", "chunk", F.year(day).alias("year"), "net", (1 + F.col("net")).alias("growth"))
+    bucket = F.struct(day.alias("day"), F.floor(F.col("l_orderkey") / KEYS).alias("keys"))
+    return chunked(rows, ORDER, bucket, tasks=_tasks(spark, sf_dir)).select("symbol", "i", "chunk", F.year(day).alias("year"), "net", (1 + F.col("net")).alias("growth"))
+
+
+def _tasks(spark: SparkSession, sf_dir: str) -> int:
+    return tasks_of(table(spark, sf_dir, "lineitem"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def by_year(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return wealth(tape(spark, sf_dir), "growth").groupBy("year").agg(
+        return wealth(tape(spark, sf_dir), "growth", _tasks(spark, sf_dir)).groupBy("year").agg(
             F.count("*").alias("n"), F.round(F.max_by("equity", "i"), 6).alias("equity"), F.round(F.max_by("peak", "i"), 6).alias("peak"), F.round(F.min("drawdown"), 6).alias("worst")
         )
 
     def averages(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return recursive_average(tape(spark, sf_dir), "net", ALPHA, "average").groupBy("year").agg(F.max("i").alias("last"), F.round(F.max_by("average", "i") * 1e4, 6).alias("average"))
+        return recursive_average(tape(spark, sf_dir), "net", ALPHA, "average", tasks=_tasks(spark, sf_dir)).groupBy("year").agg(F.max("i").alias("last"), F.round(F.max_by("average", "i") * 1e4, 6).alias("average"))
 
     return {"tape_drawdown": by_year, "tape_average": averages}
 
