@@ -1,8 +1,12 @@
 """Ties, and what a task or an exchange holds as tables grow."""
 
+import pytest
+from pyspark.sql import functions as F
+
 from quantloom import catalog
 from quantloom.operators import pool, quality_checks
-from quantloom.plans import search
+from quantloom.operators.grid import CATALOG
+from quantloom.plans import calibration, search
 from quantloom.sources import bars
 from quantloom.sources.bars import BARS
 
@@ -27,6 +31,20 @@ def test_searched_bars_are_made_once(spark):
     assert verdicts.count() > 0 and "parquet" not in verdicts._jdf.queryExecution().toString()
 
 
+@pytest.mark.parametrize("name", ["calibrate_gate", "measure_power"])
+def test_calibrations_search_the_whole_catalog(spark, monkeypatch, name):
+    searched = []
+
+    def caught(own, names, gate, *, refine, keep):
+        searched.append((set(names), gate, refine))
+        rows = own.groupBy("symbol").agg(F.lit(True).alias("passed"), F.count("*").alias("holdout_bars"))
+        return own, rows.withColumns({c: F.lit(1.0) for c in ("holdout_sharpe", "margin", "walk_oos", "purged_oos")})
+
+    monkeypatch.setattr(search, "search", caught)
+    assert calibration.queries()[name](spark, SF).columns[0] == "n_symbols"
+    assert searched == [(set(CATALOG), search.Gate(budget=200), True)]
+
+
 def _exchanges(df):
     return [line for line in df._jdf.queryExecution().executedPlan().toString().splitlines() if "hashpartitioning" in line]
 
